@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import mixing, quality, simhash, topk
+from . import mixing, quality, simhash, token_count, topk
 
-_MODULES = (mixing, quality, topk, simhash)
+_MODULES = (token_count, mixing, quality, topk, simhash)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
