@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import mixing, packing, quality, simhash, token_count, topk
+from . import huffman, mixing, packing, quality, simhash, token_count, topk
 
-_MODULES = (token_count, mixing, quality, packing, topk, simhash)
+_MODULES = (token_count, mixing, huffman, quality, packing, topk, simhash)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
