@@ -1,8 +1,8 @@
 """The queries of this subpackage and their SQL."""
 
-from . import huffman, language, mixing, packing, quality, simhash, suffix_dedup, token_count, topk
+from . import huffman, language, mixing, packing, paragraphs, quality, simhash, suffix_dedup, token_count, topk
 
-_MODULES = (token_count, mixing, huffman, suffix_dedup, language, quality, packing, topk, simhash)
+_MODULES = (token_count, mixing, huffman, suffix_dedup, language, paragraphs, quality, packing, topk, simhash)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
