@@ -182,44 +182,44 @@ def _monthly(table, year):
     return rows.groupBy(F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"), money(F.sum("o_totalprice")).alias("total"))
 
 
-def _append_years(store, table, years=(1993, 1994, 1995)):
+def _append_years(store, table, years=(1995, 1996, 1997)):
     return [store.launch(lambda ctx, y=y: ctx.stow(_monthly(table, y), "months"), label=f"year {y}", text=f"months {y}") for y in years]
 
 
 MONTHS = "SELECT month(o_orderdate)::INTEGER AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) {} GROUP BY {}"
 
 
-@query("SELECT 'year ' || year(o_orderdate) AS variant_label, month(o_orderdate)::INTEGER AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) BETWEEN 1993 AND 1995 GROUP BY year(o_orderdate), month(o_orderdate)")
+@query("SELECT 'year ' || year(o_orderdate) AS variant_label, month(o_orderdate)::INTEGER AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 1997 GROUP BY year(o_orderdate), month(o_orderdate)")
 def append_all(store, table):
     _append_years(store, table)
     return store.grab("months", run="all").drop("run_id")
 
 
-@query(MONTHS.format("= 1995", "1"))
+@query(MONTHS.format("= 1997", "1"))
 def append_latest(store, table):
     _append_years(store, table)
     return store.grab("months")
 
 
-@query(MONTHS.format("= 1994", "1"))
+@query(MONTHS.format("= 1996", "1"))
 def append_run(store, table):
     return store.grab("months", run=_append_years(store, table)[1])
 
 
-@query(MONTHS.format("= 1993", "1"))
+@query(MONTHS.format("= 1995", "1"))
 def append_variant(store, table):
     _append_years(store, table)
-    return store.grab("months", variant="year 1993")
+    return store.grab("months", variant="year 1995")
 
 
-@query("SELECT 'before' AS stage, 0::BIGINT AS n UNION ALL SELECT 'after', count(DISTINCT month(o_orderdate)) FROM orders WHERE year(o_orderdate) = 1996")
+@query("SELECT 'before' AS stage, 0::BIGINT AS n UNION ALL SELECT 'after', count(DISTINCT month(o_orderdate)) FROM orders WHERE year(o_orderdate) = 1998")
 def append_current_run(store, table):
     """Within a step an append table is what the step itself has added."""
     _append_years(store, table)
 
     def step(ctx):
         before = ctx.grab("months").count()
-        ctx.stow(_monthly(table, 1996), "months")
+        ctx.stow(_monthly(table, 1998), "months")
         ctx.stow([before, ctx.grab("months").count()], "counts")
 
     store.launch(step)
@@ -227,19 +227,19 @@ def append_current_run(store, table):
     return store.spark.createDataFrame([("before", before), ("after", after)], "stage string, n long")
 
 
-@query("SELECT p_brand, n, NULL::DOUBLE AS price FROM (SELECT p_brand, count(*) AS n FROM part WHERE p_size <= 10 GROUP BY 1) UNION ALL SELECT p_brand, count(*), round(avg(p_retailprice), 2) FROM part WHERE p_size > 10 GROUP BY 1")
+@query("SELECT p_brand, n, NULL::DOUBLE AS price FROM (SELECT p_brand, count(*) AS n FROM part WHERE p_size <= 10 GROUP BY 1) UNION ALL SELECT p_brand, count(*), round(sum(p_retailprice), 2) FROM part WHERE p_size > 10 GROUP BY 1")
 def drift_add_column(store, table):
     small, large = table("part").where("p_size <= 10"), table("part").where("p_size > 10")
     store.stow(small.groupBy("p_brand").agg(F.count("*").alias("n")), "brands")
-    store.stow(large.groupBy("p_brand").agg(F.count("*").alias("n"), money(F.avg("p_retailprice")).alias("price")), "brands")
+    store.stow(large.groupBy("p_brand").agg(F.count("*").alias("n"), money(F.sum("p_retailprice")).alias("price")), "brands")
     return store.grab("brands", run="all").select("p_brand", "n", "price")
 
 
-@query("SELECT p_brand, count(*) AS n, round(avg(p_retailprice), 2) AS price FROM part WHERE p_size <= 10 GROUP BY 1 UNION ALL SELECT p_brand, NULL, round(avg(p_retailprice), 2) FROM part WHERE p_size > 10 GROUP BY 1")
+@query("SELECT p_brand, count(*) AS n, round(sum(p_retailprice), 2) AS price FROM part WHERE p_size <= 10 GROUP BY 1 UNION ALL SELECT p_brand, NULL, round(sum(p_retailprice), 2) FROM part WHERE p_size > 10 GROUP BY 1")
 def drift_missing_column(store, table):
     small, large = table("part").where("p_size <= 10"), table("part").where("p_size > 10")
-    store.stow(small.groupBy("p_brand").agg(F.count("*").alias("n"), money(F.avg("p_retailprice")).alias("price")), "brands")
-    store.stow(large.groupBy("p_brand").agg(money(F.avg("p_retailprice")).alias("price")), "brands")
+    store.stow(small.groupBy("p_brand").agg(F.count("*").alias("n"), money(F.sum("p_retailprice")).alias("price")), "brands")
+    store.stow(large.groupBy("p_brand").agg(money(F.sum("p_retailprice")).alias("price")), "brands")
     return store.grab("brands", run="all").select("p_brand", "n", "price")
 
 
@@ -255,12 +255,12 @@ def drift_to_text(store, table):
 # --- views and SQL steps -------------------------------------------------------------------
 
 
-@query("""SELECT f.fold, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders, (VALUES (1, 1992, 1994), (2, 1993, 1995), (3, 1994, 1996)) AS f(fold, first, last)
+@query("""SELECT f.fold, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders, (VALUES (1, 1995, 1997), (2, 1996, 1998), (3, 1997, 1999)) AS f(fold, first, last)
 WHERE year(o_orderdate) BETWEEN f.first AND f.last GROUP BY 1""")
 def view_rolling_fold(store, table):
     """One view of a panel for each fold, swept over its years."""
     store.stow(table("orders"), "panel", shape="versioned")
-    for fold, (first, last) in enumerate([(1992, 1994), (1993, 1995), (1994, 1996)], 1):
+    for fold, (first, last) in enumerate([(1995, 1997), (1996, 1998), (1997, 1999)], 1):
         store.stow(Sql(f"SELECT {fold} AS fold, o_totalprice FROM panel WHERE year(o_orderdate) BETWEEN {first} AND {last}"), "train", shape="view")
         store.launch(lambda ctx: ctx.stow(ctx.grab("train").groupBy("fold").agg(F.count("*").alias("n"), money(F.sum("o_totalprice")).alias("total")), "folds"), label=f"fold {fold}", text=f"fold {fold}")
     return store.grab("folds", run="all").select("fold", "n", "total")
@@ -316,11 +316,11 @@ def sql_rebind(store, table):
     return store.grab("counted")
 
 
-@query(MONTHS.format("= 1994", "1"))
+@query(MONTHS.format("= 1996", "1"))
 def sql_append_rebind(store, table):
     """A SQL step over a labelled run of an append table."""
     _append_years(store, table)
-    store.launch(Sql("-- @inputs: months\n-- @output: chosen\nSELECT * FROM months"), rebind={"months": Variant("year 1994")})
+    store.launch(Sql("-- @inputs: months\n-- @output: chosen\nSELECT * FROM months"), rebind={"months": Variant("year 1996")})
     return store.grab("chosen")
 
 
@@ -458,12 +458,12 @@ def content_hash_groups(store, table):
     return store.spark.createDataFrame(rows, "changed string, same boolean")
 
 
-@query("SELECT count(*) AS n, count(*) AS again FROM (SELECT * FROM customer LIMIT 200)")
+@query("SELECT count(*) AS n, count(*) AS again FROM (SELECT * FROM customer LIMIT 60)")
 def seeded_sample(store, table):
     """The same rows for the same seed, however they are dealt out; other rows for another."""
 
     def drawn(seed, parts):
-        store.launch(lambda ctx: ctx.stow(ctx.sample(table("customer").repartition(parts), 200, ["c_custkey"]), "drawn", shape="versioned"), seed=seed, force=True, text="draw")
+        store.launch(lambda ctx: ctx.stow(ctx.sample(table("customer").repartition(parts), 60, ["c_custkey"]), "drawn", shape="versioned"), seed=seed, force=True, text="draw")
         return store.grab("drawn")
 
     first, again, other = drawn(0.5, 3), drawn(0.5, 8), drawn(-0.5, 3)
@@ -587,7 +587,7 @@ def relaunch_label(store, table):
     return store.grab("n").withColumn("runs", F.lit(store.runs().where("variant_label = 'base'").count()))
 
 
-@query(MONTHS.format("= 1995", "1"))
+@query(MONTHS.format("= 1997", "1"))
 def prune_keep(store, table):
     """Only the newest run's rows are left of an append table."""
     _append_years(store, table)
@@ -595,9 +595,9 @@ def prune_keep(store, table):
     return store.grab("months", run="all").select("month", "n", "total")
 
 
-@query("SELECT 'year ' || y AS variant_label FROM (VALUES (1993), (1994)) v(y)")
+@query("SELECT 'year ' || y AS variant_label FROM (VALUES (1995), (1996)) v(y)")
 def prune_keep_latest_label(store, table):
-    for y in (1993, 1994, 1993):
+    for y in (1995, 1996, 1995):
         store.launch(lambda ctx, y=y: ctx.stow(_monthly(table, y), "months"), label=f"year {y}", text=f"months {y}", force=True)
     store.prune("months", keep_latest=True)
     assert len(store.log.chunks_of("months")) == 2
@@ -639,8 +639,8 @@ _said("user_set_operations", ("customer", "orders"), "(SELECT c_custkey AS k FRO
 _said("user_pivot", ("orders",), "SELECT * FROM (SELECT o_orderpriority, o_orderstatus, o_orderkey FROM orders) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))",
       "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
 _said("user_recursion", ("region",), "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT n, r_name FROM t JOIN region ON n % 5 = r_regionkey")
-_said("user_strings_dates", ("part", "orders"), "SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, extract(year FROM o_orderdate) AS y, lower(o_orderpriority) AS p, split_part(o_orderpriority, '-', 1) AS n FROM orders WHERE o_orderpriority LIKE '%U%' AND o_orderdate >= TIMESTAMP_NTZ '1995-01-01'",
-      "SELECT o_orderkey, date_trunc('month', o_orderdate)::TIMESTAMP AS month, extract(year FROM o_orderdate)::INTEGER AS y, lower(o_orderpriority) AS p, split_part(o_orderpriority, '-', 1) AS n FROM orders WHERE o_orderpriority LIKE '%U%' AND o_orderdate >= TIMESTAMP '1995-01-01'")
+_said("user_strings_dates", ("part", "orders"), "SELECT o_orderkey, date_trunc('month', o_orderdate) AS month, extract(year FROM o_orderdate) AS y, lower(o_orderpriority) AS p, split_part(o_orderpriority, '-', 1) AS n FROM orders WHERE o_orderpriority LIKE '%U%' AND o_orderdate >= TIMESTAMP_NTZ '1998-01-01'",
+      "SELECT o_orderkey, date_trunc('month', o_orderdate)::TIMESTAMP AS month, extract(year FROM o_orderdate)::INTEGER AS y, lower(o_orderpriority) AS p, split_part(o_orderpriority, '-', 1) AS n FROM orders WHERE o_orderpriority LIKE '%U%' AND o_orderdate >= TIMESTAMP '1998-01-01'")
 _said("user_arrays", ("embeddings",), "SELECT vec_id, size(embedding) AS n, size(filter(embedding, x -> x > 0)) AS positive, round(aggregate(embedding, 0D, (a, x) -> a + x), 4) AS total FROM embeddings",
       "SELECT vec_id, len(embedding)::INTEGER AS n, len(list_filter(embedding, lambda x: x > 0))::INTEGER AS positive, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total FROM embeddings")
 _said("user_arg_max", ("orders",), "SELECT o_custkey, max_by(o_orderkey, struct(o_totalprice, o_orderkey)) AS dearest FROM orders GROUP BY 1", "SELECT o_custkey, arg_max(o_orderkey, (o_totalprice, o_orderkey)) AS dearest FROM orders GROUP BY 1")
