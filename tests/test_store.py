@@ -1,0 +1,580 @@
+import os
+import warnings
+from datetime import datetime, timedelta
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+import tallyrun as t
+from tallyrun.functions.hashing import table_digest
+from tallyrun.functions.scalars import duration
+from tallyrun.names import project_root, valid_name
+from tallyrun.sources import artifacts
+
+
+class Ticking:
+    def __init__(self):
+        self.at = datetime(2024, 1, 1)
+
+    def __call__(self):
+        self.at += timedelta(seconds=1)
+        return self.at
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    return t.Store(spark, str(tmp_path / "store"), clock=Ticking())
+
+
+def frame(spark, n, start=0):
+    return spark.range(start, start + n).selectExpr("id", "CAST(id AS STRING) AS s")
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+# --- versions -------------------------------------------------------------------------------
+
+
+def test_round_trip_and_reopening(spark, store):
+    store.stow(frame(spark, 3), "a", shape="versioned")
+    again = t.Store(spark, store.files.root)
+    assert rows(again.grab("a")) == [(0, "0"), (1, "1"), (2, "2")]
+    assert again.runs().where("status = 'interactive'").count() == 1
+
+
+def test_latest_is_by_first_seen(spark, store):
+    for n in (1, 2, 1):
+        store.stow(frame(spark, n), "a", shape="versioned")
+    assert store.grab("a").count() == 2
+    found = store.versions("a").collect()
+    assert len(found) == 2 and found[1].last_seen > found[0].first_seen and len(found[1].produced_by_runs) == 2
+
+
+def test_selectors(spark, store):
+    ids = [store.launch(lambda ctx, n=n: ctx.stow(frame(spark, n), "a", shape="versioned"), label=f"l{n}", text=f"a{n}") for n in (1, 2, 3)]
+    h = [v["content_hash"] for v in store.log.of_name("a")]
+    assert store.grab("a", version=h[0]).count() == 1
+    assert store.grab("a", from_run=ids[1]).count() == 2
+    assert store.grab("a", variant="l1").count() == 1
+    assert store.grab("a", as_of=store.log.of_name("a")[1]["first_seen"]).count() == 2
+    assert [d.count() for d in store.grab("a", run="all").values()] == [1, 2, 3]
+    for bad in (dict(version="x"), dict(from_run="x"), dict(variant="x"), dict(as_of="1999-01-01"), dict(run="x"), dict(version=h[0], variant="l1")):
+        with pytest.raises(t.StoreError):
+            store.grab("a", **bad)
+    other = store.launch(lambda ctx: ctx.stow(1, "b"), text="b")
+    with pytest.raises(t.StoreError, match="did not write"):
+        store.grab("a", from_run=other)
+    store.prune("a", keep_latest=True, force=True)
+    with pytest.raises(t.StoreError, match="pruned"):
+        store.grab("a", from_run=ids[0])
+
+
+def test_objects(spark, store):
+    class_free = {"coef": [1, 2, 3], "n": None}
+    for value in (class_free, 0.5, "x", {1, 2}, (1, 2), datetime(2020, 1, 1)):
+        store.stow(value, "o")
+        assert store.grab("o") == value
+    with pytest.raises(ValueError):
+        artifacts.loads(artifacts.dumps({1}), trusted=False)
+    small = t.Store(spark, store.files.root, blob_threshold=10)
+    small.stow("y" * 100, "big")
+    assert small.grab("big") == "y" * 100 and small.log.of_name("big")[0]["storage_location"] == "file"
+    small.files.delete(small.files.path(small.log.of_name("big")[0]["path"]))
+    with pytest.raises(t.StoreError, match="gone"):
+        small.grab("big")
+
+
+def test_shapes_and_kinds_are_kept(spark, store):
+    store.stow(frame(spark, 1), "v", shape="versioned")
+    store.stow(frame(spark, 1), "a")
+    store.stow(1, "o")
+    for value, name, shape in ((frame(spark, 1), "v", None), (frame(spark, 1), "a", "versioned"), (frame(spark, 1), "o", "versioned"), (1, "v", None), (t.Sql("SELECT * FROM v"), "o", "view"), (1, "o", "append"), (1, "o", "wide")):
+        with pytest.raises(t.StoreError):
+            store.stow(value, name, shape=shape)
+    with pytest.raises(t.StoreError):
+        store.stow("name", frame(spark, 1))
+    with pytest.raises(t.StoreError):
+        store.grab("nothing")
+
+
+def test_names_and_labels():
+    for bad in ("", "1a", "a b", "_tr_x", "a" * 256, None):
+        with pytest.raises(t.StoreError):
+            valid_name(bad)
+    assert valid_name("_A1") == "_A1"
+    for ref in (t.Hash, t.Run, t.Variant, t.Label, t.Sql, t.File):
+        with pytest.raises(t.StoreError):
+            ref("")
+    with pytest.raises(t.StoreError):
+        t.AsOf("yesterday")
+
+
+def test_files(spark, store, tmp_path):
+    path = str(tmp_path / "x.csv")
+    pd.DataFrame({"x": [1, 2], "y": ["a", "b"]}).to_csv(path, index=False)
+    assert rows(store.grab("c", source=path)) == [(1, "a"), (2, "b")]
+    store.grab("c", source=path)
+    assert len(store.log.of_name("c")) == 1
+    pd.DataFrame({"x": [1, 2, 3]}).to_csv(path, index=False)
+    assert store.grab("c", source=path).count() == 3
+    tsv = str(tmp_path / "x.tsv")
+    pd.DataFrame({"x": [1.5], "y": ["a,b"]}).to_csv(tsv, index=False, sep="\t")
+    with pytest.warns(DeprecationWarning):
+        store.ingest("t", tsv)
+    assert rows(store.grab("t")) == [(1.5, "a,b")]
+    for bad in ("x.json", str(tmp_path / "no.csv"), "a\0.csv"):
+        with pytest.raises(t.StoreError):
+            store.stow(t.File(bad), "z")
+    store.stow(frame(spark, 1), "app")
+    with pytest.raises(t.StoreError):
+        store.grab("app", source=path)
+
+
+def test_pandas_index_warns(store):
+    with pytest.warns(UserWarning, match="index"):
+        store.stow(pd.DataFrame({"x": [1]}, index=[7]), "p")
+
+
+def test_version_count_warns(spark, tmp_path):
+    s = t.Store(spark, str(tmp_path / "s"), version_warn=1)
+    s.stow(frame(spark, 1), "a", shape="versioned")
+    with pytest.warns(UserWarning, match="versions"):
+        s.stow(frame(spark, 2), "a", shape="versioned")
+
+
+# --- identity ---------------------------------------------------------------------------------
+
+
+def test_table_digest(spark):
+    df = spark.createDataFrame([(1, "a", [1, None], {"k": 1}), (2, None, [], None)], "x int, y string, z array<int>, m map<string,int>")
+    same = table_digest(df)[0]
+    assert same == table_digest(df.select("m", "z", "y", "x").repartition(5))[0]
+    others = [df.union(df.limit(1)), df.withColumn("x", F.col("x").cast("long")), df.withColumnRenamed("x", "w"), df.where("x = 1"), df.limit(0), df.limit(0).drop("x"), df.withColumn("z", F.array(F.lit(None).cast("int"), F.lit(1)))]
+    assert len({same, *[table_digest(o)[0] for o in others]}) == len(others) + 1
+
+
+def test_durations():
+    assert duration("30d") == timedelta(days=30) and duration("45s") == timedelta(seconds=45)
+    for bad in ("1w", "5", "1D", 5, ""):
+        with pytest.raises(t.StoreError):
+            duration(bad)
+
+
+def test_project_root(tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / ".here").touch()
+    assert project_root(str(tmp_path / "a" / "b")) == str(tmp_path / "a")
+    with pytest.warns(UserWarning):
+        assert project_root(str(tmp_path / "a" / "b"), stop_at=str(tmp_path / "a" / "b")) == str(tmp_path / "a" / "b")
+
+
+# --- append tables ----------------------------------------------------------------------------
+
+
+def test_append_reads(spark, store):
+    ids = [store.launch(lambda ctx, n=n: ctx.stow(frame(spark, n), "log"), label=f"l{n}", text=f"log{n}") for n in (1, 2, 3)]
+    assert store.grab("log").count() == 3
+    assert store.grab("log").columns == ["id", "s"]
+    assert store.grab("log", run=ids[0]).count() == 1 and store.grab("log", from_run=ids[1]).count() == 2
+    assert store.grab("log", run="no such run").count() == 0
+    assert store.grab("log", variant="l2").count() == 2
+    every = store.grab("log", run="all")
+    assert every.count() == 6 and {"run_id", "variant_label"} <= set(every.columns)
+    for bad in (dict(version="x"), dict(as_of="2024-01-01"), dict(variant="no")):
+        with pytest.raises(t.StoreError):
+            store.grab("log", **bad)
+    with pytest.raises(t.StoreError, match="reserved"):
+        store.stow(spark.range(1).selectExpr("id AS _tr_run_id"), "log")
+
+
+def test_drift(spark, store):
+    store.stow(spark.createDataFrame([("m", 0.5)], "model string, score double"), "log")
+    with pytest.warns(UserWarning, match="new columns"):
+        store.stow(spark.createDataFrame([("m", 0.7, 1)], "model string, score double, k int"), "log")
+    store.stow(spark.createDataFrame([("n",)], "model string"), "log")
+    with pytest.warns(UserWarning, match="text"):
+        store.stow(spark.createDataFrame([("o", "N/A")], "model string, score string"), "log")
+    got = rows(store.grab("log", run="all").select("model", "score", "k"))
+    assert got == [("m", "0.5", None), ("m", "0.7", 1), ("n", None, None), ("o", "N/A", None)]
+    with pytest.warns(UserWarning, match="text"):
+        store.stow(spark.sql("SELECT 'p' AS model, TIMESTAMP_NTZ '2024-01-02 03:04:05.678' AS k"), "log")
+    assert store.grab("log").first().k == "2024-01-02T03:04:05.678Z"
+
+
+def test_reading_within_a_step(spark, store):
+    store.launch(lambda ctx: ctx.stow(frame(spark, 2), "log"), text="w")
+    seen = []
+
+    def step(ctx):
+        seen.append(ctx.grab("log").count())
+        ctx.stow(frame(spark, 5), "log")
+        seen.append(ctx.grab("log").count())
+
+    run = store.launch(step, label="mine")
+    assert seen == [0, 5]
+    assert {r.variant_label for r in store.grab("log", run=run and "all").where(F.col("run_id") == run).collect()} == {"mine"}
+
+
+def test_earlier_writes_survive_a_later_error(spark, store):
+    def step(ctx):
+        ctx.stow(frame(spark, 2), "log")
+        raise RuntimeError("later")
+
+    with pytest.raises(RuntimeError):
+        store.launch(step)
+    assert store.grab("log", run="all").count() == 2
+    assert store.runs().where("status = 'error'").first().outputs[0].rows_appended == 2
+
+
+def test_data_without_a_commit_is_not_there(spark, store, monkeypatch):
+    monkeypatch.setattr(store.log, "commit", lambda *a: (_ for _ in ()).throw(OSError("killed")))
+    with pytest.raises(OSError):
+        store.stow(frame(spark, 2), "log")
+    again = t.Store(spark, store.files.root)
+    with pytest.raises(t.StoreError):
+        again.grab("log")
+
+
+def test_two_writers(spark, store):
+    other = t.Store(spark, store.files.root)
+    store.stow(frame(spark, 1), "a")
+    other.stow(frame(spark, 2), "b")
+    store.stow(frame(spark, 3), "a")
+    assert t.Store(spark, store.files.root).grab("a", run="all").count() == 4
+
+
+def test_open_frames_keep_what_they_read(spark, store):
+    store.stow(frame(spark, 2), "a")
+    before = store.grab("a", run="all")
+    store.stow(frame(spark, 3), "a")
+    assert before.count() == 2
+
+
+def test_a_stream_appends_each_batch_once(spark, store, tmp_path):
+    from tallyrun.streaming.appends import append_stream
+
+    source = str(tmp_path / "in")
+    frame(spark, 4).coalesce(1).write.parquet(source)
+    for _ in range(2):
+        stream = spark.readStream.schema("id long, s string").parquet(source)
+        q = append_stream(store, stream, "events", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            frame(spark, 3, 10).coalesce(1).write.mode("append").parquet(source)
+    assert store.grab("events", run="all").count() == 7
+
+
+# --- views and SQL ------------------------------------------------------------------------------
+
+
+def test_views(spark, store):
+    store.stow(frame(spark, 3), "a", shape="versioned")
+    store.stow(t.Sql("SELECT count(*) AS n FROM a"), "v", shape="view")
+    store.stow(frame(spark, 5), "a", shape="versioned")
+    assert store.grab("v").first().n == 3
+    store.stow(t.Sql("SELECT count(*) AS n FROM a"), "v", shape="view")
+    assert store.grab("v").first().n == 5 and len(store.log.of_name("v")) == 2
+    store.stow(store.grab("a").selectExpr("sum(id) AS t"), "w", shape="view")
+    assert store.grab("w").first().t == 10
+    again = t.Store(spark, store.files.root)
+    assert again.grab("v").first().n == 5
+    with pytest.raises(t.StoreError, match="session"):
+        again.grab("w")
+    for bad in (t.Sql("SELECT 1 AS x"), spark.range(3), 5):
+        with pytest.raises(t.StoreError):
+            store.stow(bad, "z", shape="view")
+    assert set(store.inputs_of(store.grab("a"))) == {"a"}
+
+
+@pytest.mark.parametrize("bad", ["", "-- only this", "INSERT INTO a SELECT 1", "SELECT 1; SELECT 2", "DROP TABLE a", "VALUES (1)", "WITH x AS (SELECT 1) INSERT INTO a SELECT * FROM x", "CREATE VIEW z AS SELECT 1"])
+def test_bodies_that_are_refused(spark, store, bad):
+    store.stow(frame(spark, 3), "a", shape="versioned")
+    before = store.log.next
+    with pytest.raises(t.StoreError):
+        store.stow(t.Sql(f"{bad} "), "z", shape="view")
+    assert store.log.next == before
+
+
+def test_headers():
+    from tallyrun.sqlstep import parse
+
+    s = parse("-- a step\n-- @inputs: a, b\n\n-- @output: c\nSELECT ';' AS x;\n")
+    assert s.inputs == ("a", "b") and s.output == "c" and s.body.endswith("AS x")
+    assert parse("SELECT 1\n-- @output: late").output is None
+    for bad in ("-- @inputs: a, a\nSELECT 1", "-- @inputs: a\n-- @inputs: b\nSELECT 1", "-- @what: a\nSELECT 1", "-- @output:\nSELECT 1", "-- @output c\nSELECT 1", "-- @inputs: 1x\nSELECT 1"):
+        with pytest.raises(t.StoreError):
+            parse(bad)
+
+
+def test_sql_files(spark, store, tmp_path):
+    path = tmp_path / "doubled.sql"
+    path.write_text("-- @inputs: firm\nSELECT firm_id, sales * 2 AS twice FROM firm")
+    store.stow(spark.createDataFrame([(1, 2.0), (2, 3.0)], "firm_id int, sales double"), "firm", shape="versioned")
+    store.launch(str(path))
+    assert rows(store.grab("doubled")) == [(1, 4.0), (2, 6.0)]
+    run = store.runs().where("status = 'success'").first()
+    assert run.step == str(path) and [i.name for i in run.inputs] == ["firm"]
+    store.launch(str(path))
+    assert store.runs().where("status = 'skipped_fresh'").count() == 1
+    with pytest.raises(t.StoreError, match="@output"):
+        store.launch(t.Sql("SELECT 1 AS x"))
+    with pytest.raises(t.StoreError, match="bound"):
+        store.launch(str(path), rebind={"other": spark.range(1)}, force=True)
+    store.launch(t.Run(run.run_id), force=True)
+
+
+# --- steps --------------------------------------------------------------------------------------
+
+
+def test_scripts_helpers_and_freshness(spark, store, tmp_path, monkeypatch):
+    monkeypatch.setenv("KNOB", "1")
+    helper, script, outside = tmp_path / "h.py", tmp_path / "s.py", tmp_path / "data.txt"
+    helper.write_text(f"include({str(helper)!r})\nfactor = 2\n")
+    outside.write_text("x")
+    script.write_text(f"include({str(helper)!r})\nstow(grab('a').count() * factor, 'n')\n")
+    store.stow(frame(spark, 3), "a", shape="versioned")
+    options = dict(external_inputs={"files": [str(outside)], "env": ["KNOB"]}, label="x")
+    status = lambda: store.log.runs[store.launch(str(script), **options)]["status"]
+    assert status() == "success" and store.grab("n") == 6
+    assert status() == "skipped_fresh" == status()
+    assert store.is_stale(t.Label("x")) == (False, [])
+    helper.write_bytes(helper.read_bytes().replace(b"\n", b"\r\n"))
+    assert status() == "skipped_fresh"
+    helper.write_text("factor = 3\n")
+    assert store.is_stale(t.Label("x")) == (True, ["code"]) and status() == "success" and store.grab("n") == 9
+    store.stow(frame(spark, 4), "a", shape="versioned")
+    assert store.is_stale(t.Variant("x"))[1] == ["input:a"] and status() == "success"
+    outside.write_text("y")
+    assert store.is_stale(t.Label("x"))[1] == [f"external:{outside}"]
+    monkeypatch.setenv("KNOB", "2")
+    assert len(store.is_stale(t.Label("x"))[1]) == 2 and status() == "success"
+    assert store.is_stale(t.Label("none")) == (True, ["never_run"])
+    os.unlink(outside)
+    with pytest.raises(t.StoreError):
+        store.launch(str(script), **options)
+
+
+def test_failed_steps_run_again(store):
+    def step():
+        raise RuntimeError("no")
+
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            store.launch(step)
+    assert store.runs().where("status = 'error'").count() == 2
+
+
+def test_labels_are_inherited(spark, store):
+    store.launch(lambda ctx: ctx.stow(frame(spark, 1), "a", shape="versioned"), label="x", text="a")
+    store.launch(lambda ctx: ctx.stow(frame(spark, 1), "b"), label="y", text="b")
+    run = store.launch(lambda ctx: ctx.stow(ctx.grab("a").count(), "n"), text="use a")
+    assert store.log.runs[run]["variant_label"] == "x"
+
+    def both(ctx):
+        ctx.stow(ctx.grab("a").count() + ctx.grab("b", variant="y").count(), "n")
+
+    with pytest.warns(UserWarning, match="different labels"):
+        run = store.launch(both)
+    assert store.log.runs[run]["variant_label"] is None
+    store.stow(frame(spark, 1), "c", shape="versioned")
+    with pytest.warns(UserWarning, match="by hand"):
+        store.launch(lambda ctx: ctx.grab("c"), text="use c")
+
+
+def test_guards(spark, store):
+    with pytest.raises(t.StoreError, match="another step"):
+        store.launch(lambda ctx: ctx.store.launch(lambda: None), text="nested")
+    for bad in (dict(seed=2), dict(on_error="stop"), dict(label=" "), dict(materialize=True)):
+        with pytest.raises(t.StoreError):
+            store.launch(lambda: None, text="x", **bad)
+    for bad in (5, "x.txt", "missing.py", t.Run("no"), t.Label("no")):
+        with pytest.raises(t.StoreError):
+            store.launch(bad)
+
+
+def test_rebinding(spark, store):
+    store.stow(frame(spark, 3), "a", shape="versioned")
+    store.stow(0.5, "rate")
+    seen = []
+    step = lambda ctx: seen.append((ctx.grab("a").count(), ctx.grab("rate")))
+    store.launch(step, rebind={"a": frame(spark, 9), "rate": 0.1}, text="s")
+    store.launch(step, rebind={"a": t.Hash(store.log.of_name("a")[0]["content_hash"])}, text="s")
+    assert seen == [(9, 0.1), (3, 0.5)] and store.grab("a").count() == 3 and store.grab("rate") == 0.5
+    assert store.log.runs[[r for r in store.log.runs][-1]]["rebinds"][0]["source"] == "hash"
+    store.launch(step, rebind={"a": t.Hash(store.log.of_name("a")[0]["content_hash"])}, text="s")
+    assert len(seen) == 2  # fresh under the same binding
+    store.stow(frame(spark, 9), "a", shape="versioned")
+    assert store.grab("a").count() == 3 or len(store.log.of_name("a")) == 2  # a real write brings bound content to light
+    for bad in ({"a": 5}, {"zz": t.Hash("x")}, {"a": t.Run("x")}, {"1x": 3}):
+        with pytest.raises(t.StoreError):
+            store.launch(step, rebind=bad, text="s")
+
+
+def test_rebinding_append_tables(spark, store):
+    ids = [store.launch(lambda ctx, n=n: ctx.stow(frame(spark, n), "log"), label=f"l{n}", text=f"{n}") for n in (1, 2, 3)]
+    seen = []
+    step = lambda ctx: seen.append(ctx.grab("log").count())
+    at = store.log.runs[ids[1]]["started_at"]
+    for ref in (t.Run(ids[0]), t.Variant("l2"), t.AsOf(at), t.Hash(store.log.chunks[0]["chunk_hash"])):
+        store.launch(step, rebind={"log": ref}, text="s", force=True)
+    assert seen == [1, 2, 2, 1]
+    store.launch(step, rebind={"log": t.Run(ids[0])}, text="s")
+    assert len(seen) == 4
+    with pytest.raises(t.StoreError):
+        store.launch(step, rebind={"log": frame(spark, 1)}, text="s")
+
+
+def test_binds():
+    assert t.binds(a=[1, 2], b=3) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}]
+    assert t.binds(mode="cross", a=[1, 2], b=[3, 4]) == [{"a": 1, "b": 3}, {"a": 2, "b": 3}, {"a": 1, "b": 4}, {"a": 2, "b": 4}]
+    assert t.binds(a=[1], labels=["x"]) == [{"a": 1, ".label": "x"}]
+    for bad in (dict(a=[1, 2], b=[1, 2, 3]), dict(), dict(mode="up", a=[1]), dict(a=[1], labels=["x", "y"]), dict(a=[])):
+        with pytest.raises(t.StoreError):
+            t.binds(**bad)
+    with pytest.warns(UserWarning, match="same label"):
+        t.envelopes({"a": 1, ".label": "x"}, {"a": 2, ".label": "x"})
+
+
+def test_sweeps(spark, store):
+    def step(ctx):
+        if ctx.grab("k") == 2:
+            raise RuntimeError("two")
+        ctx.stow(spark.range(ctx.grab("k")).selectExpr("count(*) AS n"), "out")
+
+    with pytest.raises(t.StoreError, match="1 of 3"):
+        store.launch(step, rebind=t.binds(k=[1, 2, 3], labels=["a", "b", "c"]))
+    assert rows(store.grab("out", run="all").select("n", "variant_label")) == [(1, "a"), (3, "c")]
+    with pytest.warns(UserWarning, match="1 of 2"):
+        got = store.launch(step, rebind=t.binds(k=[2, 4]), on_error="warn").collect()
+    assert [r.status for r in got] == ["error", "success"] and got[0].batch_id == got[1].batch_id
+    sql = t.Sql("-- @inputs: a\n-- @output: c\nSELECT count(*) AS n FROM a")
+    for n in (1, 2):
+        store.launch(lambda ctx, n=n: ctx.stow(frame(spark, n), "a", shape="versioned"), label=f"v{n}", text=f"a{n}")
+    assert store.launch(sql, rebind=t.binds(a=t.variants_of("v1", "v2"))).count() == 2
+    assert [d.first().n for d in store.grab("c", run="all").values()] == [1, 2]
+
+
+# --- queue ---------------------------------------------------------------------------------------
+
+SOURCE = "def job(ctx):\n    ctx.stow(ctx.grab('k') + 1, 'out')\n"
+
+
+def job(ctx):
+    ctx.stow(ctx.grab("k") + 1, "out")
+
+
+def test_queue(spark, store):
+    i = store.queue(job, rebind={"k": 4}, label="q", text=SOURCE)
+    assert store.queue(job, rebind={"k": 4}, label="q", text=SOURCE) == i
+    assert store.log.runs[i]["status"] == "queued" and store.log.runs[i]["hostname"] is None
+    other = t.Store(spark, store.files.root)
+    other.launch(t.Run(i))
+    store.log.replay()
+    assert store.grab("out") == 5 and store.log.runs[i]["status"] == "success" and store.log.runs[i]["variant_label"] == "q"
+    with pytest.raises(t.StoreError):
+        store.queue(t.Run(store.queue(job, rebind={"k": 9}, text=SOURCE)))
+    with pytest.raises(t.StoreError):
+        store.queue(t.Sql("SELECT 1"))
+
+
+def test_a_claim_is_exclusive(spark, store):
+    from tallyrun.queue import pick_up
+
+    i = store.queue(job, rebind={"k": 4}, text=SOURCE)
+    row = dict(store.log.runs[i])
+    t.Store(spark, store.files.root).launch(t.Run(i))
+    with pytest.raises(t.StoreError, match="queued any more"):
+        pick_up(store, row)
+
+
+def test_failed_pickup_and_discarding(spark, store):
+    bad = store.queue(lambda ctx: ctx.grab("k"), rebind={"k": 1}, text="def f(ctx):\n    raise RuntimeError('x')\n")
+    with pytest.raises(RuntimeError):
+        store.launch(t.Run(bad))
+    assert store.log.runs[bad]["status"] == "error"
+    ids = store.queue(job, rebind=t.binds(k=[1, 2], labels=["a", "b"]), text=SOURCE)
+    assert store.discard_queued(variant_label="a", dry_run=True) == ids[:1]
+    assert store.discard_queued(before=store.log.runs[ids[1]]["queued_at"]) == ids[:1]
+    assert store.discard_queued() == ids[1:] and store.discard_queued() == []
+
+
+# --- history ----------------------------------------------------------------------------------------
+
+
+def test_code_of_a_run(store, tmp_path):
+    script = tmp_path / "s.py"
+    script.write_text("stow(1, 'x')\n")
+    i = store.launch(str(script))
+    script.write_text("stow(2, 'x')\n")
+    assert store.launch_code(i) == "stow(2, 'x')\n" and store.launch_code(i, from_db=True) == "stow(1, 'x')\n"
+    os.unlink(script)
+    code = store.launch_code(i)
+    assert code == "stow(1, 'x')\n" and "characters" in repr(code) and "<pre>" in code._repr_html_()
+    store.launch(t.Run(i), force=True)
+    with pytest.raises(t.StoreError):
+        store.launch_code("no")
+
+
+def test_variants_and_pruning_them(spark, store):
+    step = lambda ctx: ctx.stow(1, "x")
+    for label in ("a", "b", "a"):
+        store.launch(step, label=label, text="x", force=True)
+    got = {r.variant_label: r for r in store.variants().collect()}
+    assert got["a"].n_runs == 2 and got["a"].latest_run_id == list(store.log.runs)[2]
+    name = store.log.runs[got["a"].latest_run_id]["step"]
+    assert store.variants(script=name, name="x").count() == 2 and store.variants(name="y").count() == 0
+    assert len(store.prune_variants(name, "a", dry_run=True)) == 2
+    assert len(store.prune_variants(name)) == 3 and store.variants().count() == 0
+
+
+def test_unexplored(spark, store):
+    for label in ("a", "b"):
+        store.launch(lambda ctx, x=label: ctx.stow(frame(spark, len(x) + (x == "b")), "up"), label=label, text=f"up {label}")
+    i = store.launch(lambda ctx: ctx.grab("up", variant="a"), text="down")
+    got = {r.upstream_label: r.used_by_this_script for r in store.variants_unexplored(store.log.runs[i]["step"]).collect()}
+    assert got == {"a": True, "b": False}
+
+
+def test_pruning_versions(spark, store):
+    for n in (1, 2, 3):
+        store.stow(frame(spark, n), "a", shape="versioned")
+    with pytest.warns(UserWarning, match="results of runs"):
+        assert store.prune("a", keep=1)["versioned"].count() == 0
+    path = store.files.path(store.log.of_name("a")[0]["path"])
+    assert store.prune("a", keep=1, force=True)["versioned"].count() == 2
+    assert not store.files.exists(path) and store.grab("a").count() == 3
+    for _ in range(3):
+        store.now()
+    assert store.prune("a", by="age", older_than="1s", force=True)["versioned"].count() == 1
+    for bad in (dict(by="run"), dict(by="age"), dict(keep=-1), dict(keep=1, keep_latest=True), dict(by="x")):
+        store.stow(frame(spark, 1), "b", shape="versioned")
+        with pytest.raises(t.StoreError):
+            store.prune("b", **bad)
+
+
+def test_pruning_append_tables(spark, store):
+    for label, n in (("lm", 1), ("lm", 2), ("rf", 3), (None, 4), (None, 5)):
+        store.launch(lambda ctx, n=n: ctx.stow(frame(spark, n), "log"), label=label, text=f"{n}")
+    assert store.prune("log", keep_latest=True)["append"].first().rows_pruned == 5
+    assert sorted(r.n for r in store.grab("log", run="all").groupBy("run_id").agg(F.count("*").alias("n")).collect()) == [2, 3, 5]
+    with pytest.warns(UserWarning, match="labelled"):
+        store.prune("log", keep=0)
+    assert store.grab("log", run="all").count() == 5
+    store.prune("log", keep=0, force=True)
+    assert store.grab("log", run="all").count() == 0 and store.log.tables["log"]["row_count"] == 0 == store.log.tables["log"]["size_bytes"]
+    with pytest.raises(t.StoreError):
+        store.prune("log", by="version")
+
+
+def test_sql_over_everything(spark, store):
+    store.stow(frame(spark, 3), "a", shape="versioned")
+    store.stow(frame(spark, 2), "b")
+    assert store.sql("SELECT count(*) AS n FROM a JOIN b USING (id)").first().n == 2
+    assert store.sql("SELECT count(*) AS n FROM _tr_runs").first().n == 2
+    assert store.sql("SELECT sum(rows_appended) AS n FROM _tr_append_chunks").first().n == 2
+    view = store.run_view("b", store.log.chunks[0]["run_id"])
+    assert spark.table(view).count() == 2
