@@ -238,6 +238,16 @@ def test_data_without_a_commit_is_not_there(spark, store, monkeypatch):
         again.grab("log")
 
 
+def test_snapshots_give_the_same_state(spark, store, monkeypatch):
+    monkeypatch.setattr("tallyrun.log.SNAPSHOT_EVERY", 3)
+    for n in (1, 2, 3, 4):
+        store.stow(frame(spark, n), "a")
+        store.stow(n, "o")
+    assert any(x.endswith(".snapshot") for x in store.files.names(store.log.folder))
+    again = t.Store(spark, store.files.root)
+    assert again.log._state() == store.log._state() and again.grab("o") == 4 and again.grab("a", run="all").count() == 10
+
+
 def test_two_writers(spark, store):
     other = t.Store(spark, store.files.root)
     store.stow(frame(spark, 1), "a")
