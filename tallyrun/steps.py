@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import capture, sqlstep, staleness
-from .context import CURRENT, Binding, RunContext, output_identity, output_matches
+from .context import CURRENT, Binding, RunContext, output_matches
 from .functions.hashing import code_hash, md5, normal_code
-from .names import StoreError, project_root, valid_label, valid_name
+from .names import StoreError, valid_label, valid_name
 from .refs import REFS, AsOf, Code, Hash, Label, Run, Sql, Variant, moment
 from .log import stamp
 from .store import Store, new_id, source_of
@@ -365,5 +365,3 @@ def launch_code(store: Store, run_id: str, from_db: bool = False) -> Code:
         said.warning("%s is gone; this is its recorded text", run["step"])
     return Code(run["code_body"])
 
-
-__all__ = ["launch", "launch_code", "output_identity", "project_root", "run_one"]
