@@ -263,6 +263,27 @@ def test_open_frames_keep_what_they_read(spark, store):
     assert before.count() == 2
 
 
+def test_reads_touch_only_what_is_asked(spark, store):
+    ids = [store.launch(lambda ctx, n=n: ctx.stow(frame(spark, n), "log"), text=f"{n}") for n in (1, 2)]
+    one = store.grab("log", run=ids[0])
+    assert all(store.log.chunks[0]["path"] in f for f in one.inputFiles())
+    store.stow(frame(spark, 9), "a", shape="versioned")
+    plan = store.grab("a").where("id > 3").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<id:bigint>" in plan and "GreaterThan(id,3)" in plan
+    many = store.grab("log", run="all")._jdf.queryExecution().executedPlan().toString()
+    assert many.count("FileScan") == 1 and "Exchange" not in many
+
+
+def test_as_of_makes_no_pairs(spark):
+    from tallyrun.operators.relational import as_of
+
+    left = spark.createDataFrame([(1, 5, "a"), (1, 1, "b"), (2, 9, "c"), (None, 9, "d"), (1, None, "e")], "k int, t int, x string")
+    right = spark.createDataFrame([(1, 2, 10, 7), (1, 5, 11, 8), (1, 5, 12, 9), (2, 10, 13, 1), (None, 1, 14, 2)], "k int, t int, i int, v int")
+    got = as_of(left, right, ["k"], "t", "t", "i", ["i", "v"])
+    assert rows(got.select("x", "i", "v")) == [("a", 12, 9), ("b", None, None), ("c", None, None), ("d", None, None), ("e", None, None)]
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_stream_appends_each_batch_once(spark, store, tmp_path):
     from tallyrun.streaming.appends import append_stream
 
