@@ -20,9 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the word and repetition rules go. Ids are unique; rows of a null id go with any of them that fails."""
-    failed = quality.quality(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(failed, docs.doc_id.eqNullSafe(failed.doc_id), "left_anti").select(*COLUMNS)
+    """Documents that fail the word and repetition rules go. Each row is judged where it is read, so no text is moved."""
+    return quality.quality(docs, carry=("text", "lang", "source", "n_chars")).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -50,7 +51,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: int | str = "text", rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that none has more than so many rows or bytes of the text column (one row at least)."""
+    """Cut Arrow batches so that none has more than so many rows or bytes of the text column (one row at least).
+
+    When the next is asked for, memory that the last one left unused goes back to the system: Python
+    workers live on from stage to stage beside the JVM.
+    """
     for batch in batches:
         column = batch.column(text)
         start = 0
@@ -60,6 +65,26 @@ def slices(batches: Iterator[pa.RecordBatch], text: int | str = "text", rows: in
                 n = max(1, n // 2)
             yield batch.slice(start, n)
             start += n
+            give_back()
+
+
+def give_back() -> None:
+    """Return free memory of the allocators to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc() -> ctypes.CDLL | None:
+    try:
+        libc = ctypes.CDLL(None)
+        libc.malloc_trim
+    except (OSError, AttributeError):
+        return None
+    return libc
+
+
+_LIBC = _libc()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

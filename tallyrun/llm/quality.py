@@ -117,7 +117,7 @@ def repetition(texts: list[str], window: int = WINDOW, min_repeat: int = MIN_REP
 
 
 def quality(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_again: int = 50, window: int = WINDOW, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, max_again: int = 50, window: int = WINDOW, min_repeat: int = MIN_REPEAT, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per document with its word statistics and the verdict.
 
@@ -129,14 +129,18 @@ def quality(
     more) and longest_repeat (words). A text is kept if base_failed is false, its spans are
     at most ``max_covered`` of its words and no repeat is longer than ``max_longest`` words.
 
+    Columns named in ``carry`` come along, after those (a text to carry is not read twice).
     A null or empty text has no words and fails. A null id keeps its row; repeated rows are
     judged alone; other columns are not read. Texts are dealt out by size in bytes, so long ones
     share no suffix array with many others; one text is the least a task holds.
     """
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    carried = [f"c{k}" for k in range(len(carry))]
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, carried, strict=True) if c != text_col])
+    source = ["text" if c == text_col else n for c, n in zip(carry, carried, strict=True)]
+    more = [f"`{n}` {docs.schema[c].dataType.simpleString()}" for c, n in zip(carry, carried, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=4 << 20):
+        for batch in slices(batches, size=1 << 20):
             texts = texts_of(batch)
             n, again, spans, longest = repetition(texts, window, min_repeat)
             chars = np.array([len(t) - sum(map(t.count, BLANKS)) for t in texts], np.int64)
@@ -148,11 +152,12 @@ def quality(
             failed = (n < min_words) | (100 * again > max_again * n)
             kept = ~failed & (spans <= max_covered * n) & (longest <= max_longest)
             columns = [n, chars, symbols, again_lines, again, failed, kept, spans, longest]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns), *map(batch.column, source)], [*names, *carried])
 
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_span_words", "longest_repeat"]
     kinds = ["long"] * 6 + ["boolean"] * 2 + ["long"] * 2
-    return picked.mapInArrow(run, ", ".join(f"{a} {b}" for a, b in zip(names, kinds, strict=True)))
+    out = picked.mapInArrow(run, ", ".join([*(f"{a} {b}" for a, b in zip(names, kinds, strict=True)), *more]))
+    return out.select(*names, *[F.col(n).alias(c) for n, c in zip(carried, carry, strict=True)])
 
 
 def op7_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
