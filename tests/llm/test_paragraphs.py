@@ -75,3 +75,9 @@ def test_similar_pairs_give_all_components():
     want = roots(40, [(i, j) for i in range(40) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))])
     got = roots(40, list(pg.similar_pairs(sets, 0.8)))
     assert got == want
+
+
+def test_query_on_a_whole_table(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    assert sorted(map(tuple, pg.op6_paragraph_dedup(spark, folder).collect()), key=str) == brute(rows)
