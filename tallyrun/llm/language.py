@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import bisect
-import math
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,53 +28,73 @@ SCRIPTS = (
     (0x0900, 0x097F, "Devanagari"), (0x0980, 0x09FF, "Bengali"), (0x0B80, 0x0BFF, "Tamil"), (0x0E00, 0x0E7F, "Thai"), (0x10A0, 0x10FF, "Georgian"), (0x1100, 0x11FF, "Hangul"),
     (0x1E00, 0x1EFF, "Latin"), (0x3040, 0x309F, "Hiragana"), (0x30A0, 0x30FF, "Katakana"), (0x3400, 0x9FFF, "Han"), (0xAC00, 0xD7AF, "Hangul"),
 )
-_FIRST = [s[0] for s in SCRIPTS]
-LETTERS = re.compile(r"[^\W\d_]+")
+_FIRST = np.array([s[0] for s in SCRIPTS])
+_LAST = np.array([s[1] for s in SCRIPTS])
+NAMES = sorted({s[2] for s in SCRIPTS}) + ["Other"]
+_NAME = np.array([NAMES.index(s[2]) for s in SCRIPTS])
+LETTERS = re.compile(r"[^\W\d_]")
+_NOT_LETTERS = re.compile(r"(?:[^\w\n]|[\d_])+")
+#: Letter runs are counted under this many numbers for each length; runs that share one are counted together.
+SLOTS = 1 << 17
+LENGTHS = (2, 3, 4)
 
 
-def script_of(letter: str) -> str:
-    k = bisect.bisect_right(_FIRST, ord(letter)) - 1
-    return SCRIPTS[k][2] if k >= 0 and ord(letter) <= SCRIPTS[k][1] else "Other"
+def scripts_of(letters: np.ndarray) -> np.ndarray:
+    """The number in NAMES of each code point's script."""
+    k = np.searchsorted(_FIRST, letters, side="right") - 1
+    return np.where((k >= 0) & (letters <= _LAST[k]), _NAME[k], len(NAMES) - 1)
 
 
 def letter_words(text: str) -> list[str]:
     """Words between blanks, without those that have no letter."""
-    return [w for w in text.split() if not w.isascii() or w.isalpha() or LETTERS.search(w)]
+    return [w for w in text.split() if w.isalpha() or LETTERS.search(w)]
 
 
-def _core(word: str) -> str:
-    return "".join(LETTERS.findall(unicodedata.normalize("NFC", word))).lower()
+def letter_runs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words: the numbers of all their letter runs, the place of each word's first run, and the letters by word with an edge mark after each.
 
-
-def _grams(core: str) -> Iterator[str]:
-    """Runs of one to four letters of a word with its edges marked."""
-    marked = f"^{core}$"
-    for n in (2, 3, 4):
-        for k in range(len(marked) - n + 1):
-            yield marked[k : k + n]
+    A word is its letters in lower case between two edge marks; its runs are those of 2, 3
+    and 4 letters and marks.
+    """
+    low = unicodedata.normalize("NFC", "\n".join(words)).lower()
+    text = "\n" + _NOT_LETTERS.sub("", low) + "\n"
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    edge = np.flatnonzero(points == 10)
+    word = np.repeat(np.arange(len(words)), np.diff(edge))  # of each point but the last
+    left = np.repeat(edge[1:], np.diff(edge)) - np.arange(len(word))  # points to the next edge
+    runs, owners, have = [], [], points
+    for n in range(2, max(LENGTHS) + 1):
+        have = (have[:-1] * np.uint64(0x100000001B3)) ^ (points[n - 1 :] * np.uint64(0x9E3779B97F4A7C15))
+        if n in LENGTHS:
+            at = np.flatnonzero(left[: len(have)] >= n - 1)
+            mixed = have[at] * np.uint64(0xD6E8FEB86659FD93)
+            runs.append((mixed >> np.uint64(47)).astype(np.int64) + SLOTS * LENGTHS.index(n))
+            owners.append(word[at])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate(runs)[order], np.searchsorted(owner[order], np.arange(len(words))), points
 
 
 class Model:
     """Scores of words by language: naive Bayes over letter runs, among the languages of the word's script.
 
-    counts: for each language the Counter of its letter runs; scripts: for each language the
-    Counter of the scripts of its letters. A language is a candidate for a script if this
-    has at least one of a hundred of its letters; a script that no language has leaves all.
+    counts: for each language how often each letter run occurs; scripts: for each language
+    how many letters of each script. A language is a candidate for a script if this has at
+    least one of a hundred of its letters; a script that no language has leaves all. The
+    script of a word is that of its first letter.
     """
 
-    def __init__(self, counts: dict[str, Counter], scripts: dict[str, Counter]):
+    def __init__(self, counts: dict[str, np.ndarray], scripts: dict[str, np.ndarray]):
         self.langs = sorted(counts)
         n = len(self.langs)
-        self.number = {g: k for k, g in enumerate(sorted(set().union(*counts.values())) if counts else ())}
-        table = np.full((len(self.number) + 1, n), 0.3)
+        self.table = np.zeros((SLOTS * len(LENGTHS), n))
         for j, lang in enumerate(self.langs):
-            for g, c in counts[lang].items():
-                table[self.number[g], j] += c
-        self.table = np.log(table) - np.log(table.sum(axis=0)) if n else table
-        self.allowed = {}
-        for script in set().union(*scripts.values()) if scripts else ():
-            ok = np.array([100 * scripts[x][script] >= sum(scripts[x].values()) > 0 for x in self.langs])
-            self.allowed[script] = np.where(ok, 0.0, -50.0) if ok.any() else np.zeros(n)
+            self.table[:, j] = np.log(counts[lang] + 0.3) - np.log(counts[lang].sum() + 0.3 * SLOTS)
+        self.allowed = np.zeros((len(NAMES), n))
+        for k in range(len(NAMES)):
+            ok = np.array([100 * scripts[x][k] >= scripts[x].sum() > 0 for x in self.langs], bool)
+            if ok.any():
+                self.allowed[k] = np.where(ok, 0.0, -50.0)
         self.words: dict[str, int] = {}
         self.scores = np.zeros((0, n), np.float32)
 
@@ -88,15 +105,10 @@ class Model:
             if len(self.words) + len(missing) > MEMORY:
                 self.words, self.scores = {}, self.scores[:0]
                 missing = list(dict.fromkeys(words))
-            last = len(self.number)
-            cores = [_core(w) for w in missing]
-            rows = [[self.number.get(g, last) for g in _grams(c)] for c in cores]
-            sizes = np.array([len(r) for r in rows])
-            flat = np.fromiter((k for r in rows for k in r), np.int64, int(sizes.sum()))
-            new = np.add.reduceat(self.table[flat], np.cumsum(sizes) - sizes, axis=0)
+            runs, first, points = letter_runs(missing)
+            new = np.add.reduceat(self.table[runs], first, axis=0)
             new = np.maximum(new - new.max(axis=1, keepdims=True), -12.0)
-            none = np.zeros(len(self.langs))
-            new += np.array([self.allowed.get(Counter(map(script_of, c)).most_common(1)[0][0] if c else "", none) for c in cores])
+            new += self.allowed[scripts_of(points[np.flatnonzero(points == 10)[:-1] + 1])]
             new -= new.max(axis=1, keepdims=True)
             start = len(self.scores)
             self.words.update(zip(missing, range(start, start + len(missing)), strict=True))
@@ -160,26 +172,25 @@ def fit(docs: DataFrame, labelled: F.Column, id_col: str = "doc_id", text_col: s
     texts = rows.join(F.broadcast(chosen), (F.col(id_col) == F.col("chosen")) & (F.col(lang_col) == F.col("of")), "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
+        sums: dict[str, np.ndarray] = {}
         for batch in slices(batches):
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch), strict=True):
-                mine = counts.setdefault(lang, Counter())
-                for word, times in Counter(letter_words(text)).items():
-                    core = _core(word)
-                    for g in _grams(core):
-                        mine[g] += times
-                    for c in core:
-                        mine["script " + script_of(c)] += times
-        out = [(lang, g, c) for lang, mine in counts.items() for g, c in mine.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "gram", "n"])
-
-    sums = texts.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, Counter] = {}
-    scripts: dict[str, Counter] = {}
-    for r in sums.toLocalIterator():
-        of = scripts if r.gram.startswith("script ") else counts
-        of.setdefault(r.lang, Counter())[r.gram.removeprefix("script ")] = r.n
-    return Model({x: counts.get(x, Counter()) for x in scripts}, scripts)
+                words = letter_words(text)
+                if words:
+                    runs, _, points = letter_runs(words)
+                    mine = sums.setdefault(lang, np.zeros(SLOTS * len(LENGTHS) + len(NAMES), np.int64))
+                    mine[: SLOTS * len(LENGTHS)] += np.bincount(runs, minlength=SLOTS * len(LENGTHS))
+                    mine[SLOTS * len(LENGTHS) :] += np.bincount(scripts_of(points[points != 10]), minlength=len(NAMES))
+        for lang, mine in sums.items():
+            at = np.flatnonzero(mine)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(mine[at])], ["lang", "number", "n"])
+
+    rows = texts.select(F.col(lang_col).alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "lang string, number long, n long")
+    counts: dict[str, np.ndarray] = {}
+    for r in rows.groupBy("lang", "number").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts.setdefault(r.lang, np.zeros(SLOTS * len(LENGTHS) + len(NAMES), np.int64))[r.number] = r.n
+    cut = SLOTS * len(LENGTHS)
+    return Model({x: c[:cut] for x, c in counts.items()}, {x: c[cut:] for x, c in counts.items()})
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", switch: float = SWITCH) -> DataFrame:

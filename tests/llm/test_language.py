@@ -52,7 +52,15 @@ def test_spans_of_a_mixed_text(spark, model):
 def test_scripts_narrow_the_candidates(model):
     scores = dict(zip(model.langs, model.word_scores(["слон"])[0]))
     assert scores["ru"] == 0 and all(scores[x] < -12 for x in ("aa", "ee", "el"))
-    assert language.script_of("я") == "Cyrillic" and language.script_of("漢") == "Han" and language.script_of("ꙮ") == "Other"
+    assert [language.NAMES[k] for k in language.scripts_of(np.array([ord(c) for c in "я漢ꙮa"]))] == ["Cyrillic", "Han", "Other", "Latin"]
+
+
+def test_letter_runs_belong_to_their_words():
+    words = ["ab", "x", "É9t", "ab"]
+    runs, first, _ = language.letter_runs(words)
+    parts = np.split(runs, first[1:])
+    assert [len(p) for p in parts] == [3 + 2 + 1, 2 + 1, 3 + 2 + 1, 6] and (np.sort(parts[0]) == np.sort(parts[3])).all()
+    assert (np.sort(language.letter_runs(["ét"])[0]) == np.sort(parts[2])).all()
 
 
 def test_odd_rows(spark, model):
