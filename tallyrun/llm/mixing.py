@@ -11,6 +11,8 @@ from .common import documents, word_count, written
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = 17
+#: Random offsets drawn for each source; the one that takes nearest the target is used.
+DRAWS = 16
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -36,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return done.select("source", "source_size", F.when(F.col("first").isNull() | (F.col("n") < F.col("first.n")), F.col("cap")).otherwise(F.col("first.level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
     """One row per document: (doc_id, size, source_size, target, copies, taken).
 
     Every document of a source expects target / source_size copies. The expected copies
@@ -46,7 +48,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, s
     slice and size, so that what is taken comes near the target for sizes of any spread. A
     slice is the first byte of the md5 of the id: no window holds more than one slice of
     one class of one source, however large that source is, and the sums of the slices give
-    the start of each. The offset is drawn from the md5 of seed and source, so reruns agree.
+    the start of each. ``draws`` offsets are drawn from the md5 of seed, number and source, so
+    reruns agree, and the one is used whose words come nearest the target: one long document
+    can be a large part of a small source.
 
     A null source is a source of its own; a null size or id counts as 0 or as the empty id;
     documents without words take 0 words (and keep their copies). Repeated rows are rows of
@@ -62,16 +66,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, s
     targets = source_targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
     along = W.partitionBy("source").orderBy("bits", "lead", "slice")
     parts = parts.select(*keys, (F.sum("rows").over(along) - F.col("rows")).alias("before"))
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    targets = targets.select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("each"), drawn.alias("offset"))
-    starts = parts.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select(*[F.col(f"p.{k}").alias(f"_{k}") for k in keys], "before", "source_size", "target", "each", "offset")
-    here = W.partitionBy(*keys).orderBy("size", "doc_id")
-    placed = slim.withColumn("at", F.row_number().over(here))
-    same = F.expr("source <=> _source") & (F.col("bits") == F.col("_bits")) & (F.col("lead") == F.col("_lead")) & (F.col("slice") == F.col("_slice"))
+    drawn = [F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32)) for k in range(draws)]
+    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    targets = written(targets.select("source", "source_size", "target", each.alias("each"), F.array(*drawn).alias("offsets")), "targets")
+    keyed = lambda df: df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys], F.col("source").isNull().alias("_none"), *[c for c in df.columns if c not in keys])
+    on = [f"_{k}" for k in keys] + ["_none"]
+    starts = parts.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select(*[F.col(f"p.{k}").alias(k) for k in keys], "before", "source_size", "target", "each", "offsets")
+    starts = written(keyed(starts), "starts")
+    here = W.partitionBy(*on).orderBy("size", "doc_id")
+    placed = written(keyed(slim).withColumn("at", F.row_number().over(here)), "placed")
     rank = F.col("before") + F.col("at")
-    upto = lambda n: F.floor(n.cast("double") * F.col("each") + F.col("offset"))
-    copies = (upto(rank) - upto(rank - 1)).cast("long")
-    return placed.join(starts, same).select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    upto = lambda n, offset: F.floor(n.cast("double") * F.col("each") + offset)
+    copies = lambda offset: (upto(rank, offset) - upto(rank - 1, offset)).cast("long")
+    sums = placed.join(starts, on).groupBy("_source", "_none").agg(F.array(*[F.sum(copies(F.col("offsets")[k]) * F.col("size")) for k in range(draws)]).alias("sums"), F.first("target").alias("goal"), F.first("offsets").alias("drawn"))
+    errors = sums.withColumn("errors", F.transform("sums", lambda x: F.abs(x.cast("double") - F.col("goal"))))
+    best = errors.select("_source", "_none", F.element_at("drawn", F.array_position("errors", F.array_min("errors")).cast("int")).alias("offset"))
+    final = starts.drop("offsets").join(written(best, "offsets"), ["_source", "_none"])
+    return placed.join(final, on).select("doc_id", "size", "source_size", "target", copies(F.col("offset")).alias("copies"), (copies(F.col("offset")) * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -113,12 +124,18 @@ WITH sized AS (
   SELECT source, source_size, CASE WHEN free.n IS NULL OR levels.n < free.n THEN cap ELSE free.level * w END AS target FROM levels CROSS JOIN free
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY bits, lead, slice, size, doc_id) AS rank FROM keyed
-), crossed AS (
-  SELECT doc_id, size, source_size, target, rank, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each,
-    ('0x' || substr(md5('{SEED}:' || coalesce(r.source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u
+), draws AS (
+  SELECT source, k, ('0x' || substr(md5('{SEED}:' || k || ':' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296 AS u FROM sources, (SELECT unnest(range(0, {DRAWS})) AS k)
+), expected AS (
+  SELECT doc_id, size, r.source, source_size, target, rank, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS each
   FROM ranked r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source
+), tried AS (
+  SELECT e.source, k, u, abs(sum((floor(rank::DOUBLE * each + u) - floor((rank - 1)::DOUBLE * each + u))::BIGINT * size)::DOUBLE - min(target)) AS error
+  FROM expected e JOIN draws d ON e.source IS NOT DISTINCT FROM d.source GROUP BY ALL
+), chosen AS (
+  SELECT source, arg_min(u, (error, k)) AS u FROM tried GROUP BY source
 ), counted AS (
-  SELECT *, (floor(rank::DOUBLE * each + u) - floor((rank - 1)::DOUBLE * each + u))::BIGINT AS copies FROM crossed
+  SELECT e.*, (floor(rank::DOUBLE * each + u) - floor((rank - 1)::DOUBLE * each + u))::BIGINT AS copies FROM expected e JOIN chosen c ON e.source IS NOT DISTINCT FROM c.source
 )
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted"""
 }
