@@ -24,7 +24,7 @@ LIMIT = 2048
 #: Words and pieces that a Python worker remembers before it starts anew.
 MEMORY = 400_000
 #: Unicode White_Space, which is what the file's normalizer and pattern split at.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def merged(symbols: list, ranks: dict) -> int:
