@@ -28,7 +28,7 @@ LENGTH = 100
 GRAM = 40
 STEP = 20
 #: Bytes of text that are hashed at a time, of text per bucket of segments, and of segments per merge.
-UNIT, BUCKET, MERGE = 2 << 20, 24 << 20, 1 << 20
+UNIT, BUCKET, MERGE = 2 << 20, 16 << 20, 1 << 19
 #: Distinct segments around one anchor from which their windows are dealt out one by one.
 CROWD = 2000
 LAST = (1 << 63) - 1  # a null id comes last
