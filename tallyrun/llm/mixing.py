@@ -72,7 +72,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, s
     keyed = lambda df: df.select(*[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"_{k}") for k in keys], F.col("source").isNull().alias("_none"), *[c for c in df.columns if c not in keys])
     on = [f"_{k}" for k in keys] + ["_none"]
     starts = parts.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select(*[F.col(f"p.{k}").alias(k) for k in keys], "before", "source_size", "target", "each", "offsets")
-    starts = written(keyed(starts), "starts")
+    # Small as a file, not in memory, and growing with the input: never broadcast.
+    starts = written(keyed(starts), "starts").hint("merge")
     here = W.partitionBy(*on).orderBy("size", "doc_id")
     placed = written(keyed(slim).withColumn("at", F.row_number().over(here)), "placed")
     rank = F.col("before") + F.col("at")
@@ -81,7 +82,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, s
     sums = placed.join(starts, on).groupBy("_source", "_none").agg(F.array(*[F.sum(copies(F.col("offsets")[k]) * F.col("size")) for k in range(draws)]).alias("sums"), F.first("target").alias("goal"), F.first("offsets").alias("drawn"))
     errors = sums.withColumn("errors", F.transform("sums", lambda x: F.abs(x.cast("double") - F.col("goal"))))
     best = errors.select("_source", "_none", F.element_at("drawn", F.array_position("errors", F.array_min("errors")).cast("int")).alias("offset"))
-    final = starts.drop("offsets").join(written(best, "offsets"), ["_source", "_none"])
+    final = starts.drop("offsets").join(written(best, "offsets"), ["_source", "_none"]).hint("merge")
     return placed.join(final, on).select("doc_id", "size", "source_size", "target", copies(F.col("offset")).alias("copies"), (copies(F.col("offset")) * F.col("size")).alias("taken"))
 
 
