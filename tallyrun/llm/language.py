@@ -166,8 +166,14 @@ def fit(docs: DataFrame, labelled: F.Column, id_col: str = "doc_id", text_col: s
     collected, so what reaches the driver is bounded by that number and the languages.
     """
     rows = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))
-    picked = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h")).withColumn("n", rank).where(F.col("n") <= per_language)
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().toLocalIterator()}
+    if not sizes:
+        return Model({}, {})
+    # Only hashes low enough for about four times the documents wanted go into the ranking.
+    span = 1 << 40
+    most = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(span, 4 * per_language * span // n + 1))])
+    low = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(span)).alias("h")).where(F.col("h") < most[F.col("lang")])
+    picked = low.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= per_language)
     chosen = picked.select(F.col("id").alias("chosen"), F.col("lang").alias("of"))
     texts = rows.join(F.broadcast(chosen), (F.col(id_col) == F.col("chosen")) & (F.col(lang_col) == F.col("of")), "left_semi")
 
