@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyrun.llm import common, mixing, packing, quality, simhash, suffix_dedup
+from tallyrun.llm import common, mixing, near_copies, packing, quality, suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,8 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document of the smallest id stays. Documents of a null id stay where no other of their group does."""
-    first = simhash.near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct()
+    """Of each group of near copies (five-word shingles, Jaccard 0.8) the document of the smallest id stays. Documents of a null id stay where no other of their group does."""
+    copies = common.written(near_copies.near_copies(docs), "copies")
+    least = copies.groupBy("component").agg(F.min("doc_id").alias("least"))
+    first = copies.join(least, "component").where("doc_id <=> least").select("doc_id").distinct()
     return docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi").select(*COLUMNS)
 
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,9 @@ MIN_WORDS = 25
 #: Members of a band group that one task compares with another such lot.
 LOT = 1000
 
+#: (number, start, end, words) of each part of a text that is compared.
+Split = Callable[[str], list[tuple[int, int, int, list[bytes]]]]
+
 _R = np.random.RandomState(20240229)
 _A = (_R.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
 _B = _R.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64)
@@ -65,26 +69,26 @@ def _words_id(words: list[bytes]) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
 
 
-def _find(min_words: int):
+def _find(split: Split):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=4 << 20):
             rows: list[tuple] = []
             for doc, tag, text in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), texts_of(batch), strict=True):
-                rows += [(doc, tag, k, a, b, len(w), _words_id(w)) for k, a, b, w in paragraphs_of(text, min_words)]
+                rows += [(doc, tag, k, a, b, len(w), _words_id(w)) for k, a, b, w in split(text)]
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["doc_id", "tag", "para", "start", "end", "n_words", "p"])
 
     return run
 
 
-def _band_rows(buckets: int, min_words: int, bands: int, rows: int):
+def _band_rows(buckets: int, split: Split, bands: int, rows: int):
     """Over texts: (bucket, keys and paragraphs packed), each paragraph once for the texts of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=8 << 20):
             seen: dict[int, np.ndarray] = {}
             for text in texts_of(batch):
-                for _, _, _, words in paragraphs_of(text, min_words):
+                for _, _, _, words in split(text):
                     p = _words_id(words)
                     if p not in seen:
                         seen[p] = band_keys(shingles(words), bands, rows)
@@ -175,7 +179,7 @@ def _verify(similar: float):
     return run
 
 
-def _sets(min_words: int):
+def _sets(split: Split):
     """Over texts and the numbers of some of their paragraphs: the shingle set of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +187,7 @@ def _sets(min_words: int):
             ps, data = [], []
             for text, wanted in zip(texts_of(batch), batch.column("wanted").to_pylist(), strict=True):
                 want = set(wanted)
-                for k, _, _, words in paragraphs_of(text, min_words):
+                for k, _, _, words in split(text):
                     if k in want:
                         ps.append(_words_id(words))
                         data.append(shingles(words).tobytes())
@@ -192,6 +196,39 @@ def _sets(min_words: int):
     return run
 
 
+def banded(picked: DataFrame, split: Split, bands: int = BANDS, rows: int = ROWS, bucket_bytes: int = 48 << 20) -> DataFrame:
+    """Rows (key, p): the parts of the texts that share a MinHash band with another part."""
+    spark = picked.sparkSession
+    total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bucket_bytes))
+    sent = picked.select("text").mapInArrow(_band_rows(buckets, split, bands, rows), "bucket int, data binary")
+    return written(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "key long, p long"), "members")
+
+
+def linked(picked: DataFrame, firsts: DataFrame, members: DataFrame, split: Split, similar: float, lot: int) -> DataFrame:
+    """Labels (p, label) of the parts that are similar to another member of a group.
+
+    picked: (doc_id, tag, text); firsts: one row a part (p, first, tag), first being (doc, para)
+    of a text that has it; members: (key, p) rows of a written table.
+    """
+    last = F.lit((1 << 63) - 1)
+    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("p").cast("decimal(20,0)")).alias("sum"), F.sum(F.xxhash64("p", F.lit(1)).cast("decimal(20,0)")).alias("sum2"))
+    once = groups.groupBy("n", "sum", "sum2").agg(F.min("key").alias("key")).select("key", "n")
+    chosen = written(members.join(once, "key"), "chosen")
+
+    wanted = firsts.join(chosen.select("p").distinct(), "p", "left_semi").groupBy(F.col("first.doc").alias("doc"), "tag").agg(F.collect_set("first.para").alias("wanted"))
+    texts = picked.withColumn("doc", F.coalesce("doc_id", last)).join(wanted, ["doc", "tag"]).select("text", "wanted")
+    sets = written(texts.mapInArrow(_sets(split), "p long, data binary").dropDuplicates(["p"]), "sets")
+
+    lots = F.ceil(F.col("n") / lot).cast("int")
+    mine = F.pmod(F.xxhash64("p", F.lit(2)), lots.cast("long")).cast("int")
+    dealt = chosen.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), lots - 1)))
+    dealt = dealt.select("p", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("lot"))
+    ready = dealt.join(sets, "p").repartition("lot").sortWithinPartitions("lot", "p")
+    edges = ready.select("lot", "p", "data").mapInArrow(_verify(similar), "a long, b long")
+    return components(edges).select(F.col("node").alias("p"), "label")
+
+
 def repeated_paragraphs(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS, lot: int = LOT, bucket_bytes: int = 48 << 20
 ) -> DataFrame:
@@ -212,32 +249,14 @@ def repeated_paragraphs(
     bands are compared once; groups over ``lot`` members are cut into lots and every two
     lots meet in a task, so no group comes into one task and no pair is left out.
     """
-    spark = docs.sparkSession
+    split = partial(paragraphs_of, min_words=min_words)
     last = F.lit((1 << 63) - 1)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = picked.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
-    found = written(picked.mapInArrow(_find(min_words), "doc_id long, tag long, para int, start long, end long, n_words long, p long"), "paragraphs")
-    total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / bucket_bytes))
-    sent = picked.select("text").mapInArrow(_band_rows(buckets, min_words, bands, rows), "bucket int, data binary")
-    members = written(sent.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_groups, "key long, p long"), "members")
-    groups = members.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("p").cast("decimal(20,0)")).alias("sum"), F.sum(F.xxhash64("p", F.lit(1)).cast("decimal(20,0)")).alias("sum2"))
-    once = groups.groupBy("n", "sum", "sum2").agg(F.min("key").alias("key")).select("key", "n")
-    chosen = written(members.join(once, "key"), "chosen")
-
+    found = written(picked.mapInArrow(_find(split), "doc_id long, tag long, para int, start long, end long, n_words long, p long"), "paragraphs")
     place = F.struct(F.coalesce("doc_id", last).alias("doc"), F.col("para"))
     firsts = written(found.groupBy("p").agg(F.min(place).alias("first"), F.min_by("tag", place).alias("tag"), F.count("*").alias("times")), "firsts")
-    wanted = firsts.join(chosen.select("p").distinct(), "p", "left_semi").groupBy(F.col("first.doc").alias("doc"), "tag").agg(F.collect_set("first.para").alias("wanted"))
-    texts = picked.withColumn("doc", F.coalesce("doc_id", last)).join(wanted, ["doc", "tag"]).select("text", "wanted")
-    sets = written(texts.mapInArrow(_sets(min_words), "p long, data binary").dropDuplicates(["p"]), "sets")
-
-    lots = F.ceil(F.col("n") / lot).cast("int")
-    mine = F.pmod(F.xxhash64("p", F.lit(2)), lots.cast("long")).cast("int")
-    dealt = chosen.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), lots - 1)))
-    dealt = dealt.select("p", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("lot"))
-    ready = dealt.join(sets, "p").repartition("lot").sortWithinPartitions("lot", "p")
-    edges = ready.select("lot", "p", "data").mapInArrow(_verify(similar), "a long, b long")
-    labels = components(edges).select(F.col("node").alias("p"), "label")
+    labels = linked(picked, firsts, banded(picked, split, bands, rows, bucket_bytes), split, similar, lot)
 
     named = firsts.join(labels, "p", "left").select("p", "first", "times", F.col("label"))
     keepers = named.where("label is not null").groupBy("label").agg(F.min("first").alias("keeper"))
