@@ -38,8 +38,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return done.select("source", "source_size", F.when(F.col("first").isNull() | (F.col("n") < F.col("first.n")), F.col("cap")).otherwise(F.col("first.level") * F.col("w")).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, draws: int = DRAWS) -> DataFrame:
-    """One row per document: (doc_id, size, source_size, target, copies, taken).
+def mix(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED, draws: int = DRAWS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: (doc_id, size, source_size, target, copies, taken), then the columns of ``carry``.
 
     Every document of a source expects target / source_size copies. The expected copies
     are summed up along the source, one random offset is added, and a document is taken
@@ -57,7 +57,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, s
     their own. An empty table gives an empty one. Other columns are not read.
     """
     words = size if size is not None else word_count("text")
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(words, F.lit(0)).cast("long").alias("size"), F.col(source_col).cast("string").alias("source"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(words, F.lit(0)).cast("long").alias("size"), F.col(source_col).cast("string").alias("source"), *[F.col(c).alias(f"carry_{c}") for c in carry])
     digits = F.bin(F.col("size"))
     slim = slim.select("*", F.length(digits).alias("bits"), F.substring(digits, 1, 3).alias("lead"), F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2).alias("slice"))
     slim = written(slim, "sizes")
@@ -74,7 +74,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, s
     starts = parts.alias("p").join(targets.alias("t"), F.expr("p.source <=> t.source")).select(*[F.col(f"p.{k}").alias(k) for k in keys], "before", "source_size", "target", "each", "offsets")
     # Small as a file, not in memory, and growing with the input: never broadcast.
     starts = written(keyed(starts), "starts").hint("merge")
-    here = W.partitionBy(*on).orderBy("size", "doc_id")
+    here = W.partitionBy(*on).orderBy("size", "doc_id", *[f"carry_{c}" for c in carry])
     placed = written(keyed(slim).withColumn("at", F.row_number().over(here)), "placed")
     rank = F.col("before") + F.col("at")
     upto = lambda n, offset: F.floor(n.cast("double") * F.col("each") + offset)
@@ -83,18 +83,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", size: F.Column | None = None, s
     errors = sums.withColumn("errors", F.transform("sums", lambda x: F.abs(x.cast("double") - F.col("goal"))))
     best = errors.select("_source", "_none", F.element_at("drawn", F.array_position("errors", F.array_min("errors")).cast("int")).alias("offset"))
     final = starts.drop("offsets").join(written(best, "offsets"), ["_source", "_none"]).hint("merge")
-    return placed.join(final, on).select("doc_id", "size", "source_size", "target", copies(F.col("offset")).alias("copies"), (copies(F.col("offset")) * F.col("size")).alias("taken"))
+    return placed.join(final, on).select("doc_id", "size", "source_size", "target", copies(F.col("offset")).alias("copies"), (copies(F.col("offset")) * F.col("size")).alias("taken"), *[F.col(f"carry_{c}").alias(c) for c in carry])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with all its columns.
 
-    ``docs`` needs unique ids; rows with a null id take part in the sums and are left out.
+    Rows are told apart by a number of their own, so null and repeated ids are rows like any other.
     """
-    taken = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    id_col = options.get("id_col", "doc_id")
-    rows = docs.join(taken, docs[id_col] == F.col("_id"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    taken = mix(rows, **options, carry=("_row",)).where("copies > 0").select("_row", "copies")
+    rows = rows.join(taken.withColumnRenamed("copies", "_copies"), "_row")
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

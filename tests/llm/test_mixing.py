@@ -67,3 +67,14 @@ def test_query_equals_its_sql(spark):
     sql = con.sql(mixing.ORACLES["op2_source_mixing"])
     assert sorted(sql.columns) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*sql.columns).collect())) == sorted(sql.fetchall())
+
+
+def test_mixed_takes_null_and_repeated_ids_as_rows(spark):
+    rows = [(None if i % 4 == 0 else i // 3, babble(i, 30), "en", "abc"[i % 3], 5) for i in range(60)]
+    rows += [rows[5]] * 3
+    table = docs(spark, rows)
+    wanted = mixing.mix(table).collect()
+    out = mixing.mixed(table).collect()
+    assert len(out) == sum(r.copies for r in wanted)
+    assert sum(r.doc_id is None for r in out) == sum(r.copies for r in wanted if r.doc_id is None) > 0
+    assert {tuple(r) for r in out} <= set(rows)
