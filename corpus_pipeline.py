@@ -25,11 +25,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8) the document of the smallest id stays. Documents of a null id stay where no other of their group does."""
-    copies = common.written(near_copies.near_copies(docs), "copies")
-    least = copies.groupBy("component").agg(F.min("doc_id").alias("least"))
-    first = copies.join(least, "component").where("doc_id <=> least").select("doc_id").distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi").select(*COLUMNS)
+    """Of each group of near copies (five-word shingles, Jaccard 0.8) one row stays: of the smallest id, a null id being last."""
+    rows = common.written(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    copies = near_copies.near_copies(rows, id_col="_row").withColumnRenamed("doc_id", "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_row").alias("row")))["row"]
+    kept = copies.join(rows.select("_row", "doc_id"), "_row").groupBy("component").agg(first.alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*COLUMNS)
 
 
 def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

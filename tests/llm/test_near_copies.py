@@ -53,3 +53,11 @@ def test_stage_on_a_whole_table(spark):
 
 def test_empty_table(spark):
     assert nc.near_copies(docs(spark, [])).collect() == []
+
+
+def test_stage_keeps_one_row_of_each_group_with_null_and_repeated_ids(spark):
+    a, b, c, d = (babble(k, 80, 3000) for k in range(4))
+    rows = [(1, a), (1, a), (2, a + " end"), (None, b), (None, b), (None, b + " end"), (3, c), (3, d), (2, d), (None, c)]
+    kept = cp.near_dedup(spark, docs(spark, rows), "").collect()
+    assert sorted((r.doc_id, r.text) for r in kept if r.doc_id) == [(1, a), (2, d), (3, c)]
+    assert [r.text.startswith(b) for r in kept if r.doc_id is None] == [True]
