@@ -19,7 +19,7 @@ WIDTH = 5
 SIMILAR = 0.8
 #: 20 bands of 4 rows: of pairs at 0.8 all but 1 in 38,000 meet in a band, at 0.9 all but 1 in 10**9.
 BANDS, ROWS = 20, 4
-#: Shorter paragraphs are left alone: what is looked for are passages, not headings or licence lines.
+#: Shorter paragraphs are left alone unless asked for; the query takes all that have a shingle of WIDTH words.
 MIN_WORDS = 25
 #: Members of a band group that one task compares with another such lot.
 LOT = 1000
@@ -267,8 +267,8 @@ def repeated_paragraphs(
 
 
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph of the documents that repeats an earlier one, and which."""
-    return repeated_paragraphs(documents(spark, sf_dir))
+    """Every paragraph (a line of five words or more) of the documents that repeats an earlier one, and which."""
+    return repeated_paragraphs(documents(spark, sf_dir), min_words=WIDTH)
 
 
 QUERIES = {"op6_paragraph_dedup": op6_paragraph_dedup}

@@ -81,3 +81,12 @@ def test_query_on_a_whole_table(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(map(tuple, pg.op6_paragraph_dedup(spark, folder).collect()), key=str) == brute(rows)
+
+
+def test_query_takes_short_lines_and_wrapped_passages(spark, tmp_path):
+    passage = babble(7, 120, 3000).split(" ")
+    wrapped = "\n".join(" ".join(passage[k : k + 12]) for k in range(0, 120, 12))
+    rows = [(k, babble(k + 100, 30, 3000) + "\n" + wrapped + f"\nfour words {k} only") for k in range(3)] + [(5, "one two three four five"), (6, "One two three\tfour five\nfour words 1 only")]
+    docs(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, pg.op6_paragraph_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == brute(rows, min_words=5) and len(got) == 21
