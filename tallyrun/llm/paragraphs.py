@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import partial
+from dataclasses import dataclass
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import BLANKS, documents, slices, texts_of, written
@@ -17,85 +19,194 @@ from .components import components
 
 WIDTH = 5
 SIMILAR = 0.8
-#: 20 bands of 4 rows: of pairs at 0.8 all but 1 in 38,000 meet in a band, at 0.9 all but 1 in 10**9.
-BANDS, ROWS = 20, 4
-#: Shorter paragraphs are left alone unless asked for; the query takes all that have a shingle of WIDTH words.
-MIN_WORDS = 25
+#: 8 bands of 3 rows: of pairs at 0.8 all but 1 in 310 meet in a band, at 0.9 all but 1 in 30,000; equal paragraphs always.
+BANDS, ROWS = 8, 3
+#: A paragraph begins where the hash of three words is least among this many words on either side.
+REACH = 10
+#: Neighbouring repeated paragraphs of fewer words together stay: phrases, headings and notices of a line.
+LEAST_RUN = 16
 #: Members of a band group that one task compares with another such lot.
 LOT = 1000
 
-#: (number, start, end, words) of each part of a text that is compared.
-Split = Callable[[str], list[tuple[int, int, int, list[bytes]]]]
-
+_LAST = np.uint64((1 << 64) - 1)
 _R = np.random.RandomState(20240229)
-_A = (_R.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-_B = _R.randint(0, 1 << 62, BANDS * ROWS).astype(np.uint64)
-
-
-def paragraphs_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, list[bytes]]]:
-    """(number, start, end, words) of the lines with at least so many words; A-Z are lowered in the words."""
-    out, at = [], 0
-    for k, line in enumerate(text.split("\n")):
-        words = line.encode().lower().split()
-        if words and len(words) >= min_words:
-            start = at + len(line) - len(line.lstrip(BLANKS))
-            out.append((k, start, at + len(line.rstrip(BLANKS)), words))
-        at += len(line) + 1
+_A = (_R.randint(0, 1 << 62, 256).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
+_B = _R.randint(0, 1 << 62, 256).astype(np.uint64)
+_LETTER = _R.randint(0, 1 << 62, 256).astype(np.uint64) << np.uint64(1) | np.uint64(1)
+_BASES = [int(x) for x in _R.randint(0, 1 << 62, 4).astype(np.uint64) << np.uint64(1) | np.uint64(1)]
+_IS_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
+#: Bytes of words hashed at a time, and the length from which a word is hashed by itself.
+_BLOCK, _LONG = 1 << 20, 1 << 12
+
+
+@lru_cache(maxsize=8)
+def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 .. 2**bits of an odd number and of its inverse, modulo 2**64."""
+    both = []
+    for x in (base, pow(base, -1, 1 << 64)):
+        steps = np.full((1 << bits) + 1, x, np.uint64)
+        steps[0] = 1
+        both.append(np.cumprod(steps, dtype=np.uint64))
+    return both[0], both[1]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return x ^ (x >> np.uint64(29))
+
+
+def _runs_hash(values: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
+    """A 64-bit hash of values[first:last] for each pair, whatever stands around them."""
+    up, down = _powers(base, max(10, int(len(values)).bit_length()))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+    return _mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+
+
+def _word_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    out = np.empty(len(start), np.uint64)
+    long = end - start > _LONG
+    for k in np.flatnonzero(long).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[start[k] : end[k]])
+    at, done = np.flatnonzero(~long), 0
+    while done < len(at):
+        low = int(start[at[done]])
+        upto = int(np.searchsorted(start[at], low + _BLOCK))
+        some = at[done:upto]
+        letters = _LETTER[np.frombuffer(data, np.uint8, int(end[some[-1]]) - low, low)]
+        out[some] = _runs_hash(letters, start[some] - low, end[some] - low, _BASES[0])
+        done = upto
     return out
 
 
-def shingles(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """The set of word shingles as sorted XXH64 values; fewer words than ``width`` are one shingle."""
-    digest = xxhash.xxh64_digest
-    n = max(1, len(words) - width + 1)
-    return np.unique(np.frombuffer(b"".join([digest(b" ".join(words[k : k + width])) for k in range(n)]), ">u8").astype(np.uint64))
+class Words:
+    """The words of some texts: A-Z lowered, cut at the six blanks. text, start and end (bytes in ``data``) and hash of each."""
 
+    def __init__(self, texts: list[str]):
+        raw = [x.encode() for x in texts]
+        self.data = b"\n".join([*raw, b""]).lower()
+        self.text_start = np.cumsum([0, *[len(x) + 1 for x in raw]])
+        letters = ~_IS_BLANK[np.frombuffer(self.data, np.uint8)]
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], letters, [False])).astype(np.int8)))
+        self.start, self.end = edge[::2], edge[1::2]
+        self.text = np.searchsorted(self.text_start, self.start, side="right") - 1
+        self.hash = _word_hashes(self.data, self.start, self.end)
+        self.new = np.concatenate(([True], self.text[1:] != self.text[:-1])) if len(self.text) else np.empty(0, bool)
+
+    def code_points(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word starts and ends in its text, in code points."""
+        before = np.concatenate(([0], np.cumsum((np.frombuffer(self.data, np.uint8) & 0xC0) != 0x80)))
+        base = before[self.text_start[self.text]]
+        return before[self.start] - base, before[self.end] - base
+
+
+#: The first word of each part of the texts that is compared; the parts lie end to end.
+Split = Callable[[Words], np.ndarray]
 
-def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """A 64-bit key for each band: its number and the least values of its hash functions over the set."""
-    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(values), 4096):
-        part = values[k : k + 4096, None] * _A[None, : bands * rows] + _B[None, : bands * rows]
-        least = np.minimum(least, (part ^ (part >> np.uint64(32))).min(axis=0))
-    keys = np.arange(1, bands + 1, dtype=np.uint64)
-    for column in least.reshape(bands, rows).T:
-        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        keys ^= keys >> np.uint64(29)
-    return keys
 
+def whole(words: Words) -> np.ndarray:
+    """Every text with a word is one part."""
+    return np.flatnonzero(words.new)
 
-def _words_id(words: list[bytes]) -> int:
-    """Equal paragraphs are one: 64 bits of their words."""
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+def paragraphs_of(words: Words, reach: int = REACH) -> np.ndarray:
+    """Content-defined paragraphs, about 2 * reach + 1 words each, without regard to line ends.
+
+    A paragraph begins with a text and where the hash of a word and the two after it is
+    less than those of the ``reach`` words before and no more than those of the ``reach``
+    after. So a passage that is repeated is cut alike wherever it stands and however it is wrapped,
+    but for its first and last words.
+    """
+    n = len(words.hash)
+    if not n:
+        return np.empty(0, np.int64)
+    grams = np.full(n, _LAST)
+    if n > 2:
+        low, mid = np.uint64(_BASES[1]), np.uint64(pow(_BASES[1], 2, 1 << 64))
+        inside = words.text[2:] == words.text[:-2]
+        grams[:-2][inside] = _mixed(words.hash[:-2] + words.hash[1:-1] * low + words.hash[2:] * mid)[inside]
+    place = np.arange(n) + (words.text + 1) * reach  # so that no text reaches into another
+    padded = np.full(int(place[-1]) + reach + 1, _LAST)
+    padded[place] = grams
+    left, right = np.full(n, _LAST), np.full(n, _LAST)
+    for d in range(1, reach + 1):
+        np.minimum(left, padded[place - d], out=left)
+        np.minimum(right, padded[place + d], out=right)
+    return np.flatnonzero(words.new | ((grams < left) & (grams <= right)))
+
+
+@dataclass
+class Parts:
+    """The parts of some texts: text, number in it, first and last word, hash of the words (equal parts are one)."""
+
+    words: Words
+    text: np.ndarray
+    number: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    p: np.ndarray
+
+
+def parts_of(texts: list[str], split: Split) -> Parts:
+    words = Words(texts)
+    first = split(words)
+    last = np.append(first[1:], len(words.hash)) if len(first) else first
+    text = words.text[first]
+    opens = np.searchsorted(text, text)  # the first part of the same text
+    return Parts(words, text, np.arange(len(first)) - opens, first, last, _runs_hash(words.hash, first, last, _BASES[2]).view(np.int64))
+
+
+def shingles(parts: Parts, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the shingle that starts at each word, and whether one does; fewer words than ``width`` are one shingle."""
+    n = len(parts.words.hash)
+    at = np.arange(n)
+    size = parts.last - parts.first
+    there = at + width <= np.repeat(parts.last, size)
+    hashes = np.zeros(n, np.uint64)
+    for k in range(min(width, n)):
+        hashes[: n - k] += parts.words.hash[k:] * np.uint64(pow(_BASES[3], k, 1 << 64))
+    hashes = _mixed(hashes)
+    short = size < width
+    hashes[parts.first[short]] = parts.p[short].view(np.uint64)
+    there[parts.first[short]] = True
+    return hashes, there
+
+
+def band_keys(hashes: np.ndarray, there: np.ndarray, first: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """A 64-bit key for each part and band: the band's number and the least values of its hash functions over the part's shingles."""
+    keys = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], len(first), axis=0)
+    for k in range(bands * rows):
+        value = hashes * _A[k] + _B[k]
+        value ^= value >> np.uint64(32)
+        value[~there] = _LAST
+        column = keys[:, k // rows]
+        column[:] = (column ^ np.minimum.reduceat(value, first)) * np.uint64(0x9E3779B97F4A7C15)
+        column ^= column >> np.uint64(29)
+    return keys
 
 
 def _find(split: Split):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=4 << 20):
-            rows: list[tuple] = []
-            for doc, tag, text in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), texts_of(batch), strict=True):
-                rows += [(doc, tag, k, a, b, len(w), _words_id(w)) for k, a, b, w in split(text)]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], ["doc_id", "tag", "para", "start", "end", "n_words", "p"])
+            parts = parts_of(texts_of(batch), split)
+            start, end = parts.words.code_points()
+            rows = pa.array(parts.text)
+            columns = [batch.column("doc_id").take(rows), batch.column("tag").take(rows), pa.array(parts.number, pa.int32()), pa.array(start[parts.first]), pa.array(end[parts.last - 1]), pa.array(parts.last - parts.first), pa.array(parts.p)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tag", "para", "start", "end", "n_words", "p"])
 
     return run
 
 
 def _band_rows(buckets: int, split: Split, bands: int, rows: int):
-    """Over texts: (bucket, keys and paragraphs packed), each paragraph once for the texts of a batch."""
+    """Over texts: (bucket, keys and parts packed), each part once for the texts of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=8 << 20):
-            seen: dict[int, np.ndarray] = {}
-            for text in texts_of(batch):
-                for _, _, _, words in split(text):
-                    p = _words_id(words)
-                    if p not in seen:
-                        seen[p] = band_keys(shingles(words), bands, rows)
-            if not seen:
+        for batch in slices(batches, size=4 << 20):
+            parts = parts_of(texts_of(batch), split)
+            if not len(parts.p):
                 continue
-            keys = np.concatenate(list(seen.values()))
-            ps = np.repeat(np.array(list(seen), np.int64), bands)
+            each = band_keys(*shingles(parts), parts.first, bands, rows)
+            some, at = np.unique(parts.p, return_index=True)
+            keys, ps = each[at].ravel(), np.repeat(some, bands)
             bucket = (keys % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.concatenate(([True], np.diff(bucket[order]) != 0, [True])))
@@ -180,17 +291,19 @@ def _verify(similar: float):
 
 
 def _sets(split: Split):
-    """Over texts and the numbers of some of their paragraphs: the shingle set of each."""
+    """Over texts and the numbers of some of their parts: the shingle set of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, size=4 << 20):
+            parts = parts_of(texts_of(batch), split)
+            hashes, there = shingles(parts)
+            wanted = batch.column("wanted")
+            of = np.repeat(np.arange(batch.num_rows), np.diff(wanted.offsets.to_numpy()))
+            asked = np.isin(parts.text * (1 << 32) + parts.number, of * (1 << 32) + wanted.flatten().to_numpy())
             ps, data = [], []
-            for text, wanted in zip(texts_of(batch), batch.column("wanted").to_pylist(), strict=True):
-                want = set(wanted)
-                for k, _, _, words in split(text):
-                    if k in want:
-                        ps.append(_words_id(words))
-                        data.append(shingles(words).tobytes())
+            for p, a, b in zip(parts.p[asked].tolist(), parts.first[asked].tolist(), parts.last[asked].tolist(), strict=True):
+                ps.append(p)
+                data.append(np.unique(hashes[a:b][there[a:b]]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int64()), pa.array(data, pa.binary())], ["p", "data"])
 
     return run
@@ -230,26 +343,29 @@ def linked(picked: DataFrame, firsts: DataFrame, members: DataFrame, split: Spli
 
 
 def repeated_paragraphs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, min_words: int = MIN_WORDS, bands: int = BANDS, rows: int = ROWS, lot: int = LOT, bucket_bytes: int = 48 << 20
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, reach: int = REACH, least_run: int = LEAST_RUN, bands: int = BANDS, rows: int = ROWS, lot: int = LOT, bucket_bytes: int = 48 << 20
 ) -> DataFrame:
     """The paragraphs to remove: (doc_id, para, start, end, n_words, kept_doc_id, kept_para).
 
-    Paragraphs are lines of at least ``min_words`` words; para counts all lines from 0, start
-    and end are code points. Two paragraphs link if they are equal (A-Z lowered, blanks
-    aside) or meet in a MinHash band and their sets of five-word shingles have a Jaccard
-    similarity of ``similar`` or more. Of each component the first paragraph by (doc_id, para)
-    stays and the others are removed; it is named beside them.
+    Paragraphs are cut by content (paragraphs_of) and every word is in one; para counts
+    them from 0, start and end are code points. Two paragraphs link if they are equal (A-Z
+    lowered, blanks aside) or meet in a MinHash band and their sets of five-word shingles
+    have a Jaccard similarity of ``similar`` or more. Of each component the first paragraph
+    by (doc_id, para) stays and the others are repeats; it is named beside them. Repeats
+    that are neighbours in a text are one run, and runs of fewer than ``least_run`` words
+    are left alone; with 1 every repeat goes.
 
-    Null and empty texts have no paragraphs; a null id comes last. Rows of the same id and
-    paragraph number that are equal are the same paragraph, and of different ones each counts.
-    Other columns are not read; an empty table gives an empty one.
+    Null and empty texts have no paragraphs; a null id comes last. Repeated rows are one
+    document: their paragraphs are listed once. Different texts of the same id are parts of
+    one document, where paragraphs of the same number are not repeats of each other. Other
+    columns are not read; an empty table gives an empty one.
 
     Equal paragraphs are one node. A batch of texts sends each of its paragraphs to its
-    bands once, so a common line costs a row a batch. Groups of the same members in several
+    bands once, so a common one costs a row a batch. Groups of the same members in several
     bands are compared once; groups over ``lot`` members are cut into lots and every two
     lots meet in a task, so no group comes into one task and no pair is left out.
     """
-    split = partial(paragraphs_of, min_words=min_words)
+    split = partial(paragraphs_of, reach=reach)
     last = F.lit((1 << 63) - 1)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     picked = picked.withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))))
@@ -258,17 +374,19 @@ def repeated_paragraphs(
     firsts = written(found.groupBy("p").agg(F.min(place).alias("first"), F.min_by("tag", place).alias("tag"), F.count("*").alias("times")), "firsts")
     labels = linked(picked, firsts, banded(picked, split, bands, rows, bucket_bytes), split, similar, lot)
 
-    named = firsts.join(labels, "p", "left").select("p", "first", "times", F.col("label"))
+    named = firsts.join(labels, "p", "left").select("p", "first", "times", F.col("label")).where("times > 1 or label is not null")
     keepers = named.where("label is not null").groupBy("label").agg(F.min("first").alias("keeper"))
-    fate = named.join(keepers, "label", "left").select("p", F.coalesce("keeper", "first").alias("keeper"), "times", "label").where("times > 1 or label is not null")
-    doomed = found.join(fate.select("p", "keeper"), "p").where(place != F.col("keeper"))
+    fate = written(named.join(keepers, "label", "left").select("p", F.coalesce("keeper", "first").alias("keeper")), "fate")
+    doomed = found.join(fate, "p").where(place != F.col("keeper")).repartition("doc_id", "tag").dropDuplicates(["doc_id", "tag", "para"])
+    here = W.partitionBy("doc_id", "tag")
+    doomed = doomed.withColumn("run", F.col("para") - F.row_number().over(here.orderBy("para"))).withColumn("run_words", F.sum("n_words").over(W.partitionBy("doc_id", "tag", "run")))
     kept_id = F.when(F.col("keeper.doc") != last, F.col("keeper.doc"))
-    return doomed.select("doc_id", "para", "start", "end", "n_words", kept_id.alias("kept_doc_id"), F.col("keeper.para").alias("kept_para"))
+    return doomed.where(F.col("run_words") >= least_run).select("doc_id", "para", "start", "end", "n_words", kept_id.alias("kept_doc_id"), F.col("keeper.para").alias("kept_para"))
 
 
 def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every paragraph (a line of five words or more) of the documents that repeats an earlier one, and which."""
-    return repeated_paragraphs(documents(spark, sf_dir), min_words=WIDTH)
+    """Every paragraph of the documents that repeats an earlier one, in runs of 16 words or more, and which it repeats."""
+    return repeated_paragraphs(documents(spark, sf_dir))
 
 
 QUERIES = {"op6_paragraph_dedup": op6_paragraph_dedup}
