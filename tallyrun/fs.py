@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 import os
+import time
+import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
+from .names import StoreError
+
+#: File systems whose rename is atomic and leaves a target that is there alone.
+ATOMIC = ("hdfs", "viewfs")
+
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
@@ -15,6 +22,7 @@ class Files:
         path = self._jvm.org.apache.hadoop.fs.Path(root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root))
         self._fs = path.getFileSystem(self._conf)
         self.root = self._fs.makeQualified(path).toString().rstrip("/")
+        self.scheme = self.root.partition(":")[0]
         self._local = self.root.removeprefix("file:").replace("//", "/", 1) if self.root.startswith("file:") else None
 
     def path(self, *parts: str) -> str:
@@ -34,6 +42,10 @@ class Files:
     def size(self, path: str) -> int:
         return self._fs.getContentSummary(self._at(path)).getLength()
 
+    def age(self, path: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        return time.time() - self._fs.getFileStatus(self._at(path)).getModificationTime() / 1000
+
     def mkdirs(self, path: str) -> None:
         self._fs.mkdirs(self._at(path))
 
@@ -45,7 +57,11 @@ class Files:
             stream.close()
 
     def create(self, path: str, data: bytes) -> bool:
-        """Write a new file; False if there is one. On local disks the file appears whole or not at all."""
+        """Write a new file that appears whole or not at all; False if there is one.
+
+        Local disks link, HDFS (also behind viewfs) renames; neither replaces what is there.
+        Other file systems promise neither, so they are refused.
+        """
         if self._local:
             target = path.removeprefix("file:").replace("//", "/", 1)
             os.makedirs(os.path.dirname(target), exist_ok=True)
@@ -61,15 +77,27 @@ class Files:
             finally:
                 os.unlink(draft)
             return True
+        if self.scheme not in ATOMIC:
+            raise StoreError(f"a store can't be kept on {self.scheme}: it can't make a file whole and only once")
+        if self.exists(path):
+            return False
+        draft = f"{path}.{uuid.uuid4().hex}.draft"
+        stream = self._fs.create(self._at(draft), False)
         try:
-            stream = self._fs.create(self._at(path), False)
+            stream.write(data)
+        finally:
+            stream.close()
+        try:
+            made = self._fs.rename(self._at(draft), self._at(path))
         except Py4JJavaError as e:
-            if "FileAlreadyExists" in str(e.java_exception):
-                return False
-            raise
-        stream.write(data)
-        stream.close()
-        return True
+            if "FileAlreadyExists" not in str(e.java_exception):
+                raise
+            made = False
+        if not made:
+            self._fs.delete(self._at(draft), False)
+            if not self.exists(path):
+                raise OSError(f"{path} could not be made")
+        return made
 
     def rename(self, old: str, new: str) -> None:
         self._fs.mkdirs(self._at(new).getParent())

@@ -52,6 +52,20 @@ def prune(store: Store, name: str | None = None, by: str = "auto", run_id: str |
 
 
 def _prune_versions(store: Store, name, keep, keep_latest, limit, force) -> DataFrame:
+    going: list[dict] = []
+
+    def build() -> list[dict]:
+        going[:] = _old_versions(store, name, keep, keep_latest, limit, force)
+        return [{"do": "version_delete", "name": v["logical_name"], "hash": v["content_hash"]} for v in going]
+
+    store.log.commit(build)
+    for v in going:
+        store._live_views.pop((v["logical_name"], v["content_hash"]), None)
+        _delete(store, v)
+    return metadata.frame(store.spark, going, metadata.VERSIONS)
+
+
+def _old_versions(store: Store, name, keep, keep_latest, limit, force) -> list[dict]:
     by_name = defaultdict(list)
     for (n, _), v in store.log.versions.items():
         if name in (None, n):
@@ -68,14 +82,9 @@ def _prune_versions(store: Store, name, keep, keep_latest, limit, force) -> Data
         written = {output_identity(o) for r in store.log.runs.values() for o in r["outputs"] or ()}
         safe = [v for v in going if (v["logical_name"], v["content_hash"]) in written]
         if safe:
-            warnings.warn(f"{len(safe)} versions are results of runs and stay; force=True removes them", stacklevel=4)
+            warnings.warn(f"{len(safe)} versions are results of runs and stay; force=True removes them", stacklevel=6)
         going = [v for v in going if v not in safe]
-    if going:
-        store.log.commit([{"do": "version_delete", "name": v["logical_name"], "hash": v["content_hash"]} for v in going])
-        for v in going:
-            store._live_views.pop((v["logical_name"], v["content_hash"]), None)
-            _delete(store, v)
-    return metadata.frame(store.spark, going, metadata.VERSIONS)
+    return going
 
 
 def _delete(store: Store, row: dict) -> None:
@@ -87,7 +96,21 @@ def _delete(store: Store, row: dict) -> None:
 
 
 def _prune_chunks(store: Store, name, run_id, keep, keep_latest, limit, force) -> DataFrame:
-    log, rows, actions, going = store.log, [], [], []
+    rows: list[dict] = []
+    going: list[dict] = []
+
+    def build() -> list[dict]:
+        rows[:], going[:] = _old_chunks(store, name, run_id, keep, keep_latest, limit, force)
+        return [{"do": "chunk_delete", "path": c["path"]} for c in going]
+
+    store.log.commit(build)
+    for c in going:
+        _delete(store, c)
+    return metadata.frame(store.spark, rows, ("logical_name", "rows_pruned"))
+
+
+def _old_chunks(store: Store, name, run_id, keep, keep_latest, limit, force) -> tuple[list[dict], list[dict]]:
+    log, rows, going = store.log, [], []
     for table in log.tables if name is None else [name] if name in log.tables else []:
         chunks = log.chunks_of(table)
         ids = {c["run_id"] for c in chunks}
@@ -106,23 +129,37 @@ def _prune_chunks(store: Store, name, run_id, keep, keep_latest, limit, force) -
         if not force and not keep_latest:
             labelled = {i for i in doomed if (log.runs.get(i) or {}).get("variant_label")}
             if labelled:
-                warnings.warn(f"{len(labelled)} labelled runs of {table} stay; force=True removes them", stacklevel=4)
+                warnings.warn(f"{len(labelled)} labelled runs of {table} stay; force=True removes them", stacklevel=6)
             doomed -= labelled
         mine = [c for c in chunks if c["run_id"] in doomed]
         going += mine
-        actions += [{"do": "chunk_delete", "path": c["path"]} for c in mine]
         rows.append({"logical_name": table, "rows_pruned": sum(c["rows_appended"] for c in mine)})
-    if actions:
-        log.commit(actions)
-        for c in going:
-            _delete(store, c)
-    return metadata.frame(store.spark, rows, ("logical_name", "rows_pruned"))
+    return rows, going
+
+
+def collect_garbage(store: Store, older_than: str = "1d", dry_run: bool = False) -> list[str]:
+    """Delete data that no commit names and that is older than a time: what writers left that ended before their commit. The paths."""
+    store.log.replay()
+    named = {r["path"] for r in [*store.log.versions.values(), *store.log.chunks] if r.get("path")}
+    limit, found = duration(older_than).total_seconds(), []
+    for name in store.files.names(store.files.path("data")):
+        found += [f"data/{name}/{x}" for x in store.files.names(store.files.path("data", name))]
+    found += [f"artifacts/{x}" for x in store.files.names(store.files.path("artifacts"))]
+    going = [p for p in found if p not in named and store.files.age(store.files.path(p)) >= limit]
+    if not dry_run:
+        for p in going:
+            store.files.delete(store.files.path(p))
+    return going
 
 
 def prune_variants(store: Store, script: str, label: str | None = None, dry_run: bool = False) -> list[str]:
     """Delete the run rows of a step's labels, or of one label. Their ids."""
     store.log.replay()
-    ids = [r["run_id"] for r in store.log.runs.values() if r["step"] == script and r["variant_label"] is not None and label in (None, r["variant_label"])]
-    if ids and not dry_run:
-        store.log.commit([{"do": "run_delete", "run_id": i} for i in ids])
+    ids: list[str] = []
+
+    def build() -> list[dict]:
+        ids[:] = [r["run_id"] for r in store.log.runs.values() if r["step"] == script and r["variant_label"] is not None and label in (None, r["variant_label"])]
+        return [{"do": "run_delete", "run_id": i} for i in ids]
+
+    build() if dry_run else store.log.commit(build)
     return ids

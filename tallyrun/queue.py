@@ -43,19 +43,26 @@ def queue(store: Store, code, rebind=None, label: str | None = None, external_in
     single = not isinstance(rebind, Batch)
     envelopes = [rebind or {}] if single else list(rebind)
     batch_id = None if single else new_id("batch", store.now())
-    staged, actions, ids = [], [], []
+    staged, ids = [], []
     for e in envelopes:
         own = valid_label(e.get(".label")) or label
         bindings = resolve(store, {k: v for k, v in e.items() if k != ".label"})
         staged.append((own, [b.record() for b in bindings.values()]))
+    rows = []
     for own, records in staged:
-        row = {"step": step.name, "run_id": new_id("run", store.now()), "inputs": [], "outputs": [], "started_at": None, "queued_at": store.now(), "status": "queued", "code_hash": step.own_hash, "external_inputs": outside, "helpers": [], "variant_label": own, "code_body": step.body, "seed": seed, "rebinds": records, "batch_id": batch_id, "attached_packages": []}
-        same = next((r["run_id"] for r in [*store.log.runs.values(), *[a["run"] for a in actions]] if r["status"] == "queued" and all(r[k] == row[k] for k in ("step", "code_hash", "variant_label", "rebinds", "external_inputs"))), None)
-        if same is None:
-            actions.append({"do": "run_add", "run": row})
-        ids.append(same or row["run_id"])
-    if actions:
-        store.log.commit(actions)
+        rows.append({"step": step.name, "run_id": new_id("run", store.now()), "inputs": [], "outputs": [], "started_at": None, "queued_at": store.now(), "status": "queued", "code_hash": step.own_hash, "external_inputs": outside, "helpers": [], "variant_label": own, "code_body": step.body, "seed": seed, "rebinds": records, "batch_id": batch_id, "attached_packages": []})
+
+    def build() -> list[dict]:
+        actions: list[dict] = []
+        ids.clear()
+        for row in rows:
+            same = next((r["run_id"] for r in [*store.log.runs.values(), *[a["run"] for a in actions]] if r["status"] == "queued" and all(r[k] == row[k] for k in ("step", "code_hash", "variant_label", "rebinds", "external_inputs"))), None)
+            if same is None:
+                actions.append({"do": "run_add", "run": row})
+            ids.append(same or row["run_id"])
+        return actions
+
+    store.log.commit(build)
     return ids[0] if single else ids
 
 
@@ -67,16 +74,17 @@ def pick_up(store: Store, row: dict, force: bool = False) -> str:
     if md5(normal_code(step.body)) != row["code_hash"]:
         warnings.warn(f"{row['step']} has changed since {row['run_id']} was queued", stacklevel=4)
 
-    def unclaimed() -> None:
+    def claim() -> list[dict]:
         if store.log.runs.get(row["run_id"], {}).get("status") != "queued":
             raise StoreError(f"{row['run_id']} is not queued any more")
+        return [{"do": "run_update", "run_id": row["run_id"], "set": {"status": "claimed"}}]
 
-    store.log.commit([{"do": "run_update", "run_id": row["run_id"], "set": {"status": "claimed"}}], unclaimed)
+    store.log.commit(claim)
     try:
         return run_one(store, step, _bound(row["rebinds"]), row["variant_label"], None, force, row["seed"], bool(row["materialize"]), row["batch_id"], queued=row)
     except BaseException:
-        if store.log.runs[row["run_id"]]["status"] == "claimed":
-            store.log.commit([{"do": "run_update", "run_id": row["run_id"], "set": {"status": "error", "started_at": store.now()}}])
+        failed = [{"do": "run_update", "run_id": row["run_id"], "set": {"status": "error", "started_at": store.now()}}]
+        store.log.commit(lambda: failed if store.log.runs.get(row["run_id"], {}).get("status") == "claimed" else [])
         raise
 
 
@@ -93,7 +101,11 @@ def discard_queued(store: Store, variant_label: str | None = None, before=None,
     """Delete queued rows, of a label or queued before a time. Their ids."""
     store.log.replay()
     limit = stamp(moment(before)) if before is not None else None
-    ids = [r["run_id"] for r in store.log.runs.values() if r["status"] == "queued" and variant_label in (None, r["variant_label"]) and (limit is None or r["queued_at"] < limit)]
-    if ids and not dry_run:
-        store.log.commit([{"do": "run_delete", "run_id": i} for i in ids])
+    ids: list[str] = []
+
+    def build() -> list[dict]:
+        ids[:] = [r["run_id"] for r in store.log.runs.values() if r["status"] == "queued" and variant_label in (None, r["variant_label"]) and (limit is None or r["queued_at"] < limit)]
+        return [{"do": "run_delete", "run_id": i} for i in ids]
+
+    build() if dry_run else store.log.commit(build)
     return ids

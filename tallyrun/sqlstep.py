@@ -137,7 +137,30 @@ def frame_of(store, body: str, bound: dict[str, Binding]) -> DataFrame:
     for name, b in bound.items():
         _view_in(session, name, rows_of(store, b))
     run = CURRENT.get()
-    if run and run.seed is not None:
-        session.conf.set("tallyrun.seed", str(run.seed))
-    return session.sql(body)
+    return session.sql(seeded(body, run.seed) if run and run.seed is not None else body)
+
+
+_CHANCE = r"\b(rand|random|randn|uuid|shuffle|randstr|uniform)\s*\("
+
+
+def seeded(body: str, seed: float) -> str:
+    """The body with the seed given to rand() and randn() where they have none; each call has a seed of its own.
+
+    Other functions of chance can't be seeded alike everywhere, so a seeded step refuses them.
+    """
+    calls = 0
+
+    def fix(m: re.Match) -> str:
+        nonlocal calls
+        if m[1]:  # quoted text or a comment
+            return m[0]
+        if m[2].lower() in ("uuid", "shuffle", "randstr", "uniform"):
+            raise StoreError(f"a seeded SQL step can't call {m[2]}()")
+        if not m[3]:
+            return m[0]
+        calls += 1
+        return f"{m[2]}({int(seed * (1 << 31)) + calls})"
+
+    quoted = r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`|--[^\n]*|/\*.*?\*/)"
+    return re.sub(quoted + "|" + _CHANCE + r"(\s*\))?", fix, body, flags=re.S | re.I)
 

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from . import capture, sqlstep, staleness
+from . import capture, identity, sqlstep, staleness
 from .context import CURRENT, Binding, RunContext, output_matches
 from .functions.hashing import code_hash, md5, normal_code
 from .names import StoreError, valid_label, valid_name
@@ -37,12 +37,12 @@ class Step:
 
 
 def step_of(code, text: str | None = None) -> Step:
-    """A function, the path of a .py or .sql file, or a Sql body as a step."""
+    """A function, the path of a .py or .sql file, or a Sql body as a step. A function given with a text is that text, whatever values it carries."""
     if isinstance(code, Sql):
         h = md5(normal_code(code.value))
         return Step("sql", f"<inline:sql:{h[:12]}>", code.value, h)
     if callable(code):
-        body = source_of(code, text)
+        body = text or identity.with_values(source_of(code), code)
         h = md5(normal_code(body))
         return Step("function", f"<inline:{h[:12]}>", body, h, function=code)
     if isinstance(code, (str, os.PathLike)):
@@ -183,6 +183,7 @@ class Ctx:
 def _execute(store: Store, step: Step, context: RunContext, materialize: bool) -> None:
     if step.kind == "function":
         wants = step.function.__code__.co_argcount if hasattr(step.function, "__code__") else 1
+        context.helpers |= identity.helpers_of(step.function)
         step.function(*([Ctx(store, context)] if wants else []))
     elif step.kind == "sql":
         script = sqlstep.parse(step.body)
@@ -216,7 +217,9 @@ def _execute(store: Store, step: Step, context: RunContext, materialize: bool) -
                 raise StoreError("the recorded code is no function definition; pass the function again")
             made[-1](*([space["ctx"]] if made[-1].__code__.co_argcount else []))
         else:
-            exec(compile(step.body, step.path or step.name, "exec"), space)
+            with identity.beside(step.path):
+                context.helpers |= identity.helpers_of_text(step.body)
+                exec(compile(step.body, step.path or step.name, "exec"), space)
 
 
 def launch(store: Store, code, rebind=None, label: str | None = None, external_inputs: dict | None = None, force: bool = False, seed: float | None = None, materialize: bool | None = None, on_error: str | None = None, text: str | None = None):
@@ -287,10 +290,7 @@ def run_one(store: Store, step: Step, rebind, label, external_inputs, force, see
 
     def save(**more) -> None:
         final = row | more
-        if queued:
-            store.log.commit([{"do": "run_update", "run_id": run_id, "set": final}])
-        else:
-            store.log.commit([{"do": "run_add", "run": final}])
+        store.log.commit(lambda: [{"do": "run_update", "run_id": run_id, "set": final} if queued else {"do": "run_add", "run": final}])
 
     why = staleness.reasons(store, step.name, label, step.own_hash, bindings)
     if outside != ((staleness.anchor(store, step.name, label) or {}).get("external_inputs") or outside):

@@ -120,34 +120,44 @@ class Store:
         if any(isinstance(f.dataType, T.NullType) for f in df.schema):
             df = df.select(*[df[quoted(f.name)].cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else df[quoted(f.name)] for f in df.schema])
         path, digest, _ = self._staged(df, name)
-        extra = {"schema": _open(df.schema).json()} | (source or {})
-        if (name, digest) in self.log.versions:
-            self.files.delete(path)
-        else:
-            # The staging place is new and holds this content for good: it need not be moved, only named by the commit.
-            extra["path"] = path.removeprefix(self.files.root + "/")
-            extra["size_bytes"] = self.files.size(path)
+        # The staging place is new and holds this content for good: it need not be moved, only named by the commit.
+        extra = {"schema": _open(df.schema).json(), "path": path.removeprefix(self.files.root + "/"), "size_bytes": self.files.size(path)} | (source or {})
         self._commit_version(name, digest, "table", extra, is_rebind, label, record)
         return digest
 
     def _commit_version(self, name: str, digest: str, kind: str, extra: dict, is_rebind: bool, label: str | None, record: bool) -> None:
         at = self.now()
-        known = self.log.versions.get((name, digest))
-        if known:
-            changes = {k: extra[k] for k in ("source_uri", "source_hash", "source_sql") if k in extra}
-            if known.get("is_rebind") and not is_rebind:
-                changes |= {"is_rebind": False}
-            actions = [{"do": "version_touch", "name": name, "hash": digest, "at": at, "set": changes}]
-        else:
+        recorded = self._recorded({"name": name, "hash": digest}, label, at) if record else []
+        known = None
+
+        def build() -> list[dict]:
+            nonlocal known
+            self._guard(name, "versioned", kind)
+            known = self.log.versions.get((name, digest))
+            if known:
+                changes = {k: extra[k] for k in ("source_uri", "source_hash", "source_sql") if k in extra}
+                if known.get("is_rebind") and not is_rebind:
+                    changes |= {"is_rebind": False}
+                return [{"do": "version_touch", "name": name, "hash": digest, "at": at, "set": changes}, *recorded]
             version = {"logical_name": name, "content_hash": digest, "physical_name": f"{name}__{digest[:16]}", "kind": kind, "first_seen": at, "last_seen": at, "is_rebind": is_rebind, "storage_location": kind}
-            actions = [{"do": "version_add", "version": version | extra}]
-        if record:
-            actions += self._recorded({"name": name, "hash": digest}, label, at)
-        self.log.commit(actions, lambda: self._guard(name, "versioned", kind))
+            return [{"do": "version_add", "version": version | extra}, *recorded]
+
+        try:
+            self.log.commit(build)
+        except BaseException:
+            self._unstage(extra)
+            raise
+        if known:
+            self._unstage(extra)
         n = len(self.log.of_name(name))
         if not known and n > self.options.version_warn:
             warnings.warn(f"{name} has {n} versions; prune() removes old ones", stacklevel=4)
 
+    def _unstage(self, row: dict) -> None:
+        """Delete data that no commit names."""
+        if row.get("path"):
+            self.files.delete(self.files.path(row["path"]))
+
     def _recorded(self, output: dict, label: str | None, at: str) -> list[dict]:
         """The output goes to the running step; outside one it is a run of its own."""
         run = CURRENT.get()
@@ -166,13 +176,12 @@ class Store:
         data = artifacts.dumps(value)
         digest = md5(data)
         extra: dict = {"size_bytes": len(data)}
-        if (name, digest) not in self.log.versions:
-            if len(data) < self.options.blob_threshold:
-                extra |= {"payload": base64.b64encode(data).decode(), "storage_location": "blob"}
-            else:
-                path = f"artifacts/{name}__{digest[:16]}-{uuid.uuid4().hex[:8]}.bin"
-                self.files.create(self.files.path(path), data)
-                extra |= {"path": path, "storage_location": "file"}
+        if len(data) < self.options.blob_threshold:
+            extra |= {"payload": base64.b64encode(data).decode(), "storage_location": "blob"}
+        else:
+            path = f"artifacts/{name}__{digest[:16]}-{uuid.uuid4().hex[:8]}.bin"
+            self.files.create(self.files.path(path), data)
+            extra |= {"path": path, "storage_location": "file"}
         self._commit_version(name, digest, "artifact", extra, is_rebind, label, record)
         return digest
 
@@ -187,6 +196,7 @@ class Store:
             df = df.select(*[df[quoted(f.name)].cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else df[quoted(f.name)] for f in df.schema])
         table = self.log.tables.get(name)
         coming = _open(df.schema)
+        before = table["schema"] if table else None
         if table:
             drift = reconcile(T.StructType.fromJson(_json(table["schema"])), coming, self.options.widen_numbers)
             announce(name, drift)
@@ -200,23 +210,25 @@ class Store:
         held = T.StructType([T.StructField(f.name, f.dataType) for f in part.schema])
         digest, n = table_digest(self.spark.read.schema(held).parquet(path))
         chunk = {"logical_name": name, "run_id": run_id, "chunk_hash": digest, "rows_appended": n, "started_at": at, "variant_label": label, "path": path.removeprefix(self.files.root + "/"), "schema": held.json(), "size_bytes": self.files.size(path), "source_plan": plan}
-        actions = []
-        if not table:
-            actions.append({"do": "table_add", "table": {"logical_name": name, "physical_name": f"{name}__append", "schema": target.json(), "first_seen": at, "last_seen": at, "row_count": 0, "size_bytes": 0}})
-        elif target.json() != table["schema"]:
-            actions.append({"do": "table_schema", "name": name, "schema": target.json()})
-        actions.append({"do": "chunk_add", "chunk": chunk})
         entry = {"kind": "append_table", "logical_name": name, "rows_appended": n, "chunk_hash": digest}
-        actions += self._recorded(entry if run else entry | {"run_id": run_id}, label, at)
-        before = table["schema"] if table else None
+        recorded = self._recorded(entry if run else entry | {"run_id": run_id}, label, at)
 
-        def still() -> None:
+        def build() -> list[dict]:
+            """The chunk has a schema of its own and is fitted when read, so a table that another writer has changed takes it as it is."""
             self._guard(name, "append")
             now = self.log.tables.get(name)
-            if (now["schema"] if now else None) != before:
-                raise StoreError(f"another writer changed {name}; append again")
+            if not now:
+                first = [{"do": "table_add", "table": {"logical_name": name, "physical_name": f"{name}__append", "schema": target.json(), "first_seen": at, "last_seen": at, "row_count": 0, "size_bytes": 0}}]
+            else:
+                whole = target.json() if now["schema"] == before else reconcile(T.StructType.fromJson(_json(now["schema"])), coming, self.options.widen_numbers).schema.json()
+                first = [{"do": "table_schema", "name": name, "schema": whole}] if whole != now["schema"] else []
+            return [*first, {"do": "chunk_add", "chunk": chunk}, *recorded]
 
-        self.log.commit(actions, still)
+        try:
+            self.log.commit(build)
+        except BaseException:
+            self._unstage(chunk)
+            raise
 
     def _stow_view(self, value, name: str, label: str | None = None, record: bool = True) -> str:
         """A stored query. Its identity is its text and what its inputs were bound to; it must read at least one name of the store."""
@@ -520,6 +532,11 @@ class Store:
 
         return prune(self, name, **options)
 
+    def collect_garbage(self, older_than: str = "1d", dry_run: bool = False) -> list[str]:
+        from .gc import collect_garbage
+
+        return collect_garbage(self, older_than, dry_run)
+
     def prune_variants(self, script: str, label: str | None = None, dry_run: bool = False) -> list[str]:
         from .gc import prune_variants
 

@@ -609,3 +609,153 @@ def test_sql_over_everything(spark, store):
     assert store.sql("SELECT sum(rows_appended) AS n FROM _tr_append_chunks").first().n == 2
     view = store.run_view("b", store.log.chunks[0]["run_id"])
     assert spark.table(view).count() == 2
+
+
+# --- several writers, garbage, identity -------------------------------------------------------
+
+
+def opens(spark, store):
+    return t.Store(spark, store.files.root)
+
+
+def test_restowing_what_another_store_prunes(spark, store):
+    """B has seen a version that A prunes before B stows the same rows again: B's data must be kept and named."""
+    store.stow(frame(spark, 1), "a", shape="versioned")
+    store.stow(frame(spark, 2), "a", shape="versioned")
+    other = opens(spark, store)
+    store.prune("a", keep=1, force=True)
+    other.stow(frame(spark, 1), "a", shape="versioned")
+    assert rows(opens(spark, store).grab("a")) == [(0, "0")]
+    store.log.replay()
+    assert len(store.log.of_name("a")) == 2
+
+
+def test_stowing_the_same_keeps_one_copy(spark, store):
+    for _ in range(3):
+        store.stow(frame(spark, 1), "a", shape="versioned")
+    assert len(store.files.names(store.files.path("data", "a"))) == 1
+
+
+def test_a_run_whose_row_is_deleted_while_it_runs(spark, store):
+    def work(ctx):
+        type(ctx.store)(ctx.spark, ctx.store.files.root).prune_variants(ctx.store.log.runs[ctx.run_id]["step"], "mine")
+        ctx.stow(ctx.spark.range(1), "a", shape="versioned")
+
+    run = store.queue(work, label="mine")
+    store.launch(t.Run(run))
+    again = opens(spark, store)
+    assert again.log.runs[run]["status"] == "success" and again.grab("a", from_run=run).count() == 1
+
+
+def test_a_discarded_run_can_not_be_picked_up(spark, store):
+    run = store.queue(lambda: None, text="nothing")
+    other = opens(spark, store)
+    store.discard_queued()
+    with pytest.raises(t.StoreError):
+        other.launch(t.Run(run))
+    assert run not in opens(spark, store).log.runs
+
+
+def test_log_entries_on_what_is_gone_do_nothing(spark, store):
+    store.log.commit(lambda: [{"do": "version_touch", "name": "x", "hash": "y", "at": "z"}, {"do": "run_update", "run_id": "r", "set": {"status": "error"}}, {"do": "table_schema", "name": "x", "schema": "{}"}])
+    assert opens(spark, store).log.versions == {}
+
+
+def test_appending_to_a_table_that_another_writer_changes(spark, store, monkeypatch):
+    store.stow(frame(spark, 1), "a")
+    other = opens(spark, store)
+    real = store.log.commit
+
+    def late(build):
+        other.stow(frame(spark, 2).withColumn("more", F.lit(1)), "a")
+        real(build)
+
+    monkeypatch.setattr(store.log, "commit", late)
+    store.stow(frame(spark, 3).withColumn("own", F.lit("x")), "a")
+    held = opens(spark, store).grab("a", run="all")
+    assert held.count() == 6 and {"id", "s", "more", "own"} <= set(held.columns)
+
+
+def test_a_store_of_a_later_format_is_not_opened(spark, store):
+    store.stow(1, "a")
+    store.files.create(store.log._file(store.log.next), b'[{"do": "format", "format": 99}]')
+    with pytest.raises(t.StoreError, match="format"):
+        opens(spark, store)
+
+
+def test_garbage_is_collected(spark, store, monkeypatch):
+    store.stow(frame(spark, 1), "a", shape="versioned")
+    frame(spark, 2).write.parquet(store.files.path("data", "a", "staging-left"))
+    assert store.collect_garbage() == []  # a writer may still be at it
+    assert store.collect_garbage("0s", dry_run=True) == ["data/a/staging-left"]
+    store.collect_garbage("0s")
+    assert store.grab("a").count() == 1 and len(store.files.names(store.files.path("data", "a"))) == 1
+
+    def refuse(build):
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(store.log, "commit", refuse)
+    for shape in ("versioned", None):
+        with pytest.raises(RuntimeError):
+            store.stow(frame(spark, 3), "a" if shape else "b", shape=shape)
+    assert store.collect_garbage("0s", dry_run=True) == []
+
+
+def test_a_renamed_partition_is_a_change(spark, store, tmp_path, monkeypatch):
+    folder = tmp_path / "in.parquet"
+    frame(spark, 4).selectExpr("id", "id % 2 AS p").write.partitionBy("p").parquet(str(folder))
+    assert store.grab("a", source=str(folder)).where("p = 1").count() == 2
+    first = store.log.of_name("a")[-1]["source_hash"]
+    (folder / "p=1").rename(folder / "p=7")
+    assert store.grab("a", source=str(folder)).where("p = 7").count() == 2
+    second = store.log.of_name("a")[-1]["source_hash"]
+    assert first != second and len(store.log.of_name("a")) == 2
+    from tallyrun.sources import files
+
+    monkeypatch.setattr(files, "WHOLE", 0)  # all by streams
+    assert files.file_digest(spark, str(folder)) == second
+
+
+def test_values_that_a_function_carries_are_code(spark, store):
+    def made(n):
+        return lambda ctx, k=n: ctx.stow(frame(spark, k), "a", shape="versioned")
+
+    def closed(n):
+        def work(ctx):
+            ctx.stow(frame(spark, n), "b", shape="versioned")
+
+        return work
+
+    for n in (1, 2, 2):
+        store.launch(made(n))
+        store.launch(closed(n))
+    two = [lambda ctx: ctx.stow(1, "c"), lambda ctx: ctx.stow(2, "c")]
+    for f in two:
+        store.launch(f)
+    assert store.grab("a").count() == 2 and store.grab("b").count() == 2 and store.grab("c") == 2
+    assert [r["status"] for r in store.log.runs.values()].count("skipped_fresh") == 2
+
+
+def test_imported_project_modules_are_helpers(store, tmp_path):
+    (tmp_path / "tr_helper.py").write_text("import tr_deeper\nVALUE = tr_deeper.VALUE\n")
+    (tmp_path / "tr_deeper.py").write_text("VALUE = 1\n")
+    step = tmp_path / "step.py"
+    step.write_text("import tr_helper, os\nstow(tr_helper.VALUE, 'a')\n")
+    run = store.launch(str(step))
+    assert sorted(os.path.basename(h["path"]) for h in store.log.runs[run]["helpers"]) == ["tr_deeper.py", "tr_helper.py"]
+    assert store.log.runs[store.launch(str(step))]["status"] == "skipped_fresh"
+    (tmp_path / "tr_deeper.py").write_text("VALUE = 22\n")
+    assert store.log.runs[store.launch(str(step))]["status"] == "success"
+    assert store.grab("a") == 22
+
+
+def test_a_seed_governs_rand_in_sql(spark, store):
+    store.stow(frame(spark, 50), "a", shape="versioned")
+    body = "-- @inputs: a\n-- @output: r\nSELECT id, rand() AS x, RANDN( ) AS y, 'rand()' AS z, rand(3) AS w FROM a -- rand()"
+    for _ in range(2):
+        store.launch(t.Sql(body), materialize=True, seed=0.5, force=True)
+    assert len(store.log.of_name("r")) == 1
+    store.launch(t.Sql(body), materialize=True, seed=0.25, force=True)
+    assert len(store.log.of_name("r")) == 2 and store.grab("r").where("z = 'rand()'").count() == 50
+    with pytest.raises(t.StoreError, match="uuid"):
+        store.launch(t.Sql("-- @inputs: a\n-- @output: q\nSELECT uuid() AS u FROM a"), seed=0.5)
