@@ -15,14 +15,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import documents, slices, texts_of
 from .vocab import byte_letters
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
-#: Words and pieces that a Python worker remembers before it starts anew.
-MEMORY = 400_000
+#: Words and pieces of at most so many characters that a Python worker remembers before it starts anew.
+MEMORY, SHORT = 400_000, 48
 #: Unicode White_Space, which is what the file's normalizer and pattern split at.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -97,6 +98,7 @@ class Counter:
         self.letters = byte_letters()
         self.controls = re.compile("[\x1c-\x1f]")
         self.white = re.compile(f"[{WHITE}]+")
+        self.library = lru_cache(1)(lambda: Tokenizer.from_file(path))
         self.words: dict[str, int] = {}
         self.pieces: dict[str, int] = {}
 
@@ -106,12 +108,16 @@ class Counter:
             symbols = [self.letters[b] for b in word.encode()]
             symbols[-1] += self.end
             n = merged([s for s in symbols if s in self.vocab], self.ranks)
-            if len(self.words) >= MEMORY:
-                self.words.clear()
-            self.words[word] = n
+            if len(word) <= SHORT:
+                if len(self.words) >= MEMORY:
+                    self.words.clear()
+                self.words[word] = n
         return n
 
     def piece(self, piece: str) -> int:
+        if not piece.isascii() and any(unicodedata.category(c) == "Cn" for c in piece):
+            # Characters that this Python's Unicode does not know yet may be letters to the library.
+            return len(self.library().encode(piece, add_special_tokens=False).ids)
         n = 0
         for part in self.special.split(piece):
             if part in self.specials:
@@ -132,13 +138,15 @@ class Counter:
             return sum([known[p] for p in pieces])
         except KeyError:
             pass
-        if len(known) > MEMORY:
-            known.clear()
         n = 0
         for p in pieces:
             c = known.get(p)
             if c is None:
-                c = known[p] = self.piece(p)
+                c = self.piece(p)
+                if len(p) <= SHORT:
+                    if len(known) >= MEMORY:
+                        known.clear()
+                    known[p] = c
             n += c
         return n
 
