@@ -19,8 +19,8 @@ UNKNOWN = "und"
 TRAIN_DOCS = 400
 #: Cost, in nats, of a change of language between two words.
 SWITCH = 8.0
-#: Words that a Python worker remembers before it starts anew.
-MEMORY = 300_000
+#: Words and letters that a Python worker remembers before it starts anew.
+MEMORY, MEMORY_LETTERS = 300_000, 8 << 20
 
 # First and last code point of the blocks that hold most letters of a script, by Unicode's block list.
 SCRIPTS = (
@@ -32,7 +32,6 @@ _FIRST = np.array([s[0] for s in SCRIPTS])
 _LAST = np.array([s[1] for s in SCRIPTS])
 NAMES = sorted({s[2] for s in SCRIPTS}) + ["Other"]
 _NAME = np.array([NAMES.index(s[2]) for s in SCRIPTS])
-LETTERS = re.compile(r"[^\W\d_]")
 _NOT_LETTERS = re.compile(r"(?:[^\w\n]|[\d_])+")
 #: Letter runs are counted under this many numbers for each length; runs that share one are counted together.
 SLOTS = 1 << 17
@@ -46,8 +45,8 @@ def scripts_of(letters: np.ndarray) -> np.ndarray:
 
 
 def letter_words(text: str) -> list[str]:
-    """Words between blanks, without those that have no letter."""
-    return [w for w in text.split() if w.isalpha() or LETTERS.search(w)]
+    """Words between blanks, without those that have no letter (of Unicode's letter categories; number signs are none)."""
+    return [w for w in text.split() if w.isalpha() or any(map(str.isalpha, w))]
 
 
 def letter_runs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +56,10 @@ def letter_runs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     and 4 letters and marks.
     """
     low = unicodedata.normalize("NFC", "\n".join(words)).lower()
-    text = "\n" + _NOT_LETTERS.sub("", low) + "\n"
+    text = _NOT_LETTERS.sub("", low)
+    if not text.isascii():
+        text = "".join([c for c in text if c.isalpha() or c == "\n"])
+    text = "\n" + text + "\n"
     points = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
     edge = np.flatnonzero(points == 10)
     word = np.repeat(np.arange(len(words)), np.diff(edge))  # of each point but the last
@@ -96,15 +98,17 @@ class Model:
             if ok.any():
                 self.allowed[k] = np.where(ok, 0.0, -50.0)
         self.words: dict[str, int] = {}
+        self.letters = 0
         self.scores = np.zeros((0, n), np.float32)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row per word: the log-likelihood of each language less the best one's, at least -12 among the candidates."""
         missing = [w for w in dict.fromkeys(words) if w not in self.words]
         if missing:
-            if len(self.words) + len(missing) > MEMORY:
-                self.words, self.scores = {}, self.scores[:0]
+            if len(self.words) + len(missing) > MEMORY or self.letters > MEMORY_LETTERS:
+                self.words, self.scores, self.letters = {}, self.scores[:0], 0
                 missing = list(dict.fromkeys(words))
+            self.letters += sum(map(len, missing))
             runs, first, points = letter_runs(missing)
             new = np.add.reduceat(self.table[runs], first, axis=0)
             new = np.maximum(new - new.max(axis=1, keepdims=True), -12.0)
@@ -123,7 +127,7 @@ class Model:
         words = [letter_words(t) for t in texts]
         sizes = np.array([len(w) for w in words], np.int64)
         if not self.langs or not sizes.any():
-            return [np.zeros(s, np.int8) for s in sizes]
+            return [np.zeros(s, np.int32) for s in sizes]
         order = np.argsort(-sizes, kind="stable")
         flat = self.word_scores([w for k in order for w in words[k]])
         sorted_sizes = sizes[order]
@@ -131,7 +135,7 @@ class Model:
         n, most = len(self.langs), int(sizes.max(initial=0))
         live = np.searchsorted(-sorted_sizes, -np.arange(most), side="left")  # texts with more than t words
         stay = np.zeros((len(flat), n), bool)
-        best_before = np.zeros(len(flat), np.int8)
+        best_before = np.zeros(len(flat), np.int32)
         value = np.zeros((len(texts), n))
         for t in range(most):
             m = live[t]
@@ -144,7 +148,7 @@ class Model:
                 value[:m] = np.maximum(value[:m], jump) + flat[at]
             else:
                 value[:m] = flat[at]
-        path = np.zeros(len(flat), np.int8)
+        path = np.zeros(len(flat), np.int32)
         now = value.argmax(axis=1)
         for t in range(most - 1, -1, -1):
             m = live[t]
@@ -161,18 +165,18 @@ class Model:
 def fit(docs: DataFrame, labelled: F.Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = TRAIN_DOCS) -> Model:
     """A model of the languages of the labelled documents.
 
-    Of each language the ``per_language`` documents with the least hash of their id are
-    taken, whole. Their letter runs are counted in parallel and only the counts are
+    Of each language the ``per_language`` ids with the least hash are taken, and the documents
+    of these ids whole (repeated ids count as one). Their letter runs are counted in parallel and only the counts are
     collected, so what reaches the driver is bounded by that number and the languages.
     """
     rows = docs.where(labelled & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull())
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().toLocalIterator()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.approx_count_distinct(id_col, 0.02).alias("n")).toLocalIterator()}
     if not sizes:
         return Model({}, {})
     # Only hashes low enough for about four times the documents wanted go into the ranking.
     span = 1 << 40
     most = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(span, 4 * per_language * span // n + 1))])
-    low = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(span)).alias("h")).where(F.col("h") < most[F.col("lang")])
+    low = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(id_col), F.lit(span)).alias("h")).where(F.col("h") < most[F.col("lang")]).distinct()
     picked = low.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "id"))).where(F.col("n") <= per_language)
     chosen = picked.select(F.col("id").alias("chosen"), F.col("lang").alias("of"))
     texts = rows.join(F.broadcast(chosen), (F.col(id_col) == F.col("chosen")) & (F.col(lang_col) == F.col("of")), "left_semi")

@@ -1,5 +1,6 @@
 import itertools
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,3 +82,107 @@ def test_query_learns_only_from_what_is_not_held_out(spark):
     right = [r.lang_pred == lang[r.doc_id] for r in got if r.held_out and lang[r.doc_id]]
     print(np.mean(right))
     assert np.mean(right) > 0.95 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_number_signs_are_no_letters(spark, model):
+    signs = ["½", "² ①", "Ⅷ", "12 _ ٣"]
+    got = language.identify(docs(spark, [(k, s) for k, s in enumerate(signs)]), model).collect()
+    assert {(r.lang_pred, r.score) for r in got} == {("und", 0.0)}
+    assert language.letter_words("½ a½ Ⅷ x²") == ["a½", "x²"]
+    assert (language.letter_runs(["a½"])[0] == language.letter_runs(["a"])[0]).all()
+
+
+def test_three_hundred_languages(spark):
+    """Each has a letter pair of its own."""
+    alphabet = [chr(0x4E00 + k) for k in range(300)]
+    rows = [(k * 3 + j, " ".join([c + c] * 6), f"l{k:03d}", "s", 1) for k, c in enumerate(alphabet) for j in range(3)]
+    many = language.fit(docs(spark, rows), language.F.lit(True))
+    got = language.identify(docs(spark, rows), many).collect()
+    assert len(got) == 900 and all(r.lang_pred == f"l{r.doc_id // 3:03d}" for r in got)
+
+
+def test_languages_of_few_ids_are_learned(spark):
+    rows = [(7, "bakala bamala " * 3, "aa", "s", 1)] * 3000 + [(8, "degene nedege " * 3, "ee", "s", 1)] * 3000
+    few = language.fit(docs(spark, rows), language.F.lit(True), per_language=2)
+    assert few.langs == ["aa", "ee"]
+
+
+def test_memory_is_bounded_by_letters(model, monkeypatch):
+    monkeypatch.setattr(language, "MEMORY_LETTERS", 1000)
+    fresh = language.Model({"aa": np.ones(language.SLOTS * 3), "bb": np.ones(language.SLOTS * 3)}, {"aa": np.ones(len(language.NAMES)), "bb": np.ones(len(language.NAMES))})
+    for k in range(20):
+        fresh.word_scores(["x" * (900 + k)])
+    assert sum(map(len, fresh.words)) <= 3000
+
+
+def brute_scores(rows, langs):
+    """A function that scores the letter words of a text by naive Bayes over letter runs, with dictionaries; slots are the operator's own."""
+    slots, letters = Counter(), Counter()
+    for _, t, lang in rows:
+        for low in lowered(t):
+            slots.update((lang, s) for s in slot_list(low))
+            letters.update((lang, int(k)) for k in language.scripts_of(np.array([ord(c) for c in low])))
+    total = {x: sum(n for (lang, _), n in slots.items() if lang == x) for x in langs}
+    of_script = {x: sum(n for (lang, _), n in letters.items() if lang == x) for x in langs}
+
+    def word(low):
+        s = np.array([sum(np.log(slots[x, k] + 0.3) - np.log(total[x] + 0.3 * language.SLOTS) for k in slot_list(low)) for x in langs])
+        s = np.maximum(s - s.max(), -12.0)
+        k = int(language.scripts_of(np.array([ord(low[0])]))[0])
+        ok = [100 * letters[x, k] >= of_script[x] for x in langs]
+        s += np.where(ok, 0, -50.0) if any(ok) else 0
+        return s - s.max()
+
+    known = {}
+
+    def scores(text):
+        for w in lowered(text):
+            if w not in known:
+                known[w] = word(w)
+        return np.array([known[w] for w in lowered(text)], np.float32)
+
+    return scores
+
+
+def lowered(text):
+    """The letters of each letter word, in lower case."""
+    return ["".join(c for c in w.lower() if c.isalpha()) for w in text.split() if any(c.isalpha() for c in w)]
+
+
+def slot_list(letters, known={}):
+    if letters not in known:
+        known[letters] = language.letter_runs([letters])[0].tolist()
+    return known[letters]
+
+
+def brute_label(scores, switch=language.SWITCH):
+    """The best path by the plain recurrence."""
+    value, back = scores[0].astype(float), []
+    for row in scores[1:]:
+        choice = [max(range(len(value)), key=lambda p: value[p] - switch * (p != q)) for q in range(len(value))]
+        back.append(choice)
+        value = np.array([value[p] - switch * (p != q) for q, p in enumerate(choice)]) + row
+    path = [int(value.argmax())]
+    for choice in reversed(back):
+        path.append(choice[path[-1]])
+    return path[::-1]
+
+
+def test_query_equals_brute_force_on_a_whole_table(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    learned = [(i, t or "", x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2 and x is not None]  # under the bound, so all are taken
+    langs = sorted({x for _, _, x in learned})
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.op5_language_spans(spark, folder).collect()}
+    score = brute_scores(learned, langs)
+    same = close = 0
+    for i, t, _ in rows:
+        scores = score(t or "")
+        if not len(scores):
+            assert got[i] == ("und", 0.0)
+            continue
+        n = np.bincount(brute_label(scores), minlength=len(langs))
+        same += got[i][0] == langs[int(n.argmax())]
+        close += abs(got[i][1] - n.max() / n.sum()) < 0.02
+    scored = sum(x[0] != "und" for x in got.values())
+    assert same >= scored - 1 and close >= scored - 3  # ties between paths may go either way
