@@ -17,6 +17,8 @@ WINDOW = 3
 MIN_REPEAT = 8
 MAX_COVERED = 0.35
 MAX_LONGEST = 150
+#: Bytes of doubling levels that are kept for common prefixes.
+LEVELS = 256 << 20
 
 
 def suffix_ranks(symbols: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
@@ -25,7 +27,8 @@ def suffix_ranks(symbols: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
     symbols: small non-negative integers; text: the number of each symbol's text, ascending.
     Suffixes end with their text and never equal one of another text. The last ranks are
     all different: their order is the suffix array of every text. Only suffixes that are
-    not yet alone with their rank are sorted again.
+    not yet alone with their rank are sorted again. Where the levels come to over LEVELS
+    bytes, only the last is returned.
     """
     n = len(symbols)
     if not n:
@@ -41,7 +44,7 @@ def suffix_ranks(symbols: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
         size = np.bincount(rank, minlength=n)
         open_ = np.flatnonzero(size[rank] > 1)
         if not len(open_):
-            return ranks
+            return [x for x in ranks if x is not None] if ranks[0] is not None else ranks[-1:]
         after = open_ + step
         nxt = np.where(after < end[open_], rank[np.minimum(after, n - 1)] + 1, 0)
         key = rank[open_] * (n + 2) + nxt
@@ -54,6 +57,8 @@ def suffix_ranks(symbols: np.ndarray, text: np.ndarray) -> list[np.ndarray]:
         within = np.flatnonzero(new_class)[np.cumsum(new_class) - 1] - base
         rank = rank.copy()
         rank[at] = old + within
+        if ranks[0] is None or (len(ranks) + 1) * rank.nbytes > LEVELS:
+            ranks = [None]
         ranks.append(rank)
         step *= 2
 
@@ -63,12 +68,16 @@ def longest_repeats(symbols: np.ndarray, text: np.ndarray) -> np.ndarray:
 
     That is the larger of the common prefixes with the two neighbours in the suffix array,
     which are read off the doubling ranks from the longest step to the shortest: the depth
-    of the deepest longest-common-prefix interval that holds the suffix.
+    of the deepest longest-common-prefix interval that holds the suffix. Very long repetitive
+    texts have too many levels to keep; there the prefixes are found along the text, each
+    at most one shorter than that of the position before.
     """
     n = len(symbols)
     ranks = suffix_ranks(symbols, text)
     order = np.empty(n, np.int64)
     order[ranks[-1]] = np.arange(n)
+    if len(ranks) == 1 and ((symbols[order[1:]] == symbols[order[:-1]]) & (text[order[1:]] == text[order[:-1]])).any():  # the other levels went
+        return _deepest(order, along(symbols, text, order, ranks[0]))
     i, j = order[:-1].copy(), order[1:].copy()
     common = np.zeros(max(0, n - 1), np.int64)
     live = text[i] == text[j] if n else np.empty(0, bool)
@@ -80,13 +89,38 @@ def longest_repeats(symbols: np.ndarray, text: np.ndarray) -> np.ndarray:
         same = inside & (ranks[k][np.minimum(i, n - 1)] == ranks[k][np.minimum(j, n - 1)])
         common[at[same]] += 1 << k
         i, j = i + (same << k), j + (same << k)
-    best = np.zeros(n, np.int64)
-    if n > 1:
+    return _deepest(order, common)
+
+
+def _deepest(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    best = np.zeros(len(order), np.int64)
+    if len(order) > 1:
         best[order[:-1]] = common
         best[order[1:]] = np.maximum(best[order[1:]], common)
     return best
 
 
+def along(symbols: np.ndarray, text: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Common prefix of each two neighbours in the suffix array, in the order of the text, with no memory but a few arrays."""
+    n = len(symbols)
+    end = np.searchsorted(text, text, side="right")
+    common = np.zeros(n - 1, np.int64)
+    s, o, r, e, c = (memoryview(np.ascontiguousarray(x, np.int64)) for x in (symbols, order, rank, end, common))
+    have = 0
+    for i in range(n):
+        if r[i] == n - 1:
+            have = 0
+            continue
+        j = o[r[i] + 1]
+        have = have if e[i] == e[j] else 0
+        most = min(e[i] - i, e[j] - j) if e[i] == e[j] else 0
+        while have < most and s[i + have] == s[j + have]:
+            have += 1
+        c[r[i]] = have
+        have = max(0, have - 1)
+    return common
+
+
 def covered(best: np.ndarray, least: int) -> np.ndarray:
     """Positions in the union of all repeated substrings of at least ``least`` symbols."""
     n = len(best)

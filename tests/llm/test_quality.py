@@ -76,3 +76,20 @@ def test_query_equals_its_sql(spark):
     sql = con.sql(quality.ORACLES["op7_quality_repetition"])
     assert sorted(sql.columns) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*sql.columns).collect())) == sorted(sql.fetchall())
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_prefixes_along_the_text_are_the_same(seed, monkeypatch):
+    r = np.random.default_rng(seed)
+    text = np.sort(r.integers(0, 4, 400))
+    symbols = r.integers(0, 3, 400)
+    symbols[100:200] = 1
+    want = quality.longest_repeats(symbols, text).tolist()
+    monkeypatch.setattr(quality, "LEVELS", 1)
+    assert len(quality.suffix_ranks(symbols, text)) == 1 and quality.longest_repeats(symbols, text).tolist() == want
+
+
+def test_a_long_repetitive_text_keeps_few_levels(monkeypatch):
+    monkeypatch.setattr(quality, "LEVELS", 8 << 20)
+    n = 1 << 18
+    assert quality.repetition(["a b " * (n // 2)])[:, 0].tolist() == [n, n, n, n - 2]
