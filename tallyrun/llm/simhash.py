@@ -53,15 +53,16 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return picked.mapInArrow(run, "id long, fp long")
 
 
-def trie_pairs(group: np.ndarray, value: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(group: np.ndarray, value: np.ndarray, budget: int, counts: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i < j) of one group whose 64-bit values differ in at most ``budget`` bits.
 
     ``group`` and ``value`` (uint64) are sorted together, without repeats. Every group is
     the root of a binary trie over its sorted values, a node being a range of rows. Pairs
     of nodes go down together, starting from (root, root): a pair of unlike children adds
-    a differing bit, and a pair over the budget is dropped. Pairs of nodes of few rows are
-    compared value by value. Frontiers are worked off in slices, so memory stays bounded
-    whatever the number of pairs.
+    a differing bit, and a pair over the budget is dropped. Only pairs of single values are
+    compared by the bits that are left. Frontiers are worked off in slices, so memory stays
+    bounded whatever the number of pairs. counts, if given, gains the pairs of nodes
+    ``split`` and the pairs of their children that were ``pruned``.
     """
     n = len(value)
     if n < 2:
@@ -77,7 +78,7 @@ def trie_pairs(group: np.ndarray, value: np.ndarray, budget: int) -> Iterator[tu
             half = nodes.shape[1] // 2
             stack += [(bit, nodes[:, :half]), (bit, nodes[:, half:])]
             continue
-        small = (nodes[1] - nodes[0]) * (nodes[3] - nodes[2]) <= 64
+        small = (nodes[1] - nodes[0]) * (nodes[3] - nodes[2]) == 1
         if bit < 0:
             small[:] = True
         if small.any():
@@ -94,7 +95,12 @@ def trie_pairs(group: np.ndarray, value: np.ndarray, budget: int) -> Iterator[tu
             [np.stack([alo, amid, blo, bmid, diff]), np.stack([amid, ahi, bmid, bhi, diff]), np.stack([alo, amid, bmid, bhi, unlike]), np.stack([amid, ahi, blo, bmid, unlike])[:, ~same]],
             axis=1,
         )
-        down = down[:, (down[0] < down[1]) & (down[2] < down[3]) & (down[4] <= budget) & ~((down[0] == down[2]) & (down[1] - down[0] < 2))]
+        down = down[:, (down[0] < down[1]) & (down[2] < down[3]) & ~((down[0] == down[2]) & (down[1] - down[0] < 2))]
+        within = down[4] <= budget
+        if counts is not None:
+            counts["split"] = counts.get("split", 0) + nodes.shape[1]
+            counts["pruned"] = counts.get("pruned", 0) + int((~within).sum())
+        down = down[:, within]
         if down.shape[1]:
             stack.append((bit - 1, down))
 

@@ -80,3 +80,14 @@ def test_query_on_a_whole_table(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     got = simhash.op10_simhash_near_dedup(spark, folder).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_the_trie_splits_and_prunes_on_a_whole_table(spark):
+    """The pairs of a whole table come by going down pairs of nodes, most of which the budget prunes."""
+    fps = simhash.fingerprints(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    value = np.unique(np.array([r.fp for r in fps.select("fp").distinct().collect()], np.int64).view(np.uint64))
+    counts = {}
+    got = {(int(i), int(j)) for a, b in simhash.trie_pairs(np.zeros(len(value), np.int64), value, 2, counts) for i, j in zip(a, b)}
+    near = np.bitwise_count(value[:, None] ^ value[None, :]) <= 2
+    assert got == {(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(near, 1)))}
+    assert counts["split"] > len(value) and counts["pruned"] > len(value)
