@@ -1,7 +1,7 @@
 import corpus_pipeline as cp
 from tallyrun.llm import mixing, quality
 
-from . import test_packing, test_quality, test_simhash
+from . import test_near_copies, test_packing, test_quality
 from .helpers import babble, docs
 
 
@@ -24,7 +24,7 @@ def brute_repeats(rows):
 def expected(rows, take):
     """What each stage keeps, by brute force; rows by id. take: copies of a list of (id, text, source)."""
     kept = {i: (t, s) for i, t, s in rows if test_quality.naive(t)[6]}
-    groups = {i: least for i, _, least in test_simhash.brute([(i, t) for i, (t, _) in kept.items()])}
+    groups = test_near_copies.brute([(i, t) for i, (t, _) in kept.items()])
     kept = {i: x for i, x in kept.items() if groups[i] == i}
     cut = brute_repeats([(i, t.encode()) for i, (t, _) in kept.items()])
     kept = {i: (t if cut[i] is None else cut[i].decode("utf-8", "ignore"), s) for i, (t, s) in kept.items()}
@@ -56,6 +56,30 @@ def test_stages_with_nulls_copies_and_passages(spark, tmp_path):
     test_packing.check(expected(rows, taker(spark)), cp.run(spark, str(tmp_path)).collect())
 
 
+def test_null_and_repeated_ids_in_every_stage(spark):
+    """Rows are rows whatever their id: a stage drops what it rejects and nothing else."""
+    good = [babble(k, 90 + k, 5000) for k in range(12)]
+    rows = [(1, good[0]), (1, good[0]), (1, good[1]), (None, good[2]), (None, good[3]), (None, good[3]), (5, good[4]), (5, good[5]), (6, "too few words"), (None, None), (None, ""), (7, good[5] + " end")]
+    docs_ = docs(spark, [(i, t, None if k % 5 == 0 else "en", None if k % 4 == 0 else f"s{k % 2}", None) for k, (i, t) in enumerate(rows)])
+
+    def held(df):
+        return sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+
+    judged = cp.quality_rules(spark, docs_, "")
+    assert held(judged) == sorted(((i, t) for i, t in rows if test_quality.naive(t)[6]), key=str)
+    single = cp.near_dedup(spark, docs_, "")
+    texts = {t or "" for _, t in rows} - {good[5] + " end"}
+    got = held(single)
+    assert len(got) == len(texts) and {t or "" for _, t in got} == texts and (None, good[3]) in got and (5, good[5]) in got
+    cut = cp.string_dedup(spark, docs_, "").collect()
+    # Rows of one id are parts of one document at the same places; of null ids as well.
+    assert len(cut) == len(rows) and sorted(len(r.text or "") for r in cut) == sorted(len(t or "") if t != good[5] + " end" else 4 for _, t in rows)
+    mixed = held(cp.source_mix(spark, docs_, ""))
+    assert set(mixed) <= {(i, t) for i, t in rows} and all(mixed.count(x) <= 3 * [(i, t) for i, t in rows].count(x) for x in mixed)
+    packed = cp.best_fit_packing(spark, docs_, "").collect()
+    assert sum(r.doc_id is None for r in packed) >= 5 and sum(r.doc_id == 1 for r in packed) >= 3
+
+
 def test_empty_table_and_columns(spark, tmp_path):
     docs(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
     assert cp.run(spark, str(tmp_path)).collect() == []
