@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ K = 5
 QUERY_EVERY = 50
 #: Vectors of a superblock (what one task scores at a time), of a pruning block in it, and queries of a pack.
 SUPERBLOCK, BLOCK, PACK = 8192, 128, 2048
+#: Superblocks whose bounds one task compares with a pack of queries.
+CHUNK = 1024
 
 
 def integers(vectors: list) -> np.ndarray:
@@ -81,9 +84,7 @@ def search(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, d: np.ndarray, did
         return best
     cuts = list(range(0, len(d), block))
     high, low = np.maximum.reduceat(d, cuts), np.minimum.reduceat(d, cuts)
-    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-    slack = 0.0 if float(np.abs(bound).max(initial=0)) < 2.0**52 else math.inf
-    bound = bound + slack  # rounded bounds prune nothing
+    bound = block_bounds(q, high, low)
     order = np.argsort(-bound, axis=1, kind="stable")
     live = np.arange(len(q))
     for turn in range(len(cuts)):
@@ -99,6 +100,74 @@ def search(q: np.ndarray, qid: np.ndarray, floor: np.ndarray, d: np.ndarray, did
     return best
 
 
+def block_bounds(q: np.ndarray, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """For each query and block no less than any score: the sum over terms of the weight times the block's largest (of a negative weight: least)."""
+    bound = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
+    return bound if float(np.abs(bound).max(initial=0)) < 2.0**52 else np.full_like(bound, math.inf)  # rounded bounds prune nothing
+
+
+def _extremes(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Over vectors: largest and least weight of each term, for each superblock, length and batch."""
+    for pdf in parts:
+        rows = []
+        for (sb, dim), mine in pdf.groupby(["sb", "dim"]):
+            x = integers(mine.v.tolist())
+            rows.append((sb, dim, x.max(axis=0, initial=-math.inf).tolist(), x.min(axis=0, initial=math.inf).tolist()))
+        yield pd.DataFrame(rows, columns=["sb", "dim", "high", "low"])
+
+
+def met(queries: DataFrame, extremes: DataFrame, parts: int, n_queries: int, best: bool, pack: int = PACK, chunk: int = CHUNK) -> DataFrame:
+    """Rows (row, sb, bound): of each query the superblock of the highest bound (best), or all whose bound reaches its floor.
+
+    Packs of queries meet chunks of bounds, a row for each superblock and not for each vector;
+    only the pairs that are found go on.
+    """
+    packs, chunks = max(1, math.ceil(n_queries / pack)), math.ceil(parts / chunk)
+    asked = queries.select("row", "v", "dim", "floor", F.pmod(F.xxhash64("row"), F.lit(packs)).cast("int").alias("pack"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
+    held = extremes.select("*", F.floor(F.col("sb") / chunk).cast("int").alias("in_chunk"), F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("for_pack"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"row": np.empty(0, np.int64), "sb": np.empty(0, np.int32), "bound": np.empty(0)})]
+        for dim, mine in left.groupby("dim"):
+            blocks = right[right.dim == dim].sort_values("sb")
+            if not len(blocks):
+                continue
+            sb = blocks.sb.to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], sb[1:] != sb[:-1])))
+            bound = block_bounds(integers(mine.v.tolist()), *(np.array(blocks[x].tolist()).reshape(len(blocks), -1) for x in ("high", "low")))
+            bound = np.maximum.reduceat(bound, first, axis=1)
+            q, at = (np.arange(len(mine)), bound.argmax(axis=1)) if best else np.nonzero(bound >= mine.floor.to_numpy()[:, None])
+            out.append(pd.DataFrame({"row": mine.row.to_numpy()[q], "sb": sb[first][at], "bound": bound[q, at]}))
+        return pd.concat(out[1:] or out)
+
+    pairs = asked.groupBy("pack", "chunk").cogroup(held.groupBy("for_pack", "in_chunk")).applyInPandas(meet, "row long, sb int, bound double")
+    return pairs.groupBy("row").agg(F.max_by("sb", "bound").alias("sb"), F.max("bound").alias("bound")) if best else pairs
+
+
+def scored(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, k: int, pack: int = PACK) -> DataFrame:
+    """Rows (row, query_id, vec_id, score): the k best of each superblock that a query is paired with.
+
+    The queries of a superblock are cut into packs and each pack has a copy of the
+    superblock, so a task holds one of each however many queries ask for it.
+    """
+    sized = written(pairs.groupBy("sb").agg(F.ceil(F.count("*") / pack).cast("int").alias("packs")), "sized")
+    asked = pairs.select("row", "sb").join(sized, "sb").join(queries.select("row", "id", "v", "dim", "floor"), "row")
+    asked = asked.withColumn("pack", F.pmod(F.xxhash64("row"), F.col("packs").cast("long")).cast("int")).drop("packs")
+    held = blocks.select("sb", "id", "v", "dim").join(sized, "sb").select(F.col("sb").alias("of"), "id", "v", "dim", F.explode(F.sequence(F.lit(0), F.col("packs") - 1)).alias("for_pack"))
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})]
+        right = right.sort_values("id", kind="stable")
+        for dim, mine in left.groupby("dim"):
+            others = right[right.dim == dim]
+            found = search(integers(mine.v.tolist()), mine.id.to_numpy(), mine.floor.to_numpy(), integers(others.v.tolist()), others.id.to_numpy(), k)
+            q, place = np.nonzero(np.arange(k)[None, :] < found.size[:, None])
+            out.append(pd.DataFrame({"row": mine.row.to_numpy()[q], "query_id": mine.id.to_numpy()[q], "vec_id": found.id[q, place], "score": found.score[q, place]}))
+        return pd.concat(out[1:] or out)
+
+    return asked.groupBy("sb", "pack").cogroup(held.groupBy("of", "for_pack")).applyInPandas(meet, "row long, query_id long, vec_id long, score long")
+
+
 def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, superblock: int = SUPERBLOCK, pack: int = PACK) -> DataFrame:
     """Exact k best partners of every query: (query_id, rank, vec_id, score).
 
@@ -110,10 +179,10 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "
     that a query never meets rows with its own id. Products past the range of a long are
     held to it. Other columns are not read. An empty table gives an empty one.
 
-    Vectors are cut into superblocks by ranges of ids and queries into packs, both of
-    bounded size; every pack meets every superblock in a group of its own, so no task holds
-    more than one of each. A first pass over each superblock gives the queries in it a kth
-    score to start from, which prunes the blocks of all others.
+    Vectors are cut into superblocks by ranges of ids. The bounds of superblocks, a row for
+    each, meet the queries first: every query is scored in the superblock of its highest
+    bound, which gives a kth score to start from, and then only in those whose bound
+    reaches that score. Vectors move for these pairs alone.
     """
     sound = F.col("v").isNotNull() & F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(sound)
@@ -121,32 +190,17 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "
     parts = max(1, math.ceil(rows.count() / superblock))
     ranged = rows.repartitionByRange(parts, "dim", "id", "row").withColumn("sb", F.spark_partition_id())
     blocks = written(ranged.withColumn("is_query", F.coalesce(is_query(F.col("id")), F.lit(False))), "superblocks")
-
-    def by_dim(asked: pd.DataFrame, held: pd.DataFrame, floor: str | None):
-        """For each length of vector: the queries of that length and what search finds."""
-        held = held.sort_values("id", kind="stable")
-        for dim, mine in asked.groupby("dim"):
-            others = held[held.dim == dim]
-            start = mine[floor].to_numpy() if floor else np.full(len(mine), -(1 << 63), np.int64)
-            yield mine, search(integers(mine.v.tolist()), mine.id.to_numpy(), start, integers(others.v.tolist()), others.id.to_numpy(), k)
-
-    def seed(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [mine.assign(floor=best.kth()) for mine, best in by_dim(pdf[pdf.is_query], pdf, None)]
-        return pd.concat(found)[["row", "id", "v", "dim", "floor"]] if found else pdf.assign(floor=0).iloc[:0][["row", "id", "v", "dim", "floor"]]
-
-    queries = written(blocks.groupBy("sb").applyInPandas(seed, "row long, id long, v array<double>, dim int, floor long"), "queries")
-    packs = max(1, math.ceil(queries.count() / pack))
-    asked = queries.select("*", F.pmod(F.xxhash64("row"), F.lit(packs)).cast("int").alias("pack"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("place"))
-    met = blocks.select(F.col("sb").alias("to"), F.col("id"), F.col("v"), F.col("dim"), F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("with_pack"))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"row": [], "query_id": [], "vec_id": [], "score": []})]
-        for mine, best in by_dim(left, right, "floor"):
-            q, place = np.nonzero(np.arange(k)[None, :] < best.size[:, None])
-            out.append(pd.DataFrame({"row": mine.row.to_numpy()[q], "query_id": mine.id.to_numpy()[q], "vec_id": best.id[q, place], "score": best.score[q, place]}))
-        return pd.concat(out[1:] or out)
-
-    found = asked.groupBy("place", "pack").cogroup(met.groupBy("to", "with_pack")).applyInPandas(meet, "row long, query_id long, vec_id long, score long")
+    extremes = written(blocks.select("sb", "dim", "v").mapInPandas(_extremes, "sb int, dim int, high array<double>, low array<double>"), "extremes")
+
+    none = F.lit(-(1 << 63)).cast("long")
+    queries = written(blocks.where("is_query").select("row", "id", "v", "dim", none.alias("floor")), "asked")
+    n_queries = queries.count()
+    seeds = written(met(queries, extremes, parts, n_queries, True, pack), "seeds")
+    first = written(scored(seeds, queries, blocks, k, pack), "first")
+    kth = first.groupBy("row").agg(F.sort_array(F.collect_list("score"), asc=False).alias("best")).where(F.size("best") >= k).select("row", F.element_at("best", k).alias("kth"))
+    risen = written(queries.join(kth, "row", "left").withColumn("floor", F.coalesce("kth", "floor")).drop("kth"), "queries")
+    pairs = written(met(risen, extremes, parts, n_queries, False, pack).join(seeds.select("row", "sb"), ["row", "sb"], "left_anti"), "pairs")
+    found = first.union(scored(pairs, risen, blocks, k, pack))
     order = W.partitionBy("row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

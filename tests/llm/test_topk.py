@@ -48,3 +48,21 @@ def test_query_equals_its_sql(spark):
     got = topk.op9_topk_search(spark, folder)
     sql = con.sql(topk.ORACLES["op9_topk_search"])
     assert sorted(map(tuple, got.select(*sql.columns).collect())) == sorted(sql.fetchall())
+
+
+def test_only_pairs_that_bounds_leave_are_moved(spark, monkeypatch):
+    """Vectors of a superblock lie around one axis, so nearly all of its pairs with other queries are pruned before vectors move."""
+    r = np.random.default_rng(2)
+    rows = [(k, (np.eye(16)[k // 100] * 4 + r.uniform(0, 0.2, 16)).tolist()) for k in range(1600)]
+    moved = []
+    real = topk.scored
+    monkeypatch.setattr(topk, "scored", lambda pairs, *a: moved.append(pairs.count()) or real(pairs, *a))
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 10 == 0, superblock=100).collect()))
+    q = topk.integers([v for _, v in rows])
+    scores = (q @ q.T).astype(np.int64)
+    want = []
+    for i in range(0, 1600, 10):
+        best = sorted((-int(scores[i, j]), j) for j in range(1600) if j != i)[:5]
+        want += [(i, n + 1, j, -x) for n, (x, j) in enumerate(best)]
+    assert got == sorted(want)
+    assert moved[0] == 160 and moved[1] <= 160  # of 160 * 16 pairs
