@@ -7,6 +7,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,28 +26,48 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where none is set."""
+    """The folder named by spark.checkpoint.dir; one of our own only where none is set and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tallyrun-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_SCRATCH: list[list] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written in this block go at its end, but for those written to be kept."""
+    _SCRATCH.append([])
+    try:
+        yield
+    finally:
+        for fs, place in _SCRATCH.pop():
+            fs.delete(place, True)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """The rows of df from a Parquet table in the shared folder, which cuts the lineage.
 
-    The table survives the loss of executors and is removed when the driver's JVM ends.
+    The table survives the loss of executors. It is removed at the end of the innermost
+    scratch block unless ``keep`` is set, and else when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallyrun-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path).getParent()
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(place)
+    if _SCRATCH and not keep:
+        _SCRATCH[-1].append((fs, place))
     return spark.read.schema(df.schema).parquet(path)
 
 
