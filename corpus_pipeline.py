@@ -70,8 +70,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of the documents that all stages keep."""
+    """The packed pieces of the documents that all stages keep. What a stage writes besides its rows goes when these are written."""
     docs = common.documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
-        docs = common.written(stage(spark, docs, sf_dir), f"stage{k}")
+        with common.scratch():
+            docs = common.written(stage(spark, docs, sf_dir), f"stage{k}", keep=True)
     return docs
