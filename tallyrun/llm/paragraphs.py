@@ -36,10 +36,10 @@ _LETTER = _R.randint(0, 1 << 62, 256).astype(np.uint64) << np.uint64(1) | np.uin
 _BASES = [int(x) for x in _R.randint(0, 1 << 62, 4).astype(np.uint64) << np.uint64(1) | np.uint64(1)]
 _IS_BLANK = np.isin(np.arange(256), list(BLANKS.encode()))
 #: Bytes of words hashed at a time, and the length from which a word is hashed by itself.
-_BLOCK, _LONG = 1 << 20, 1 << 12
+_BLOCK, _LONG = 1 << 18, 1 << 12
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4)
 def _powers(base: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The powers 0 .. 2**bits of an odd number and of its inverse, modulo 2**64."""
     both = []
@@ -57,7 +57,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _runs_hash(values: np.ndarray, first: np.ndarray, last: np.ndarray, base: int) -> np.ndarray:
     """A 64-bit hash of values[first:last] for each pair, whatever stands around them."""
-    up, down = _powers(base, max(10, int(len(values)).bit_length()))
+    up, down = _powers(base, max(19, int(len(values)).bit_length()))  # mostly one table for each base
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
     return _mixed((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
 
