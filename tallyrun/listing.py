@@ -20,10 +20,11 @@ def versions(store: Store, name: str, include_rebinds: bool = True) -> DataFrame
     if shape == "append":
         rows = [{"logical_name": name, "content_hash": c["chunk_hash"], "kind": "chunk", "first_seen": c["started_at"], "last_seen": c["started_at"], "size_bytes": None, "is_rebind": False, "rows_appended": c["rows_appended"], "produced_by_runs": [c["run_id"]]} for c in sorted(store.log.chunks_of(name), key=lambda c: c["seq"], reverse=True)]
     else:
-        rows = []
-        for v in reversed(store.log.of_name(name, rebinds=include_rebinds)):
-            makers = [r["run_id"] for r in store.log.runs.values() if any(output_matches(o, name, v["content_hash"]) for o in r["outputs"] or ())]
-            rows.append(v | {"produced_by_runs": makers, "rows_appended": None})
+        makers: dict[str, list[str]] = {}
+        for r in store.log.runs.values():
+            for digest in dict.fromkeys(output_identity(o)[1] for o in r["outputs"] or () if output_matches(o, name)):
+                makers.setdefault(digest, []).append(r["run_id"])
+        rows = [v | {"produced_by_runs": makers.get(v["content_hash"], []), "rows_appended": None} for v in reversed(store.log.of_name(name, rebinds=include_rebinds))]
     return metadata.frame(store.spark, rows, ("logical_name", "content_hash", "kind", "first_seen", "last_seen", "size_bytes", "is_rebind", "rows_appended", "source_uri", "source_sql", "produced_by_runs"))
 
 

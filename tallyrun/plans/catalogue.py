@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
 from collections.abc import Callable
 from datetime import datetime, timedelta
 
@@ -36,7 +37,10 @@ class Ticking:
 
 
 def fresh_store(spark: SparkSession, **options) -> Store:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallyrun-")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="tallyrun-")
     return Store(spark, f"{folder}/store-{uuid.uuid4().hex}", clock=Ticking(), **options)
 
 
@@ -370,9 +374,10 @@ def label_semijoin(store, table):
     return with_any(table("customer"), urgent, "c_custkey").select("c_custkey", "c_name")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O')")
 def anti_unreferenced(store, table):
-    return without_any(table("customer"), table("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey").select("c_custkey", "c_name")
+    urgent = table("orders").where("o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'").select(F.col("o_custkey").alias("c_custkey"))
+    return without_any(table("customer"), urgent, "c_custkey").select("c_custkey", "c_name")
 
 
 @query("""WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase'), b AS (SELECT user_id, ts, max(event_id) AS bought, max_by(value, event_id) AS paid FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
@@ -611,6 +616,139 @@ def prune_versions(store, table):
     return store.spark.createDataFrame([(len(store.log.of_name("region")), gone)], "left_over long, removed long")
 
 
+# --- listings, protection, labels and identity, over what the tables hold --------------------------
+
+
+def _statuses(table) -> list[str]:
+    return sorted(r[0] for r in table("orders").select("o_orderstatus").distinct().collect())
+
+
+def _run_per_status(store, table, text: str = "orders of {}") -> None:
+    for s in _statuses(table):
+        store.launch(lambda ctx, s=s: ctx.stow(_orders(table, s), "orders", shape="versioned"), label=f"status {s}", text=text.format(s))
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderstatus DESC) AS place, count(*) AS n, CASE o_orderstatus WHEN 'F' THEN 2 ELSE 1 END::BIGINT AS makers FROM orders GROUP BY o_orderstatus")
+def versions_listing(store, table):
+    """versions() names every version, the newest first, with all runs that made it."""
+    _run_per_status(store, table)
+    store.launch(lambda ctx: ctx.stow(_orders(table, "F"), "orders", shape="versioned"), text="orders of F once more")
+    listed = store.versions("orders").collect()
+    rows = [(k + 1, store.grab("orders", version=r.content_hash).count(), len(r.produced_by_runs)) for k, r in enumerate(listed)]
+    return store.spark.createDataFrame(rows, "place long, n long, makers long")
+
+
+@query("SELECT 'status ' || o_orderstatus AS variant_label, CASE o_orderstatus WHEN 'P' THEN 2 ELSE 1 END::BIGINT AS n_runs, count(*) AS n FROM orders GROUP BY o_orderstatus")
+def variants_listing(store, table):
+    """variants() counts the runs of each label; the label gives the rows back."""
+    _run_per_status(store, table)
+    store.launch(lambda ctx: ctx.stow(_orders(table, "P"), "orders", shape="versioned"), label="status P", text="orders of P", force=True)
+    found = [(r.variant_label, r.n_runs, store.grab("orders", variant=r.variant_label).count()) for r in store.variants(name="orders").collect()]
+    return store.spark.createDataFrame(found, "variant_label string, n_runs long, n long")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def prune_protects(store, table):
+    """Versions that runs have written stay unless force is set."""
+    _run_per_status(store, table)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        gone = store.prune("orders", keep=1)["versioned"].count()
+    assert gone == 0
+    every = list(Store(store.spark, store.files.root).grab("orders", run="all").values())
+    return stacked(every).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
+def prune_chunks_protects(store, table):
+    """Of an append table the unlabelled runs go and the labelled stay."""
+    for s in _statuses(table):
+        store.launch(lambda ctx, s=s: ctx.stow(_orders(table, s), "orders"), label=None if s == "F" else f"status {s}", text=f"append {s}")
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        store.prune("orders", keep=0)
+    return store.grab("orders", run="all").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 1")
+def label_propagation(store, table):
+    """A step without a label has that of its inputs, so its result is found by it."""
+    store.launch(lambda ctx: ctx.stow(_orders(table, "O"), "orders", shape="versioned"), label="open", text="open orders")
+    store.launch(lambda ctx: ctx.stow(ctx.grab("orders").groupBy("o_custkey").agg(F.count("*").alias("n")), "counts", shape="versioned"), text="count them")
+    store.stow(table("region"), "counts", shape="versioned")
+    return store.grab("counts", variant="open")
+
+
+@query("SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def sql_batch(store, table):
+    """A SQL step swept over labelled versions."""
+    _run_per_status(store, table)
+    step = Sql("-- @inputs: orders\n-- @output: totals\nSELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+    store.launch(step, rebind=binds(orders=variants_of(*[f"status {s}" for s in _statuses(table)])), materialize=True)
+    return stacked(list(store.grab("totals", run="all").values()))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def discarded_runs(store, table):
+    """Queued runs of a label are discarded; the others are picked up."""
+    table("orders").createOrReplaceTempView("orders_to_stage")
+    text = "def staged(ctx):\n    s = ctx.grab('status')\n    ctx.stow(ctx.spark.table('orders_to_stage').where(f\"o_orderstatus = '{s}'\").groupBy('o_orderstatus').count(), 'counts')\n"
+    ids = [store.queue(_staged, rebind={"status": s}, label=f"status {s}", text=text) for s in _statuses(table)]
+    gone = store.discard_queued(variant_label="status P")
+    for i in ids:
+        if i not in gone:
+            store.launch(Run(i))
+    return store.grab("counts", run="all").select("o_orderstatus", F.col("count").alias("n"))
+
+
+@query("SELECT count(*) AS chunks, count(DISTINCT o_orderstatus) AS contents FROM (SELECT DISTINCT o_orderstatus, k FROM orders, range(2) r(k))")
+def chunk_hashes(store, table):
+    """Chunks of equal rows have equal hashes, in whatever order rows and columns come."""
+    for s in _statuses(table):
+        df = _orders(table, s)
+        store.stow(df, "orders")
+        store.stow(df.select(*reversed(df.columns)).repartition(3, "o_custkey"), "orders")
+    return store.sql("SELECT count(*) AS chunks, count(DISTINCT chunk_hash) AS contents FROM _tr_append_chunks")
+
+
+@query("SELECT CASE WHEN c_nationkey % 2 = 1 THEN 7 ELSE 0 END::INTEGER AS p, count(*) AS n, 2::BIGINT AS versions FROM customer GROUP BY 1")
+def folder_source_change(store, table):
+    """A partition that gets another name makes a second version of a folder."""
+    folder = store.files.path("inputs", "customers.parquet")
+    table("customer").withColumn("p", (F.col("c_nationkey") % 2).cast("int")).write.partitionBy("p").parquet(folder)
+    store.grab("customer", source=folder)
+    store.files.rename(f"{folder}/p=1", f"{folder}/p=7")
+    now = store.grab("customer", source=folder)
+    return now.groupBy("p").agg(F.count("*").alias("n")).withColumn("versions", F.lit(len(store.log.of_name("customer"))).cast("long"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def functions_by_their_values(store, table):
+    """One function with other default values is another step, and is not skipped."""
+    for s in _statuses(table):
+        store.launch(lambda ctx, s=s: ctx.stow(_orders(table, s).groupBy("o_orderstatus").agg(F.count("*").alias("n")), "counts"))
+    return store.grab("counts", run="all").select("o_orderstatus", "n")
+
+
+@query("SELECT count(*) AS n, 1::BIGINT AS versions FROM lineitem")
+def seeded_sql(store, table):
+    """A seeded SQL step gives the same random numbers again."""
+    store.stow(table("lineitem"), "lineitem", shape="versioned")
+    step = Sql("-- @inputs: lineitem\n-- @output: marked\nSELECT l_orderkey, l_linenumber, rand() AS x FROM lineitem")
+    for _ in range(2):
+        store.launch(step, materialize=True, seed=0.5, force=True)
+    return store.grab("marked").agg(F.count("*").alias("n")).withColumn("versions", F.lit(len(store.log.of_name("marked"))).cast("long"))
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def append_by_two_writers(store, table):
+    """Two stores append frames of different columns; each takes in what the other has changed."""
+    other = Store(store.spark, store.files.root)
+    for k, s in enumerate(_statuses(table)):
+        (store, other)[k % 2].stow(_orders(table, s).withColumn(f"extra{k}", F.lit(k)), "orders")
+    return Store(store.spark, store.files.root).grab("orders", run="all").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
 # --- what users say in SQL over the store's tables ---------------------------------------------
 
 
