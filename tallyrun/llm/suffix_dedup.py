@@ -5,8 +5,9 @@ work is cut into bounded pieces by content: of the GRAM-byte grams in a window o
 bytes, the one with the least hash is the window's anchor, so equal windows have equal
 anchors at equal offsets. The windows that share an anchor are neighbours and form a
 segment, about 30 of them. Equal segments are settled by their hashes, the earliest stays.
-Only segments that differ around a common anchor are compared byte for byte: they form
-shards, every shard gets its Burrows-Wheeler transform, and the transforms are merged.
+Segments that differ around a common anchor form shards, every shard gets its
+Burrows-Wheeler transform, and the transforms are merged. Where an anchor has more segments
+than one merge should hold, their windows get longer anchors and are cut into segments again.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ GRAM = 40
 STEP = 20
 #: Bytes of text that are hashed at a time, of text per bucket of segments, and of segments per merge.
 UNIT, BUCKET, MERGE = 2 << 20, 16 << 20, 1 << 19
-#: Distinct segments around one anchor from which their windows are dealt out one by one.
+#: Distinct segments that one merge takes around an anchor; more are dealt out again by longer grams.
 CROWD = 2000
 LAST = (1 << 63) - 1  # a null id comes last
 
@@ -151,11 +152,10 @@ def tag_of(data: bytes) -> int:
     return xxhash.xxh64_intdigest(data, 42) & 0xFFFFFFFF
 
 
-def _find_segments(buckets: int, length: int, gram: int):
-    """Over texts: the segments that are the earliest of their class in their batch, by bucket, and what the others cover."""
+def _whole_texts(length: int):
+    """Over texts: (doc, tag, start, bytes) of parts that have every window of ``length`` bytes once."""
 
-    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        held, size = [], 0
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in slices(batches):
             docs = batch.column("id").fill_null(LAST).to_pylist()
             for doc, text in zip(docs, batch.column("text").to_pylist(), strict=True):
@@ -163,13 +163,35 @@ def _find_segments(buckets: int, length: int, gram: int):
                 if len(data) < length:
                     continue
                 tag = tag_of(data)
-                for at in range(0, max(1, len(data) - length + 1), UNIT):
-                    part = data[at : at + UNIT + length - 1]
-                    held.append((doc, tag, at, part))
-                    size += len(part)
-                    if size >= UNIT:
-                        yield held
-                        held, size = [], 0
+                for at in range(0, len(data) - length + 1, UNIT):
+                    yield doc, tag, at, data[at : at + UNIT + length - 1]
+
+    return parts
+
+
+def _listed(name: str, length: int):
+    """Over texts with lists of segments: (doc, tag, start, bytes) of each segment of the list ``name``."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in slices(batches):
+            for doc, tag, text, listed in zip(*(batch.column(n).to_pylist() for n in ("doc", "tag", "text", name)), strict=True):
+                for _, start, count in np.frombuffer(b"".join(listed or ()), "<i8").reshape(-1, 3).tolist():
+                    yield doc, tag, start, text[start : start + count + length - 1]
+
+    return parts
+
+
+def _find_segments(buckets: int, length: int, gram: int, parts):
+    """Over parts of texts: the segments that are the earliest of their class in their batch, by bucket, and what the others cover."""
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+        held, size = [], 0
+        for part in parts(batches):
+            held.append(part)
+            size += len(part[3])
+            if size >= UNIT:
+                yield held
+                held, size = [], 0
         if held:
             yield held
 
@@ -401,6 +423,12 @@ def cut_out(data: bytes, runs: np.ndarray) -> bytes:
     return b"".join((*out, data[at:]))
 
 
+def longer_grams(length: int, gram: int) -> list[int]:
+    """By which grams crowded windows are dealt again; around the last one, the window itself, no segments differ."""
+    half = (length + gram) // 2
+    return [half, (length + half) // 2, length]
+
+
 RESULT = "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>, kept binary"
 
 
@@ -435,18 +463,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Texts are read three times and moved once, with the notes on them; those with segments to
     compare byte for byte are moved once more. Copies within a batch of texts are settled
-    there, so a common passage costs a row for each batch and not for each document. Anchors
-    with very many different segments around them are compared by window hashes.
+    there, so a common passage costs a row for each batch and not for each document. Around
+    an anchor with over ``crowd`` different segments the windows are cut again by longer grams
+    (half of what a window lacks, half of that, the whole window), and these segments are
+    settled and merged as the others are. Their texts are moved once for each such round.
     """
     spark = docs.sparkSession
     names = [f"c{k}" for k in range(len(carry))]
     picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[F.col(c).alias(n) for c, n in zip(carry, names, strict=True)])
     total = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET))
-    found = picked.select("id", "text").mapInArrow(_find_segments(buckets, length, gram), NOTES)
-    settled = found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length, crowd), NOTES)
-    settled = written(settled, "settled").select("doc", "tag", "kind", "data")
-    lists = settled.groupBy("doc", "tag").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("data"))).alias(n) for k, n in ((COVER, "covers"), (REP, "reps"), (CROWDED, "crowd"))])
+
+    def settled(texts: DataFrame, parts, gram: int) -> DataFrame:
+        found = texts.mapInArrow(_find_segments(buckets, length, gram, parts), NOTES)
+        found = found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_settle(length, crowd), NOTES)
+        return written(found, "settled").select("doc", "tag", "kind", "data")
+
+    def listed(notes: DataFrame, *kinds: tuple[int, str]) -> DataFrame:
+        return notes.groupBy("doc", "tag").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("data"))).alias(n) for k, n in kinds])
+
+    notes = settled(picked.select("id", "text"), _whole_texts(length), gram)
+    lists = listed(notes, (COVER, "covers"), (REP, "reps"), (CROWDED, "crowd"))
     keyed = picked.withColumn("doc", F.coalesce("id", F.lit(LAST))).withColumn("tag", F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFFFFFF)))
     joined = keyed.join(lists, ["doc", "tag"], "left")
     carried = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.select(*names).schema)
@@ -474,26 +511,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     rows.append((anchor, doc, tag, start, text[start : start + count + length - 1]))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "doc", "tag", "start", "bytes"])
 
-    pieces = open_docs.where("size(reps) > 0").select("doc", "tag", "text", "reps").mapInArrow(cut, "anchor long, doc long, tag long, start long, bytes binary")
-    merged = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(_merge_groups(length), NOTES).select("doc", "tag", "data")
+    def pieces_of(texts: DataFrame) -> DataFrame:
+        return texts.where("size(reps) > 0").select("doc", "tag", "text", "reps").mapInArrow(cut, "anchor long, doc long, tag long, start long, bytes binary")
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The windows of crowded segments, only the earliest of equals in a batch and what the others cover."""
-        for batch in slices(batches, size=1 << 20):
-            rows = []
-            for doc, tag, text, crowd_ in zip(*(batch.column(n).to_pylist() for n in ("doc", "tag", "text", "crowd")), strict=True):
-                for _, start, count in np.frombuffer(b"".join(crowd_ or ()), "<i8").reshape(-1, 3).tolist():
-                    for s in range(start, start + count):
-                        a, b = xxhash.xxh3_128_intdigest(text[s : s + length]) >> 64, xxhash.xxh64_intdigest(text[s : s + length], 7)
-                        rows.append((a - (1 << 63), b - (1 << 63), doc, tag, s))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], ["a", "b", "doc", "tag", "start"])
-
-    crowded = open_docs.where("size(crowd) > 0")
-    if not crowded.isEmpty():
-        each = written(crowded.select("doc", "tag", "text", "crowd").mapInArrow(windows, "a long, b long, doc long, tag long, start long"), "windows")
-        least = each.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("least"), F.count("*").alias("n")).where("n > 1").select("a", "b", "least")
-        later = each.join(least, ["a", "b"]).where("doc <> least.doc or start <> least.start")
-        merged = merged.union(later.select("doc", "tag", F.unhex(F.concat(_little_endian(F.col("start")), _little_endian(F.col("start") + length))).alias("data")))
+    pieces, covered = pieces_of(open_docs), None
+    crowded = open_docs.where("size(crowd) > 0").select("doc", "tag", "text", "crowd")
+    for longer in longer_grams(length, gram):
+        if crowded.isEmpty():
+            break
+        notes = settled(crowded, _listed("crowd", length), longer)
+        covers = notes.where(F.col("kind") == COVER).select("doc", "tag", "data")
+        covered = covers if covered is None else covered.union(covers)
+        open_lists = listed(notes.where(F.col("kind") != COVER), (REP, "reps"), (CROWDED, "crowd"))
+        again = written(crowded.select("doc", "tag", "text").join(open_lists, ["doc", "tag"]), "crowded")
+        pieces = pieces.union(pieces_of(again))
+        crowded = again.where("size(crowd) > 0").select("doc", "tag", "text", "crowd")
+    merged = pieces.repartition("anchor").sortWithinPartitions("anchor", "doc", "start").mapInArrow(_merge_groups(length), NOTES).select("doc", "tag", "data")
+    if covered is not None:
+        merged = merged.union(covered)
     more = merged.groupBy("doc", "tag").agg(F.collect_list("data").alias("more"))
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,12 +542,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return out.select(F.col("id").alias("doc_id"), *RESULT_NAMES, *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)])
 
 
-def _little_endian(x: F.Column) -> F.Column:
-    """The 16 hex digits of a long's bytes, lowest first."""
-    digits = F.lpad(F.hex(x), 16, "0")
-    return F.concat(*[F.substring(digits, k, 2) for k in range(15, 0, -2)])
-
-
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stays of every document without the repeats of 100 bytes or more."""
     return remove_repeats(documents(spark, sf_dir), keep=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -55,7 +55,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("crowd", [2000, 1])
+@pytest.mark.parametrize("crowd", [2000, 3, 1])
 def test_matches_brute_force(spark, crowd):
     rows = corpus(3)
     table = docs(spark, rows).withColumnRenamed("lang", "kept").withColumnRenamed("n_chars", "tag")
@@ -75,6 +75,18 @@ def test_repeated_ids_and_kept_bytes(spark):
     assert digest(sd.remove_repeats(docs(spark, [(1, None), (2, "x")]))) == brute([(1, None), (2, "x")])
 
 
+def test_crowded_anchors_are_dealt_again_and_merged(spark, monkeypatch):
+    """Many different texts around one passage: longer grams split them, and what still differs goes through the merge."""
+    passage = babble(9, 30, 5000)[:140]
+    rows = [(k, babble(500 + k, 20, 5000) + passage + babble(700 + k % 6, 20, 5000)) for k in range(30)]
+    grams, find = [], sd._find_segments
+    monkeypatch.setattr(sd, "_find_segments", lambda b, n, g, p: grams.append(g) or find(b, n, g, p))
+    got = digest(sd.remove_repeats(docs(spark, rows).repartition(4), crowd=8))
+    assert got == brute(rows) and sum(r[2] for r in got) >= 29 * 140
+    assert grams[:2] == [40, 70] and len(grams) <= 4
+    assert sd.longer_grams(100, 40) == [70, 85, 100]
+
+
 def test_long_text(spark):
     rows = [(1, babble(5, 20000, 300)), (2, babble(6, 300, 300)), (3, "Orre " * 5000)]
     assert digest(sd.remove_repeats(docs(spark, rows))) == brute(rows)
@@ -83,7 +95,7 @@ def test_long_text(spark):
 def test_texts_over_several_units(spark, monkeypatch):
     monkeypatch.setattr(sd, "UNIT", 300)
     rows = [(k, t) for k, t in corpus(4) if k is not None]
-    found = list(sd._find_segments(4, 100, 40)(iter(docs(spark, rows).selectExpr("doc_id as id", "text").toArrow().to_batches())))
+    found = list(sd._find_segments(4, 100, 40, sd._whole_texts(100))(iter(docs(spark, rows).selectExpr("doc_id as id", "text").toArrow().to_batches())))
     assert sum(b.num_rows for b in found)
 
 
