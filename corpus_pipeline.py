@@ -34,17 +34,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def string_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings go from the texts; n_chars follows. A character cut in two goes whole. Texts that lose all they have stay as empty ones."""
-    kept = suffix_dedup.remove_repeats(docs, carry=("text", "lang", "source", "n_chars"))
+    """Repeated strings go from the texts; n_chars follows. A character cut in two goes whole. Texts that lose all they have stay as empty ones, null ones as null."""
+    marked = docs.withColumn("none", F.col("text").isNull())
+    kept = suffix_dedup.remove_repeats(marked, carry=("none", "lang", "source", "n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            rows = zip(*(batch.column(c).to_pylist() for c in ("text", "n_removed", "kept", "n_chars")), strict=True)
-            texts = [(t, n) if not gone else ((k := kept.decode("utf-8", "ignore")), len(k)) for t, gone, kept, n in rows]
+        for batch in common.slices(batches, "kept", size=8 << 20):
+            rows = zip(*(batch.column(c).to_pylist() for c in ("none", "kept", "n_removed", "n_chars")), strict=True)
+            texts = [(None if none else (t := left.decode("utf-8", "ignore")), len(t) if gone else n) for none, left, gone, n in rows]
             columns = [batch.column("doc_id"), pa.array([t for t, _ in texts], pa.string()), batch.column("lang"), batch.column("source"), pa.array([n for _, n in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, COLUMNS)
 
-    slim = kept.select("doc_id", "text", "n_removed", "kept", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+    slim = kept.select("doc_id", "none", "kept", "n_removed", "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
     return slim.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
 
 
