@@ -30,6 +30,8 @@ GRAM = 40
 STEP = 20
 #: Bytes of text that are hashed at a time, of text per bucket of segments, and of segments per merge.
 UNIT, BUCKET, MERGE = 2 << 20, 16 << 20, 1 << 19
+#: Bytes of whole texts that a task holds beside what stays of them, and of those that it cuts into segments, which may be seven times as long.
+WHOLE, CUT = 8 << 20, 2 << 20
 #: Distinct segments that one merge takes around an anchor; more are dealt out again by longer grams.
 CROWD = 2000
 LAST = (1 << 63) - 1  # a null id comes last
@@ -490,7 +492,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shape = f"id long, {carried + ', ' if carried else ''}doc long, tag long, text binary, covers array<binary>, reps array<binary>, crowd array<binary>, {RESULT}"
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=WHOLE):
             open_ = [bool(r or c) for r, c in zip(batch.column("reps").to_pylist(), batch.column("crowd").to_pylist(), strict=True)]
             data = [(t or "").encode() for t in batch.column("text").to_pylist()]
             runs = [_spans(b) for b in batch.column("covers").to_pylist()]
@@ -504,7 +506,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     open_docs = passed.where("text is not null").select("id", *names, "doc", "tag", "text", "covers", "reps", "crowd")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=CUT):
             rows = []
             for doc, tag, text, reps in zip(*(batch.column(n).to_pylist() for n in ("doc", "tag", "text", "reps")), strict=True):
                 for anchor, start, count in np.frombuffer(b"".join(reps or ()), "<i8").reshape(-1, 3).tolist():
@@ -532,7 +534,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = merged.groupBy("doc", "tag").agg(F.collect_list("data").alias("more"))
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=WHOLE):
             results = [_result(t, _spans((c or []) + (m or [])), keep) for t, c, m in zip(*(batch.column(n).to_pylist() for n in ("text", "covers", "more")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *[batch.column(n) for n in names], *_result_columns(results)], ["id", *names, *RESULT_NAMES])
 
