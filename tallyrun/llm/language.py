@@ -21,6 +21,8 @@ TRAIN_DOCS = 400
 SWITCH = 8.0
 #: Words and letters that a Python worker remembers before it starts anew.
 MEMORY, MEMORY_LETTERS = 300_000, 8 << 20
+#: Letter runs whose scores in all languages are held at a time.
+RUNS = 1 << 17
 
 # First and last code point of the blocks that hold most letters of a script, by Unicode's block list.
 SCRIPTS = (
@@ -101,6 +103,15 @@ class Model:
         self.letters = 0
         self.scores = np.zeros((0, n), np.float32)
 
+    def _sums(self, runs: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The scores of each word's runs, added up. A word may be longer than the runs held at a time."""
+        out = np.zeros((len(first), len(self.langs)))
+        for at in range(0, len(runs), RUNS):
+            some = runs[at : at + RUNS]
+            a, b = np.searchsorted(first, at, side="right") - 1, np.searchsorted(first, at + len(some), side="left")
+            out[a:b] += np.add.reduceat(self.table[some], np.maximum(first[a:b] - at, 0), axis=0)
+        return out
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """A row per word: the log-likelihood of each language less the best one's, at least -12 among the candidates."""
         missing = [w for w in dict.fromkeys(words) if w not in self.words]
@@ -110,7 +121,7 @@ class Model:
                 missing = list(dict.fromkeys(words))
             self.letters += sum(map(len, missing))
             runs, first, points = letter_runs(missing)
-            new = np.add.reduceat(self.table[runs], first, axis=0)
+            new = self._sums(runs, first)
             new = np.maximum(new - new.max(axis=1, keepdims=True), -12.0)
             new += self.allowed[scripts_of(points[np.flatnonzero(points == 10)[:-1] + 1])]
             new -= new.max(axis=1, keepdims=True)

@@ -107,6 +107,15 @@ def test_languages_of_few_ids_are_learned(spark):
     assert few.langs == ["aa", "ee"]
 
 
+def test_scores_are_added_up_some_runs_at_a_time(model, monkeypatch):
+    words = ["bakala", "x", "degene" * 40, "быть", "λόγος" * 9, "ab"]
+    runs, first, _ = language.letter_runs(words)
+    whole = np.array([model.table[r].sum(axis=0) for r in np.split(runs, first[1:])])
+    for size in (1, 2, 7, 64, 1 << 20):
+        monkeypatch.setattr(language, "RUNS", size)
+        assert model._sums(runs, first) == pytest.approx(whole)
+
+
 def test_memory_is_bounded_by_letters(model, monkeypatch):
     monkeypatch.setattr(language, "MEMORY_LETTERS", 1000)
     fresh = language.Model({"aa": np.ones(language.SLOTS * 3), "bb": np.ones(language.SLOTS * 3)}, {"aa": np.ones(len(language.NAMES)), "bb": np.ones(len(language.NAMES))})
