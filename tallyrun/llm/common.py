@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than these six (and text is cut at these alone).
@@ -125,3 +126,51 @@ def word_count(column: str) -> F.Column:
 
 def words_of(text: str) -> list[str]:
     return re.findall(WORD_PATTERN, text)
+
+
+def ranked(df: DataFrame, by: list[str], order: list[str], name: str = "ranked") -> DataFrame:
+    """The rows with their place ``pos`` (from 0) in their group of ``by`` and its size ``n``, from a written table.
+
+    Rows are ordered by ``order`` (nulls first; equal rows in any order). They are dealt by
+    range and counted by group and partition; places before a partition are sums of such
+    counts, so no group comes into one task. ``df`` is planned twice: make it a written table.
+    """
+    whole = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order)
+    rows = written(whole.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), name)
+    counts = rows.groupBy(*by, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    mine = W.partitionBy(*by)
+    before = F.coalesce(F.sum("_n").over(mine.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("__part"), (before - F.col("_first")).alias("_shift"), F.sum("_n").over(mine).alias("n"))
+    same = F.col("_part") == F.col("__part")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(counts, same).select(*df.columns, (F.col("_row") + F.col("_shift")).alias("pos"), "n")
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, salts: int = 64) -> DataFrame:
+    """rows joined with a table that has one row a key, where a few keys may have most rows.
+
+    A key's rows are split in ``salts`` by their hash; the table's row goes to those that
+    are there, so it is copied no more often than it has rows to meet.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    there = salted.select(key, "_salt").distinct().join(table, key)
+    return salted.join(there, [key, "_salt"]).drop("_salt")
+
+
+def mixed_id() -> F.Column:
+    """A number for each row of a written table, different for every row and spread like a hash (xorshift is one to one)."""
+    x = F.monotonically_increasing_id() + 1
+    x = x.bitwiseXOR(F.shiftleft(x, 13))
+    x = x.bitwiseXOR(F.shiftrightunsigned(x, 7))
+    return x.bitwiseXOR(F.shiftleft(x, 17))
+
+
+#: One row with the table of CRC-32 (reflected polynomial 0xEDB88320) as a DuckDB list ``t``, and the crc of a list of bytes with it.
+CRC_TABLE_SQL = "SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) AS r(i)"
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8 bytes; ``t`` is the list of CRC_TABLE_SQL."""
+    data = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, b: xor(t[xor(c & 255, b) + 1], c >> 8)))"
