@@ -255,6 +255,44 @@ def drift_to_text(store, table):
     return store.grab("places", run="all").select("n_name", "region")
 
 
+def _lists(table, year: int, *fields: str) -> DataFrame:
+    """The orders of each customer in a year as a list of structs with the given fields."""
+    found = table("orders").where(F.year("o_orderdate") == year)
+    return found.groupBy("o_custkey").agg(F.collect_list(F.struct(*fields)).alias("bought"))
+
+
+@query("""SELECT o_custkey, o_orderkey, CASE WHEN year(o_orderdate) = 1996 THEN o_orderstatus END AS o_orderstatus, CASE WHEN year(o_orderdate) = 1996 THEN o_orderpriority END AS o_orderpriority
+FROM orders WHERE year(o_orderdate) IN (1995, 1996)""")
+def append_nested(store, table):
+    """Lists of structs are appended; the second lot has two more fields, which the first lacks when both are read."""
+    store.stow(_lists(table, 1995, "o_orderkey"), "bought")
+    store.stow(_lists(table, 1996, "o_orderpriority", "o_orderkey", "o_orderstatus"), "bought")
+    again = Store(store.spark, store.files.root).grab("bought", run="all")
+    return again.select("o_custkey", F.inline("bought")).select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority")
+
+
+@query("""SELECT c_custkey, 'segment' AS key, c_mktsegment AS value, c_nationkey::VARCHAR AS place FROM customer
+UNION ALL SELECT c_custkey, 'segment', c_mktsegment, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey""")
+def drift_nested_to_text(store, table):
+    """A field within a map's values that comes with another type becomes text; the fields beside it stay."""
+    customer = table("customer")
+    named = customer.join(table("nation"), F.col("n_nationkey") == F.col("c_nationkey"))
+    for rows, place in ((customer, "c_nationkey"), (named, "n_name")):
+        about = F.create_map(F.lit("segment"), F.struct(F.col("c_mktsegment").alias("value"), F.col(place).alias("place")))
+        store.stow(rows.select("c_custkey", about.alias("about")), "customers")
+    found = store.grab("customers", run="all").select("c_custkey", F.explode("about").alias("key", "of"))
+    return found.select("c_custkey", "key", "of.value", "of.place")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def append_names_in_other_case(store, table):
+    """A column whose name comes in other letters is the same column, as it is in the session's SQL."""
+    first, second = (_orders(table, s).select("o_orderkey", "o_totalprice") for s in "FO")
+    store.stow(first, "prices")
+    store.stow(second.select(F.col("o_totalprice").alias("O_TotalPrice"), F.col("o_orderkey").alias("O_ORDERKEY")), "prices")
+    return store.grab("prices", run="all").select("o_orderkey", "o_totalprice")
+
+
 # --- views and SQL steps -------------------------------------------------------------------
 
 

@@ -22,7 +22,7 @@ from .fs import Files
 from .functions.hashing import md5, table_digest
 from .log import RUN_FIELDS, Log, stamp
 from .names import LABEL_COLUMN, RUN_COLUMN, Options, StoreError, quoted, store_root, valid_label, valid_name
-from .operators.drift import announce, fitted, no_reserved_columns, reconcile
+from .operators.drift import announce, exact_case, fitted, healed, no_like_columns, no_reserved_columns, opened, reconcile
 from .operators.sampling import seeded_sample
 from .refs import File, Sql, moment
 from .sources import artifacts
@@ -109,7 +109,7 @@ class Store:
         path = self.files.path("data", name, f"staging-{uuid.uuid4().hex}")
         df.write.parquet(path)
         try:
-            digest, n = table_digest(self.spark.read.schema(_open(df.schema)).parquet(path))
+            digest, n = table_digest(self.spark.read.schema(opened(df.schema)).parquet(path))
         except BaseException:
             self.files.delete(path)
             raise
@@ -117,11 +117,10 @@ class Store:
 
     def _stow_table(self, df: DataFrame, name: str, is_rebind: bool = False, label: str | None = None, source: dict | None = None, record: bool = True) -> str:
         self._guard(name, "versioned", "table")
-        if any(isinstance(f.dataType, T.NullType) for f in df.schema):
-            df = df.select(*[df[quoted(f.name)].cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else df[quoted(f.name)] for f in df.schema])
+        df = _typed(df)
         path, digest, _ = self._staged(df, name)
         # The staging place is new and holds this content for good: it need not be moved, only named by the commit.
-        extra = {"schema": _open(df.schema).json(), "path": path.removeprefix(self.files.root + "/"), "size_bytes": self.files.size(path)} | (source or {})
+        extra = {"schema": opened(df.schema).json(), "path": path.removeprefix(self.files.root + "/"), "size_bytes": self.files.size(path)} | (source or {})
         self._commit_version(name, digest, "table", extra, is_rebind, label, record)
         return digest
 
@@ -188,26 +187,28 @@ class Store:
     def _append(self, df: DataFrame, name: str, label: str | None = None) -> None:
         self._guard(name, "append")
         no_reserved_columns(df)
+        exact = exact_case(df)
+        no_like_columns(df.schema, exact)
         run = CURRENT.get()
         label = run.label if run else label
         at = self.now()
         run_id = run.run_id if run else new_id("run", at)
-        if any(isinstance(f.dataType, T.NullType) for f in df.schema):
-            df = df.select(*[df[quoted(f.name)].cast("string").alias(f.name) if isinstance(f.dataType, T.NullType) else df[quoted(f.name)] for f in df.schema])
+        df = _typed(df)
         table = self.log.tables.get(name)
-        coming = _open(df.schema)
+        coming = opened(df.schema)
         before = table["schema"] if table else None
         if table:
-            drift = reconcile(T.StructType.fromJson(_json(table["schema"])), coming, self.options.widen_numbers)
+            drift = reconcile(T.StructType.fromJson(_json(table["schema"])), coming, self.options.widen_numbers, exact)
             announce(name, drift)
             target = drift.schema
         else:
             target = coming
-        plan = df._jdf.queryExecution().logical().toString()[:2000]
+        plan = df._jdf.queryExecution().logical().toString()
         path = self.files.path("data", name, f"chunk={uuid.uuid4().hex}")
-        part = fitted(df, T.StructType([f for f in target if f.name in df.columns]))
+        ours = {c if exact else c.lower() for c in df.columns}
+        part = fitted(df, T.StructType([f for f in target if (f.name if exact else f.name.lower()) in ours]))
         part.withColumn(RUN_COLUMN, F.lit(run_id)).withColumn(LABEL_COLUMN, F.lit(label).cast("string")).write.parquet(path)
-        held = T.StructType([T.StructField(f.name, f.dataType) for f in part.schema])
+        held = opened(part.schema)
         digest, n = table_digest(self.spark.read.schema(held).parquet(path))
         chunk = {"logical_name": name, "run_id": run_id, "chunk_hash": digest, "rows_appended": n, "started_at": at, "variant_label": label, "path": path.removeprefix(self.files.root + "/"), "schema": held.json(), "size_bytes": self.files.size(path), "source_plan": plan}
         entry = {"kind": "append_table", "logical_name": name, "rows_appended": n, "chunk_hash": digest}
@@ -220,7 +221,7 @@ class Store:
             if not now:
                 first = [{"do": "table_add", "table": {"logical_name": name, "physical_name": f"{name}__append", "schema": target.json(), "first_seen": at, "last_seen": at, "row_count": 0, "size_bytes": 0}}]
             else:
-                whole = target.json() if now["schema"] == before else reconcile(T.StructType.fromJson(_json(now["schema"])), coming, self.options.widen_numbers).schema.json()
+                whole = target.json() if now["schema"] == before else reconcile(T.StructType.fromJson(_json(now["schema"])), coming, self.options.widen_numbers, exact).schema.json()
                 first = [{"do": "table_schema", "name": name, "schema": whole}] if whole != now["schema"] else []
             return [*first, {"do": "chunk_add", "chunk": chunk}, *recorded]
 
@@ -422,7 +423,7 @@ class Store:
         Only the folders of the chunks asked for are listed and read; chunks of one schema
         are one scan however many they are.
         """
-        target = T.StructType.fromJson(_json(self.log.tables[name]["schema"]))
+        target = healed(T.StructType.fromJson(_json(self.log.tables[name]["schema"])), self.spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true")
         by_schema: dict[str, list[str]] = {}
         for c in self.log.chunks_of(name, run_id):
             by_schema.setdefault(c["schema"], []).append(self.files.path(c["path"]))
@@ -601,9 +602,22 @@ def _json(text: str) -> dict:
     return json.loads(text)
 
 
-def _open(schema: T.StructType) -> T.StructType:
-    """The schema with all columns nullable, as files give it back."""
-    return T.StructType([T.StructField(f.name, f.dataType) for f in schema])
+def _typed(df: DataFrame) -> DataFrame:
+    """Columns that are null throughout as text: files have no such type, at whatever depth."""
+    wanted = _no_nulls(df.schema)
+    return df if wanted == df.schema else df.select(*[df[quoted(f.name)].cast(w.dataType).alias(f.name) if f.dataType != w.dataType else df[quoted(f.name)] for f, w in zip(df.schema, wanted, strict=True)])
+
+
+def _no_nulls(kind: T.DataType) -> T.DataType:
+    if isinstance(kind, T.NullType):
+        return T.StringType()
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _no_nulls(f.dataType), f.nullable, f.metadata) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_no_nulls(kind.elementType), kind.containsNull)
+    if isinstance(kind, T.MapType):
+        return T.MapType(_no_nulls(kind.keyType), _no_nulls(kind.valueType), kind.valueContainsNull)
+    return kind
 
 
 def _stable_plan(df: DataFrame) -> str:
