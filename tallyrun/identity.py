@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import ast
+import dis
+import functools
 import importlib
 import importlib.util
+import inspect
+import math
 import os
 import pickle
 import sys
 import sysconfig
+import textwrap
 import types
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from .functions.hashing import md5, normal_code
 
@@ -19,28 +25,134 @@ _HERE = os.path.dirname(os.path.abspath(__file__)) + os.sep
 _LIBRARIES = tuple({os.path.realpath(p) + os.sep for k, p in sysconfig.get_paths().items() if k in ("stdlib", "platstdlib", "purelib", "platlib")})
 #: Hash of each project module's file when it was loaded.
 _LOADED: dict[str, str] = {}
+#: Functions whose values are being put in words.
+_OPEN: ContextVar[frozenset[int]] = ContextVar("tallyrun_open", default=frozenset())
+
+
+#: Between what a recorded function needs and the function itself.
+STEP = "# --- step ---"
 
 
 def with_values(text: str, function: Callable) -> str:
-    """The text of a function and, below it as comments, what tells it from others of the same text.
+    """The text of a function with all that it takes from its own module, and what tells it from others of the same text.
 
-    That is its default values, the values it closes over and, as several lambdas can stand on
-    one line, a lambda's own instructions.
+    Above it stand, each before what uses it, the helpers, classes and constants of its module
+    that it reaches by name, directly or through each other, and the imports that these use,
+    so that the whole can be run again by itself. Below it, as comments, are its default
+    values, the values it closes over and, as several lambdas can stand on one line, a
+    lambda's own instructions.
     """
-    code = getattr(function, "__code__", None)
-    if code is None:
+    if getattr(function, "__code__", None) is None:
         return text
+    reached = _Reached()
+    reached.follow(function)
+    token = _OPEN.set(_OPEN.get() | {id(function)})
+    below = _carried(function)
+    _OPEN.reset(token)
+    if function.__name__ == "<lambda>":
+        below.append(f"# lambda: {_instructions(function.__code__)}")
+    above = [*reached.lines, STEP] if reached.lines else []
+    return "\n".join([*above, text.rstrip("\n"), *below]) + "\n" if above or below else text
+
+
+def _carried(function: Callable, of: str = "") -> list[str]:
+    """Default values and the values closed over, as comments."""
     lines = []
     if function.__defaults__ or function.__kwdefaults__:
-        lines.append(f"# defaults: {_said((function.__defaults__, function.__kwdefaults__))}")
-    for name, cell in zip(code.co_freevars, function.__closure__ or (), strict=True):
+        lines.append(f"# {of}defaults: {_said((function.__defaults__, function.__kwdefaults__))}")
+    for name, cell in zip(function.__code__.co_freevars, function.__closure__ or (), strict=True):
         try:
-            lines.append(f"# {name} = {_said(cell.cell_contents)}")
+            lines.append(f"# {of}{name} = {_said(cell.cell_contents)}")
         except ValueError:  # not yet bound
-            lines.append(f"# {name} is unbound")
-    if function.__name__ == "<lambda>":
-        lines.append(f"# lambda: {md5(repr((code.co_names, _constants(code))) + code.co_code.hex())}")
-    return "\n".join([text.rstrip("\n"), *lines]) + "\n" if lines else text
+            lines.append(f"# {of}{name} is unbound")
+    owner = getattr(function, "__self__", None)
+    if owner is not None:
+        lines.append(f"# {of}self = {_said(owner)}")
+    return lines
+
+
+def _instructions(code: types.CodeType) -> str:
+    return md5(repr((code.co_names, _constants(code))) + code.co_code.hex())
+
+
+class _Reached:
+    """What a function reaches by the global names in its code and in that of its module's helpers."""
+
+    def __init__(self):
+        self.lines: list[str] = []
+        self.functions: list[Callable] = []
+        self._seen: set = set()
+
+    def follow(self, function: Callable) -> None:
+        function = getattr(function, "__func__", function)
+        if id(function) in self._seen:
+            return
+        self._seen.add(id(function))
+        self.functions.append(function)
+        inner = inspect.unwrap(function)
+        if inner is not function and hasattr(inner, "__code__"):
+            self.follow(inner)
+        for name in sorted(_global_names(function.__code__)):
+            if name in function.__globals__:
+                self._name(name, function.__globals__[name], function.__module__, function.__globals__)
+
+    def _name(self, name: str, value, own: str, space: dict) -> None:
+        if (id(space), name) in self._seen:
+            return
+        self._seen.add((id(space), name))
+        if isinstance(value, types.ModuleType):
+            self.lines.append(f"import {value.__name__} as {name}" if name != value.__name__ else f"import {name}")
+        elif isinstance(value, type) or hasattr(value, "__code__"):
+            if getattr(value, "__module__", None) == own:
+                self._helper(name, value)
+            else:
+                self.lines.append(f"from {value.__module__} import {value.__qualname__} as {name}")
+        elif isinstance(value, functools.partial) and hasattr(value.func, "__code__"):
+            if value.func.__module__ == own:
+                self._helper(value.func.__name__, value.func)
+            self.lines.append(f"# {name} is partial of {_said(value.func)} with {_said((value.args, value.keywords))}")
+        else:
+            self.lines.append(f"{name} = {value!r}" if _is_literal(value) else f"# {name} is {_said(value)}")
+
+    def _helper(self, name: str, value) -> None:
+        """A function or class of the module: first what it reaches, then its text."""
+        parts = [value] if hasattr(value, "__code__") else _functions_in(value)
+        for f in parts:
+            self.follow(f)
+        for base in getattr(value, "__bases__", ()):
+            if base.__module__ == value.__module__:
+                self._name(base.__name__, base, value.__module__, sys.modules[base.__module__].__dict__ if base.__module__ in sys.modules else {base.__name__: base})
+        try:
+            text = textwrap.dedent(inspect.getsource(value)).rstrip("\n")
+        except (OSError, TypeError):
+            text = f"# {name}: {[_instructions(f.__code__) for f in parts]}"
+        self.lines += [text, *[c for f in parts for c in _carried(f, f"{f.__qualname__} ")]]
+        if name != value.__name__ and not text.startswith(f"{name} ="):
+            self.lines.append(f"{name} = {value.__name__}" if value.__name__.isidentifier() else f"# {name} is {value.__name__}")
+
+
+def _functions_in(cls: type) -> list[Callable]:
+    out = []
+    for _, v in sorted(vars(cls).items(), key=lambda kv: kv[0]):
+        for f in (v, getattr(v, "__func__", None), getattr(v, "fget", None), getattr(v, "fset", None)):
+            if isinstance(f, types.FunctionType):
+                out.append(f)
+    return out
+
+
+def _global_names(code: types.CodeType) -> set[str]:
+    """Names that a code object and those within it look up among globals."""
+    mine = {i.argval for i in dis.get_instructions(code) if i.opname in ("LOAD_GLOBAL", "LOAD_NAME")}
+    return mine.union(*[_global_names(c) for c in code.co_consts if isinstance(c, types.CodeType)])
+
+
+def _is_literal(value) -> bool:
+    """Whether a value can be written down and read back; sets have no order to be written in."""
+    if isinstance(value, (list, tuple)):
+        return type(value) in (list, tuple) and all(map(_is_literal, value))
+    if isinstance(value, dict):
+        return type(value) is dict and all(map(_is_literal, [*value, *value.values()]))
+    return type(value) in (type(None), bool, int, str, bytes) and len(repr(value)) <= 10_000 or type(value) is float and math.isfinite(value)
 
 
 def _constants(code: types.CodeType) -> list:
@@ -59,7 +171,13 @@ def _said(value, depth: int = 4) -> str:
         text = repr(value)
         return text if len(text) <= 200 and "\n" not in text else f"{type(value).__name__}:{md5(text)}"
     if callable(value) and hasattr(value, "__code__"):
-        return f"{value.__qualname__}:{md5(with_values(value.__code__.co_code.hex() + repr(_constants(value.__code__)), value) if depth else value.__qualname__)}"
+        if id(value) in _OPEN.get():
+            return value.__qualname__  # it is part of what it carries
+        token = _OPEN.set(_OPEN.get() | {id(value)})
+        try:
+            return f"{value.__qualname__}:{md5(with_values(value.__code__.co_code.hex() + repr(_constants(value.__code__)), value))}"
+        finally:
+            _OPEN.reset(token)
     if isinstance(value, types.ModuleType):
         return value.__name__
     kind = f"{type(value).__module__}.{type(value).__qualname__}"
@@ -67,8 +185,9 @@ def _said(value, depth: int = 4) -> str:
         return kind  # handles of a session have no value of their own
     try:
         return f"{kind}:{md5(pickle.dumps(value, protocol=5))}"
-    except Exception:  # what can't be pickled is known by its type
-        return kind
+    except Exception:  # what can't be pickled is known by its type and attributes
+        held = getattr(value, "__dict__", None)
+        return f"{kind}({_said(held, depth - 1)})" if held and depth and not isinstance(value, type) else kind
 
 
 def _project_file(module: types.ModuleType | None) -> str | None:
@@ -137,16 +256,21 @@ def helpers_of_text(text: str) -> dict[str, str]:
 
 
 def helpers_of(function: Callable) -> dict[str, str]:
-    """Of a function: modules that it imports or names, and those whose functions and classes it names."""
-    code = getattr(function, "__code__", None)
-    if code is None:
+    """Of a function and the helpers of its module that it reaches: modules that they import or name, and those whose functions and classes they name."""
+    if getattr(function, "__code__", None) is None:
         return {}
-    named = [function.__globals__.get(n) for n in _all_names(code)]
-    modules = [x if isinstance(x, types.ModuleType) else sys.modules.get(getattr(x, "__module__", None) or "") for x in named if x is not None]
+    reached = _Reached()
+    reached.follow(function)
     own = function.__module__
-    modules = [m for m in modules if m is not None and m.__name__ != own]
+    modules = []
+    for f in reached.functions:
+        names = _all_names(f.__code__)
+        for x in (f.__globals__.get(n) for n in names):
+            if x is not None:
+                modules.append(x if isinstance(x, types.ModuleType) else sys.modules.get(getattr(x, "__module__", None) or ""))
+        modules += [sys.modules.get(n) for n in names]
     found: dict[str, str] = {}
-    _follow([*modules, *[m for n in _all_names(code) if (m := sys.modules.get(n))]], found)
+    _follow([m for m in modules if m is not None and m.__name__ != own], found)
     return found
 
 

@@ -768,6 +768,48 @@ def functions_by_their_values(store, table):
     return store.grab("counts", run="all").select("o_orderstatus", "n")
 
 
+_PRICED = """
+from pyspark.sql import functions as F
+LEAST = 100000
+
+def least():
+    return LEAST
+
+def chosen(orders):
+    return orders.where(F.col("o_totalprice") >= least())
+
+def step(ctx):
+    ctx.stow(chosen(ctx.grab("orders")).groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_totalprice").cast("decimal(20,2)").alias("total")), "counts")
+"""
+
+
+def _module(text: str):
+    """A module of a text, whose source Python finds as it would that of a file."""
+    import linecache
+    import types
+
+    place = f"<priced-{hash(text)}>"
+    linecache.cache[place] = (len(text), None, text.splitlines(True), place)
+    module = types.ModuleType("priced")
+    exec(compile(text, place, "exec"), module.__dict__)
+    return module
+
+
+@query("""SELECT v.k, o_orderstatus, count(*) AS n, sum(o_totalprice)::DECIMAL(20, 2) AS total FROM orders, (VALUES (0, 100000, 1e12), (1, 200000, 1e12), (2, 400000, 1e12), (3, 0, 400000)) v(k, low, high)
+WHERE o_totalprice >= v.low AND o_totalprice < v.high GROUP BY 1, 2""")
+def steps_by_their_module(store, table):
+    """An edited constant, an edited helper's helper and an edited helper each make a step run again; the step alone, or what it doesn't reach, does not."""
+    store.stow(table("orders"), "orders", shape="versioned")
+    edits = [("", ""), ("", "\nOTHER = 1\n"), ("LEAST = 100000", "LEAST = 200000"), ("return LEAST", "return LEAST * 2"), (">= least()", "< least()"), ("", "")]
+    text, ran = _PRICED, []
+    for old, new in edits:
+        text = text.replace(old, new) if old else text + new
+        ran.append(store.launch(_module(text).step))
+    done = [i for i in ran if store.log.runs[i]["status"] == "success"]
+    assert [store.log.runs[i]["status"] for i in ran].count("skipped_fresh") == 2
+    return stacked([store.grab("counts", run=i).withColumn("k", F.lit(k)) for k, i in enumerate(done)])
+
+
 @query("SELECT count(*) AS n, 1::BIGINT AS versions FROM lineitem")
 def seeded_sql(store, table):
     """A seeded SQL step gives the same random numbers again."""

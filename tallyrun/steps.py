@@ -182,7 +182,7 @@ class Ctx:
 
 def _execute(store: Store, step: Step, context: RunContext, materialize: bool) -> None:
     if step.kind == "function":
-        wants = step.function.__code__.co_argcount if hasattr(step.function, "__code__") else 1
+        wants = step.function.__code__.co_argcount - (getattr(step.function, "__self__", None) is not None) if hasattr(step.function, "__code__") else 1
         context.helpers |= identity.helpers_of(step.function)
         step.function(*([Ctx(store, context)] if wants else []))
     elif step.kind == "sql":
@@ -210,8 +210,11 @@ def _execute(store: Store, step: Step, context: RunContext, materialize: bool) -
         space["include"] = Include(context, space)
         if step.kind == "text":  # a recorded function
             space["ctx"] = Ctx(store, context)
+            above, mark, body = step.body.partition(identity.STEP + "\n")
+            if mark:  # what the function needs of its module
+                exec(compile(above, step.name, "exec"), space)
             before = set(space)
-            exec(compile(step.body.strip(), step.name, "exec"), space)
+            exec(compile((body if mark else above).strip(), step.name, "exec"), space)
             made = [v for k, v in space.items() if k not in before and callable(v) and hasattr(v, "__code__")]
             if not made:
                 raise StoreError("the recorded code is no function definition; pass the function again")
