@@ -13,6 +13,12 @@ from .names import StoreError
 
 #: File systems whose rename is atomic and leaves a target that is there alone.
 ATOMIC = ("hdfs", "viewfs")
+#: Object stores whose create() without overwriting is a put if absent: nothing is there before close(), and close() fails if another was first.
+PUT_IF_ABSENT = ("gs",)
+#: More of them, as a list of schemes in the session.
+DECLARED = "spark.tallyrun.putIfAbsent"
+#: The capability and option of file systems (S3A among them) for such a put.
+CONDITIONAL = "fs.option.create.conditional.overwrite"
 
 
 class Files:
@@ -23,7 +29,17 @@ class Files:
         self._fs = path.getFileSystem(self._conf)
         self.root = self._fs.makeQualified(path).toString().rstrip("/")
         self.scheme = self.root.partition(":")[0]
-        self._local = self.root.removeprefix("file:").replace("//", "/", 1) if self.root.startswith("file:") else None
+        declared = {x.strip() for x in (spark.conf.get(DECLARED, "") or "").split(",")}
+        if self.scheme == "file":
+            self._create_once = self._link
+        elif self.scheme in ATOMIC:
+            self._create_once = self._rename_in
+        elif self._fs.hasPathCapability(path, CONDITIONAL):
+            self._create_once = lambda path, data: self._put(path, data, lambda p: self._fs.createFile(p).must(CONDITIONAL, "true").build())
+        elif self.scheme in PUT_IF_ABSENT or self.scheme in declared:
+            self._create_once = lambda path, data: self._put(path, data, lambda p: self._fs.create(p, False))
+        else:
+            raise StoreError(f"a store can't be kept on {self.scheme}: it can't make a file whole and only once. If its create() without overwriting is a put if absent, name it in {DECLARED}")
 
     def path(self, *parts: str) -> str:
         return "/".join((self.root, *parts))
@@ -57,28 +73,31 @@ class Files:
             stream.close()
 
     def create(self, path: str, data: bytes) -> bool:
-        """Write a new file that appears whole or not at all; False if there is one.
+        """Write a new file that appears whole or not at all; False if there is one already.
 
-        Local disks link, HDFS (also behind viewfs) renames; neither replaces what is there.
-        Other file systems promise neither, so they are refused.
+        How is settled when the store is opened: local disks link, HDFS (also behind viewfs)
+        renames, object stores put if absent. None replaces what is there. File systems that
+        can do none of it are refused then, before anything is written.
         """
-        if self._local:
-            target = path.removeprefix("file:").replace("//", "/", 1)
-            os.makedirs(os.path.dirname(target), exist_ok=True)
-            draft = f"{target}.{os.getpid()}.{id(data)}.draft"
-            with open(draft, "wb") as f:
-                f.write(data)
-                f.flush()
-                os.fsync(f.fileno())
-            try:
-                os.link(draft, target)
-            except FileExistsError:
-                return False
-            finally:
-                os.unlink(draft)
-            return True
-        if self.scheme not in ATOMIC:
-            raise StoreError(f"a store can't be kept on {self.scheme}: it can't make a file whole and only once")
+        return self._create_once(path, data)
+
+    def _link(self, path: str, data: bytes) -> bool:
+        target = path.removeprefix("file:").replace("//", "/", 1)
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        draft = f"{target}.{uuid.uuid4().hex}.draft"
+        with open(draft, "wb") as f:
+            f.write(data)
+            f.flush()
+            os.fsync(f.fileno())
+        try:
+            os.link(draft, target)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(draft)
+        return True
+
+    def _rename_in(self, path: str, data: bytes) -> bool:
         if self.exists(path):
             return False
         draft = f"{path}.{uuid.uuid4().hex}.draft"
@@ -99,6 +118,18 @@ class Files:
                 raise OSError(f"{path} could not be made")
         return made
 
+    def _put(self, path: str, data: bytes, opened) -> bool:
+        """A put that may fail although it was done: a client that got no answer asks again and is told that the file is there. So what is there is compared."""
+        try:
+            stream = opened(self._at(path))
+            stream.write(data)
+            stream.close()
+            return True
+        except Py4JJavaError:
+            if not self.exists(path):
+                raise
+            return self.read(path) == data
+
     def rename(self, old: str, new: str) -> None:
         self._fs.mkdirs(self._at(new).getParent())
         if not self._fs.rename(self._at(old), self._at(new)):
