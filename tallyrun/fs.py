@@ -23,7 +23,7 @@ CONDITIONAL = "fs.option.create.conditional.overwrite"
 
 class Files:
     def __init__(self, spark: SparkSession, root: str):
-        self._jvm = spark.sparkContext._jvm
+        self.spark, self._jvm = spark, spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         path = self._jvm.org.apache.hadoop.fs.Path(root if "://" in root or root.startswith("file:") else "file://" + os.path.abspath(root))
         self._fs = path.getFileSystem(self._conf)
@@ -51,17 +51,27 @@ class Files:
         return self._fs.exists(self._at(path))
 
     def names(self, path: str) -> list[str]:
+        """What a folder holds; all names come over in one call."""
         if not self.exists(path):
             return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(path)))
+        paths = self._jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(self._fs.listStatus(self._at(path)))
+        text = self._jvm.scala.runtime.ScalaRunTime.stringOf(paths)[len("Array(") : -1]
+        return sorted(p.rpartition("/")[2] for p in text.split(f", {path}/")) if text else []
+
+    def quiet(self, path: str) -> float:
+        """Seconds since anything in a folder has changed, down to the files of tasks that are under way."""
+        newest = self._fs.getFileStatus(self._at(path)).getModificationTime()
+        todo = [self._at(path)] if self._fs.getFileStatus(self._at(path)).isDirectory() else []
+        while todo:
+            for s in self._fs.listStatus(todo.pop()):
+                newest = max(newest, s.getModificationTime())
+                if s.isDirectory():
+                    todo.append(s.getPath())
+        return time.time() - newest / 1000
 
     def size(self, path: str) -> int:
         return self._fs.getContentSummary(self._at(path)).getLength()
 
-    def age(self, path: str) -> float:
-        """Seconds since a file or folder was last changed."""
-        return time.time() - self._fs.getFileStatus(self._at(path)).getModificationTime() / 1000
-
     def mkdirs(self, path: str) -> None:
         self._fs.mkdirs(self._at(path))
 

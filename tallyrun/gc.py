@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import json
 import warnings
-from collections import defaultdict
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from . import schema as metadata
-from .context import output_identity
 from .functions.scalars import duration
+from .listing import written_by_runs
 from .log import stamp
 from .names import StoreError, valid_name
 from .store import Store
 
+#: Folders that the driver deletes at a time.
+DELETES = 16
+
 
 def prune(store: Store, name: str | None = None, by: str = "auto", run_id: str | None = None, keep: int | None = None, keep_latest: bool = False, older_than: str | None = None, force: bool = False) -> dict[str, DataFrame]:
     """Remove what the policies select, and say what: {"versioned": ..., "append": ...}.
@@ -61,38 +68,52 @@ def _prune_versions(store: Store, name, keep, keep_latest, limit, force) -> Data
     store.log.commit(build)
     for v in going:
         store._live_views.pop((v["logical_name"], v["content_hash"]), None)
-        _delete(store, v)
+    _delete(store, (v["path"] for v in going if v.get("path")))
     return metadata.frame(store.spark, going, metadata.VERSIONS)
 
 
+def _any(conditions: list[F.Column]) -> F.Column:
+    out = F.lit(False)
+    for c in conditions:
+        out = out | c
+    return out
+
+
+def _before(column: str, limit: str) -> F.Column:
+    return F.col(column) < F.lit(limit).cast("timestamp_ntz")
+
+
 def _old_versions(store: Store, name, keep, keep_latest, limit, force) -> list[dict]:
-    by_name = defaultdict(list)
-    for (n, _), v in store.log.versions.items():
-        if name in (None, n):
-            by_name[n].append(v)
-    going = []
-    for rows in by_name.values():
-        rows.sort(key=lambda v: (v["first_seen"], v["seq"]))
-        left = len(rows)
-        for k, v in enumerate(rows):
-            old = (keep_latest and k != left - 1) or (keep is not None and k < left - keep) or (limit is not None and v["first_seen"] < limit)
-            if old:
-                going.append(v)
+    """Places by age within each name, and those that no run has written: a window and an anti-join over the log. Only what goes comes to the driver."""
+    if not (keep_latest or keep is not None or limit is not None):
+        return []
+    rows = store.log.versions.frame(row=True)
+    if name is not None:
+        rows = rows.where(F.col("logical_name") == name)
+    rows = rows.withColumn("place", F.row_number().over(W.partitionBy("logical_name").orderBy(F.col("first_seen").desc(), F.col("seq").desc())))
+    old = [F.col("place") > (1 if keep_latest else keep)] if keep_latest or keep is not None else []
+    going = rows.where(_any([*old, *([_before("first_seen", limit)] if limit is not None else [])]))
     if not force:
-        written = {output_identity(o) for r in store.log.runs.values() for o in r["outputs"] or ()}
-        safe = [v for v in going if (v["logical_name"], v["content_hash"]) in written]
+        written = written_by_runs(store).select(F.col("name").alias("logical_name"), F.col("hash").alias("content_hash"), F.lit(True).alias("written")).distinct()
+        going = going.join(written, ["logical_name", "content_hash"], "left")
+        safe = going.where("written").count()
         if safe:
-            warnings.warn(f"{len(safe)} versions are results of runs and stay; force=True removes them", stacklevel=6)
-        going = [v for v in going if v not in safe]
-    return going
+            warnings.warn(f"{safe} versions are results of runs and stay; force=True removes them", stacklevel=6)
+        going = going.where("written is null")
+    return [json.loads(r.row) for r in going.orderBy("logical_name", "first_seen", "seq").select("row").toLocalIterator()]
 
 
-def _delete(store: Store, row: dict) -> None:
-    if row.get("path"):
+def _delete(store: Store, paths: Iterable[str]) -> None:
+    """Some at a time: each is a call to the file system that removes a folder as a whole."""
+
+    def one(path: str) -> None:
         try:
-            store.files.delete(store.files.path(row["path"]))
+            store.files.delete(store.files.path(path))
         except Exception as e:  # the commit stands; what is left over is only garbage
-            warnings.warn(f"{row['path']} could not be deleted: {e}", stacklevel=5)
+            warnings.warn(f"{path} could not be deleted: {e}", stacklevel=2)
+
+    with ThreadPoolExecutor(DELETES) as pool:
+        list(pool.map(one, paths))
 
 
 def _prune_chunks(store: Store, name, run_id, keep, keep_latest, limit, force) -> DataFrame:
@@ -104,51 +125,58 @@ def _prune_chunks(store: Store, name, run_id, keep, keep_latest, limit, force) -
         return [{"do": "chunk_delete", "path": c["path"]} for c in going]
 
     store.log.commit(build)
-    for c in going:
-        _delete(store, c)
+    _delete(store, (c["path"] for c in going))
     return metadata.frame(store.spark, rows, ("logical_name", "rows_pruned"))
 
 
 def _old_chunks(store: Store, name, run_id, keep, keep_latest, limit, force) -> tuple[list[dict], list[dict]]:
-    log, rows, going = store.log, [], []
-    for table in log.tables if name is None else [name] if name in log.tables else []:
-        chunks = log.chunks_of(table)
-        ids = {c["run_id"] for c in chunks}
-        known = sorted((log.runs[i] for i in ids if i in log.runs and log.runs[i]["started_at"]), key=lambda r: (r["started_at"], r["seq"]), reverse=True)
-        doomed = {run_id} & ids if run_id else set()
-        if limit is not None:
-            doomed |= {r["run_id"] for r in known if r["started_at"] < limit}
-        if keep is not None:
-            doomed |= {r["run_id"] for r in known[keep:]}
-        if keep_latest:
-            seen = set()
-            for r in known:
-                if r["variant_label"] in seen:
-                    doomed.add(r["run_id"])
-                seen.add(r["variant_label"])
-        if not force and not keep_latest:
-            labelled = {i for i in doomed if (log.runs.get(i) or {}).get("variant_label")}
-            if labelled:
-                warnings.warn(f"{len(labelled)} labelled runs of {table} stay; force=True removes them", stacklevel=6)
-            doomed -= labelled
-        mine = [c for c in chunks if c["run_id"] in doomed]
-        going += mine
-        rows.append({"logical_name": table, "rows_pruned": sum(c["rows_appended"] for c in mine)})
-    return rows, going
+    """Runs by age within each table and label, less the labelled ones: windows over chunks joined with runs, and a semi-join back."""
+    tables = [t for t in store.log.tables if name in (None, t)]
+    chunks = store.log._chunks.frame(row=True)
+    if name is not None:
+        chunks = chunks.where(F.col("logical_name") == name)
+    runs = store.log.runs.frame().select("run_id", F.col("started_at").alias("began"), F.col("variant_label").alias("label"), F.col("seq").alias("run_seq"))
+    held = chunks.select("logical_name", "run_id").distinct().join(runs, "run_id", "left")
+    newest = [F.col("began").desc_nulls_last(), F.col("run_seq").desc()]
+    conditions = [F.col("run_id") == run_id] if run_id else []
+    if limit is not None:
+        conditions.append(_before("began", limit))
+    if keep is not None:
+        held = held.withColumn("place", F.row_number().over(W.partitionBy("logical_name").orderBy(*newest)))
+        conditions.append(F.col("began").isNotNull() & (F.col("place") > keep))
+    if keep_latest:
+        held = held.withColumn("of_label", F.row_number().over(W.partitionBy("logical_name", "label").orderBy(*newest)))
+        conditions.append(F.col("began").isNotNull() & (F.col("of_label") > 1))
+    doomed = held.where(F.coalesce(_any(conditions), F.lit(False)))
+    if not force and not keep_latest and conditions:
+        for r in doomed.where("label is not null").groupBy("logical_name").count().collect():
+            warnings.warn(f"{r['count']} labelled runs of {r.logical_name} stay; force=True removes them", stacklevel=6)
+        doomed = doomed.where("label is null")
+    going = [json.loads(r.row) for r in chunks.join(doomed.select("logical_name", "run_id"), ["logical_name", "run_id"], "left_semi").orderBy("seq").select("row").toLocalIterator()] if conditions else []
+    pruned = dict.fromkeys(tables, 0)
+    for c in going:
+        pruned[c["logical_name"]] = pruned.get(c["logical_name"], 0) + c["rows_appended"]
+    return [{"logical_name": t, "rows_pruned": n} for t, n in pruned.items()], going
 
 
 def collect_garbage(store: Store, older_than: str = "1d", dry_run: bool = False) -> list[str]:
-    """Delete data that no commit names and that is older than a time: what writers left that ended before their commit. The paths."""
+    """Delete data that no commit names and in which nothing has changed for a time: what writers left that ended before their commit. The paths.
+
+    Each name's folder is listed by one call and what the log names is taken away by a join;
+    only folders that are left are looked into, whose newest file tells whether a writer is
+    still at it. States of the log before the newest are garbage alike.
+    """
     store.log.replay()
-    named = {r["path"] for r in [*store.log.versions.values(), *store.log.chunks] if r.get("path")}
-    limit, found = duration(older_than).total_seconds(), []
-    for name in store.files.names(store.files.path("data")):
-        found += [f"data/{name}/{x}" for x in store.files.names(store.files.path("data", name))]
-    found += [f"artifacts/{x}" for x in store.files.names(store.files.path("artifacts"))]
-    going = [p for p in found if p not in named and store.files.age(store.files.path(p)) >= limit]
+    files, limit = store.files, duration(older_than).total_seconds()
+    found = [f"data/{name}/{x}" for name in files.names(files.path("data")) for x in files.names(files.path("data", name))]
+    found += [f"artifacts/{x}" for x in files.names(files.path("artifacts"))]
+    path = F.get_json_object("row", "$.path").alias("path")
+    named = store.log.versions.frame(row=True).select(path).union(store.log._chunks.frame(row=True).select(path)).where("path is not null")
+    going = [r.path for r in store.spark.createDataFrame([(p,) for p in found], "path string").join(named, "path", "left_anti").toLocalIterator()]
+    going += [f"_log/{x}" for x in store.log.old_states()]
+    going = sorted(p for p in going if files.quiet(files.path(p)) >= limit)
     if not dry_run:
-        for p in going:
-            store.files.delete(store.files.path(p))
+        _delete(store, going)
     return going
 
 

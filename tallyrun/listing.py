@@ -1,4 +1,4 @@
-"""Listings of versions, variants and what a script has not used."""
+"""Listings of versions, variants and what a script has not used: plans over the log's rows."""
 
 from __future__ import annotations
 
@@ -6,10 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import schema as metadata
-from .context import output_identity, output_matches
 from .names import StoreError
 from .store import Store
 
+_VERSIONS = ("logical_name", "content_hash", "kind", "first_seen", "last_seen", "size_bytes", "is_rebind", "rows_appended", "source_uri", "source_sql", "produced_by_runs")
+
+
+def written_by_runs(store: Store) -> DataFrame:
+    """What runs have written: (run_id, seq, started_at, variant_label, name, hash), a row for each output."""
+    rows = store.log.runs.frame().select("run_id", "seq", "started_at", "variant_label", F.explode("outputs").alias("o"))
+    return rows.select("run_id", "seq", "started_at", "variant_label", "o.name", "o.hash")
+
+
+def _as_listed(df: DataFrame, **columns: F.Column) -> DataFrame:
+    kinds = metadata.schema(_VERSIONS)
+    return df.select(*[columns.get(f.name, F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
+
 
 def versions(store: Store, name: str, include_rebinds: bool = True) -> DataFrame:
     """Versions of a name (chunks of an append table), newest first, with the runs that made each."""
@@ -18,14 +30,14 @@ def versions(store: Store, name: str, include_rebinds: bool = True) -> DataFrame
     if shape is None:
         raise StoreError(f"nothing is stored as {name}")
     if shape == "append":
-        rows = [{"logical_name": name, "content_hash": c["chunk_hash"], "kind": "chunk", "first_seen": c["started_at"], "last_seen": c["started_at"], "size_bytes": None, "is_rebind": False, "rows_appended": c["rows_appended"], "produced_by_runs": [c["run_id"]]} for c in sorted(store.log.chunks_of(name), key=lambda c: c["seq"], reverse=True)]
-    else:
-        makers: dict[str, list[str]] = {}
-        for r in store.log.runs.values():
-            for digest in dict.fromkeys(output_identity(o)[1] for o in r["outputs"] or () if output_matches(o, name)):
-                makers.setdefault(digest, []).append(r["run_id"])
-        rows = [v | {"produced_by_runs": makers.get(v["content_hash"], []), "rows_appended": None} for v in reversed(store.log.of_name(name, rebinds=include_rebinds))]
-    return metadata.frame(store.spark, rows, ("logical_name", "content_hash", "kind", "first_seen", "last_seen", "size_bytes", "is_rebind", "rows_appended", "source_uri", "source_sql", "produced_by_runs"))
+        rows = store.log.chunk_frame().where(F.col("logical_name") == name).orderBy(F.col("seq").desc())
+        return _as_listed(rows, content_hash=F.col("chunk_hash"), kind=F.lit("chunk"), first_seen=F.col("started_at"), last_seen=F.col("started_at"), is_rebind=F.lit(False), produced_by_runs=F.array("run_id"))
+    rows = store.log.versions.frame().where(F.col("logical_name") == name)
+    if not include_rebinds:
+        rows = rows.where(~F.coalesce("is_rebind", F.lit(False)))
+    made = written_by_runs(store).where(F.col("name") == name).groupBy(F.col("hash").alias("content_hash")).agg(F.array_sort(F.collect_set(F.struct("seq", "run_id"))).alias("makers"))
+    both = rows.join(made, "content_hash", "left").orderBy(F.col("first_seen").desc(), F.col("seq").desc())
+    return _as_listed(both, produced_by_runs=F.coalesce(F.col("makers.run_id"), F.array()))
 
 
 def variants(store: Store, script: str | None = None, name: str | None = None) -> DataFrame:
@@ -42,13 +54,8 @@ def variants(store: Store, script: str | None = None, name: str | None = None) -
 def variants_unexplored(store: Store, script: str) -> DataFrame:
     """Labelled results of the names that a script reads, newest first, and whether it has read each: (logical_name, upstream_label, upstream_hash, last_seen, used_by_this_script)."""
     store.log.replay()
-    mine = [r for r in store.log.runs.values() if r["step"] == script]
-    used = {(p["name"], p["hash"]) for r in mine for p in r["inputs"] or ()}
-    names = {n for n, _ in used}
-    found: dict[tuple, dict] = {}
-    for r in sorted((r for r in store.log.runs.values() if r["variant_label"] and r["started_at"]), key=lambda r: (r["started_at"], r["seq"]), reverse=True):
-        for o in r["outputs"] or ():
-            name, digest = output_identity(o)
-            if name in names:
-                found.setdefault((name, r["variant_label"], digest), {"logical_name": name, "upstream_label": r["variant_label"], "upstream_hash": digest, "last_seen": r["started_at"], "used_by_this_script": (name, digest) in used})
-    return metadata.frame(store.spark, list(found.values()), ("logical_name", "upstream_label", "upstream_hash", "last_seen", "used_by_this_script"))
+    used = store.log.runs.frame().where(F.col("step") == script).select(F.explode("inputs").alias("p")).select("p.name", "p.hash").distinct()
+    labelled = written_by_runs(store).where("variant_label is not null and started_at is not null")
+    found = labelled.join(used.select("name").distinct(), "name", "left_semi").groupBy("name", "hash", "variant_label").agg(F.max(F.struct("started_at", "seq")).alias("last"))
+    both = found.join(used.withColumn("used", F.lit(True)), ["name", "hash"], "left").orderBy(F.col("last").desc(), "name", "hash")
+    return both.select(F.col("name").alias("logical_name"), F.col("variant_label").alias("upstream_label"), F.col("hash").alias("upstream_hash"), F.col("last.started_at").alias("last_seen"), F.coalesce("used", F.lit(False)).alias("used_by_this_script"))

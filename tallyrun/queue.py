@@ -29,7 +29,7 @@ def queue(store: Store, code, rebind=None, label: str | None = None, external_in
     if seed is not None and not (isinstance(seed, (int, float)) and -1 <= seed <= 1):
         raise StoreError("a seed is a number from -1 to 1")
     if isinstance(code, (Run, Label)):
-        found = store.log.runs.get(code.value) if isinstance(code, Run) else store.log.newest_run(where=lambda r: r["variant_label"] == code.value and r["status"] not in ("queued", "interactive"))
+        found = store.log.runs.get(code.value) if isinstance(code, Run) else store.log.newest_run(label=code.value, not_status=("queued", "interactive"))
         if not found:
             raise StoreError(f"there is no run for {code}")
         if found["status"] == "queued":

@@ -16,7 +16,7 @@ _KINDS = {
     "external_inputs": T.StructType([T.StructField("files", T.ArrayType(_FILE)), T.StructField("env", T.ArrayType(_PAIR))]), "started_at": T.TimestampNTZType(), "queued_at": T.TimestampNTZType(),
     "duration_ms": T.LongType(), "seed": T.DoubleType(), "n_cpu": T.IntegerType(), "total_ram_bytes": T.LongType(), "free_ram_bytes": T.LongType(), "materialize": T.BooleanType(), "git_dirty": T.BooleanType(),
     "first_seen": T.TimestampNTZType(), "last_seen": T.TimestampNTZType(), "size_bytes": T.LongType(), "is_rebind": T.BooleanType(), "rows_appended": T.LongType(), "row_count": T.LongType(), "n_runs": T.LongType(),
-    "first_run": T.TimestampNTZType(), "last_run": T.TimestampNTZType(), "produced_by_runs": T.ArrayType(T.StringType()), "used_by_this_script": T.BooleanType(), "rows_pruned": T.LongType(),
+    "first_run": T.TimestampNTZType(), "last_run": T.TimestampNTZType(), "produced_by_runs": T.ArrayType(T.StringType()), "used_by_this_script": T.BooleanType(), "rows_pruned": T.LongType(), "seq": T.LongType(),
 }
 
 
@@ -24,6 +24,10 @@ def schema(columns: tuple[str, ...] | list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, _KINDS.get(c, T.StringType())) for c in columns])
 
 
+RUNS = (
+    "step", "run_id", "inputs", "outputs", "started_at", "duration_ms", "status", "code_hash", "external_inputs", "helpers", "variant_label", "code_body", "seed", "rebinds", "batch_id",
+    "hostname", "os", "arch", "runtime_version", "n_cpu", "total_ram_bytes", "free_ram_bytes", "attached_packages", "git_sha", "git_branch", "git_dirty", "queued_at", "materialize",
+)
 VERSIONS = ("logical_name", "content_hash", "physical_name", "kind", "first_seen", "last_seen", "size_bytes", "storage_location", "source_uri", "source_hash", "source_sql", "is_rebind")
 TABLES = ("logical_name", "physical_name", "schema", "first_seen", "last_seen", "row_count", "size_bytes")
 CHUNKS = ("logical_name", "run_id", "chunk_hash", "rows_appended", "started_at", "variant_label", "source_plan")

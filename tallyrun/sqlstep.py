@@ -89,7 +89,7 @@ def _only_queries(plan) -> None:
 def named_in(store, body: str) -> list[str]:
     """Names of the store that stand in a body as words outside quoted text and comments."""
     words = set(re.findall(r"\w+", re.sub(r"'(?:[^'\\]|\\.|'')*'", " ", without_comments(body))))
-    return sorted(words & ({n for n, _ in store.log.versions} | set(store.log.tables)))
+    return sorted(store.log.known(words))
 
 
 def bind(store, names) -> dict[str, Binding]:

@@ -13,7 +13,7 @@ def anchor(store, step: str, label: str | None) -> dict | None:
     """The run that freshness is measured against: the newest of the step that succeeded (with the label, if one is given).
 
     Skipped and failed runs don't count: the first have no inputs to compare, the second no results to keep."""
-    return store.log.newest_run(where=lambda r: r["step"] == step and r["status"] == "success" and (label is None or r["variant_label"] == label))
+    return store.log.newest_run(step=step, status="success", label=label)
 
 
 def head(store, name: str) -> str | None:
@@ -68,7 +68,7 @@ def is_stale(store, what) -> tuple[bool, list[str]]:
     if not isinstance(what, (Label, Variant)):
         raise StoreError("is_stale() takes a Label or a Variant")
     store.log.replay()
-    run = store.log.newest_run(where=lambda r: r["variant_label"] == what.value and r["status"] not in ("queued", "interactive"))
+    run = store.log.newest_run(label=what.value, not_status=("queued", "interactive"))
     if not run:
         return True, ["never_run"]
     from .steps import current_hash

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from . import capture, identity, sqlstep, staleness
-from .context import CURRENT, Binding, RunContext, output_matches
+from .context import CURRENT, Binding, RunContext
 from .functions.hashing import code_hash, md5, normal_code
 from .names import StoreError, valid_label, valid_name
 from .refs import REFS, AsOf, Code, Hash, Label, Run, Sql, Variant, moment
@@ -125,7 +125,7 @@ def _resolve_append(store: Store, name: str, value) -> Binding:
         run = store.newest_append_run(name, value.value)
     else:
         limit = stamp(moment(value.value))
-        found = store.log.newest_run({c["run_id"] for c in chunks}, lambda r: r["started_at"] <= limit)
+        found = store.log.newest_run(ids={c["run_id"] for c in chunks}, until=limit)
         run = found["run_id"] if found else None
     if run is None:
         raise StoreError(f"{name} has no rows of {value}")
@@ -136,7 +136,7 @@ def inherited_label(store: Store, inputs: list[dict]) -> str | None:
     """The label that the makers of all labelled inputs agree on. If they differ there is none, with a warning."""
     labels = set()
     for p in inputs:
-        maker = store.log.newest_run(where=lambda r, p=p: any(output_matches(o, p["name"], None if "logical_name" in o and p["hash"] is None else p["hash"]) for o in r["outputs"] or ()))
+        maker = store.log.newest_run(output=(p["name"], p["hash"]))
         if maker and maker["variant_label"]:
             labels.add(maker["variant_label"])
     if len(labels) > 1:
@@ -146,7 +146,7 @@ def inherited_label(store: Store, inputs: list[dict]) -> str | None:
 
 def warn_of_handwork(store: Store, inputs: list[dict]) -> None:
     for p in inputs:
-        maker = store.log.newest_run(where=lambda r, p=p: any(output_matches(o, p["name"], p["hash"]) for o in r["outputs"] or ()))
+        maker = store.log.newest_run(output=(p["name"], p["hash"]))
         if maker and maker["status"] == "interactive":
             warnings.warn(f"{p['name']} was written by hand, not by a step", stacklevel=3)
 
@@ -266,7 +266,7 @@ def launch(store: Store, code, rebind=None, label: str | None = None, external_i
             label = label or prior["variant_label"]
             materialize = prior["materialize"] if materialize is None else materialize
     elif isinstance(code, Label):
-        prior = store.log.newest_run(where=lambda r: r["variant_label"] == code.value and r["status"] not in ("queued", "interactive"))
+        prior = store.log.newest_run(label=code.value, not_status=("queued", "interactive"))
         if not prior:
             raise StoreError(f"no run is labelled {code.value}")
         step, label = recorded_step(prior), label or code.value

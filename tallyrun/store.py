@@ -272,14 +272,12 @@ class Store:
 
     def inputs_of(self, df: DataFrame) -> dict[str, str]:
         """Names of the store that a DataFrame reads files of, with the hash of the version or chunk."""
-        paths = set(df.inputFiles())
+        below = self.files.path("data") + "/"
+        folders = {p.partition("/data/")[2].rpartition("/")[0] for p in df.inputFiles() if below.partition(":")[2].lstrip("/") in p}
         out = {}
-        for (name, digest), v in self.log.versions.items():
-            if v.get("path") and v["kind"] == "table" and any(f"/{v['path']}/" in p for p in paths):
-                out[name] = digest
-        for c in self.log.chunks:
-            if any(f"/{c['path']}/" in p for p in paths):
-                out[c["logical_name"]] = c["chunk_hash"]
+        for name in {f.partition("/")[0] for f in folders}:
+            out |= {name: v["content_hash"] for v in self.log.of_name(name, rebinds=True) if v["kind"] == "table" and v["path"].removeprefix("data/") in folders}
+            out |= {name: c["chunk_hash"] for c in self.log.chunks_of(name) if c["path"].removeprefix("data/") in folders}
         return out
 
     # --- reading -------------------------------------------------------------------------
@@ -333,7 +331,7 @@ class Store:
                 raise StoreError(f"there is no run {from_run}")
             return self._version_of_run(name, self.log.runs[from_run])
         if variant is not None:
-            run = self.log.newest_run(where=lambda r: r["variant_label"] == variant and any(output_matches(o, name) for o in r["outputs"] or ()))
+            run = self.log.newest_run(label=variant, output=(name, None))
             if not run:
                 raise StoreError(f"no run labelled {variant} wrote {name}")
             return self._version_of_run(name, run)
@@ -406,7 +404,7 @@ class Store:
 
     def newest_append_run(self, name: str, label: str | None = None) -> str | None:
         """The run that started last among those with rows in a table (of a label)."""
-        run = self.log.newest_run({c["run_id"] for c in self.log.chunks_of(name)}, (lambda r: r["variant_label"] == label) if label else None)
+        run = self.log.newest_run(ids={c["run_id"] for c in self.log.chunks_of(name)}, label=label)
         if run or label:
             return run["run_id"] if run else None
         chunks = self.log.chunks_of(name)  # written by a step that is still running
@@ -446,7 +444,7 @@ class Store:
         self.log.replay()
         session = self.spark.newSession()
         words = set(re.findall(r"\w+", text))
-        for name in words & ({n for n, _ in self.log.versions} | set(self.log.tables)):
+        for name in self.log.known(words):
             df = self.latest(name)
             if df is not None:
                 df.createOrReplaceTempView(name) if session is self.spark else _view_in(session, name, df)
@@ -475,16 +473,16 @@ class Store:
 
     def runs(self) -> DataFrame:
         self.log.replay()
-        return metadata.frame(self.spark, list(self.log.runs.values()), RUN_FIELDS)
+        return self.log.runs.frame().select(*RUN_FIELDS)
 
     def version_table(self) -> DataFrame:
-        return metadata.frame(self.spark, list(self.log.versions.values()), metadata.VERSIONS)
+        return self.log.versions.frame().select(*metadata.VERSIONS)
 
     def table_registry(self) -> DataFrame:
         return metadata.frame(self.spark, list(self.log.tables.values()), metadata.TABLES)
 
     def chunk_table(self) -> DataFrame:
-        return metadata.frame(self.spark, self.log.chunks, metadata.CHUNKS)
+        return self.log.chunk_frame().select(*metadata.CHUNKS)
 
     # --- steps, sweeps, queue, listings and pruning live in modules of their own -----------
 
