@@ -31,6 +31,7 @@ class RunContext:
     inputs: dict[tuple, dict] = field(default_factory=dict)
     outputs: list[dict] = field(default_factory=list)
     helpers: dict[str, str] = field(default_factory=dict)
+    lease: str | None = None  # what a picked-up run was claimed with
     grabs: int = 0
     stows: int = 0
 

@@ -14,6 +14,7 @@ import pickle
 import sys
 import sysconfig
 import textwrap
+import threading
 import types
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -25,6 +26,8 @@ _HERE = os.path.dirname(os.path.abspath(__file__)) + os.sep
 _LIBRARIES = tuple({os.path.realpath(p) + os.sep for k, p in sysconfig.get_paths().items() if k in ("stdlib", "platstdlib", "purelib", "platlib")})
 #: Hash of each project module's file when it was loaded.
 _LOADED: dict[str, str] = {}
+#: Runs side by side look at modules one at a time.
+_LOCK = threading.RLock()
 #: Functions whose values are being put in words.
 _OPEN: ContextVar[frozenset[int]] = ContextVar("tallyrun_open", default=frozenset())
 
@@ -251,7 +254,8 @@ def _follow(modules: list, found: dict[str, str]) -> bool:
 
 def helpers_of_text(text: str) -> dict[str, str]:
     found: dict[str, str] = {}
-    _follow([m for n in _names(text) if (m := _module(n))], found)
+    with _LOCK:
+        _follow([m for n in _names(text) if (m := _module(n))], found)
     return found
 
 
@@ -270,7 +274,8 @@ def helpers_of(function: Callable) -> dict[str, str]:
                 modules.append(x if isinstance(x, types.ModuleType) else sys.modules.get(getattr(x, "__module__", None) or ""))
         modules += [sys.modules.get(n) for n in names]
     found: dict[str, str] = {}
-    _follow([m for m in modules if m is not None and m.__name__ != own], found)
+    with _LOCK:
+        _follow([m for m in modules if m is not None and m.__name__ != own], found)
     return found
 
 
@@ -278,16 +283,28 @@ def _all_names(code: types.CodeType) -> set[str]:
     return set(code.co_names).union(*[_all_names(c) for c in code.co_consts if isinstance(c, types.CodeType)])
 
 
+#: Folders that scripts are running beside, and how many.
+_BESIDE: dict[str, int] = {}
+
+
 @contextmanager
 def beside(path: str | None) -> Iterator[None]:
-    """Modules in a script's folder can be imported while it runs, as Python itself has it."""
+    """Modules in a script's folder can be imported while it runs, as Python itself has it; of several scripts until the last has ended."""
     folder = os.path.dirname(os.path.abspath(path)) if path else None
-    if not folder or folder in sys.path:
-        yield
-        return
-    sys.path.insert(0, folder)
-    importlib.invalidate_caches()
+    with _LOCK:
+        if not folder or folder in sys.path and folder not in _BESIDE:
+            folder = None
+        else:
+            if folder not in _BESIDE:
+                sys.path.insert(0, folder)
+                importlib.invalidate_caches()
+            _BESIDE[folder] = _BESIDE.get(folder, 0) + 1
     try:
         yield
     finally:
-        sys.path.remove(folder)
+        with _LOCK:
+            if folder:
+                _BESIDE[folder] -= 1
+                if not _BESIDE[folder]:
+                    del _BESIDE[folder]
+                    sys.path.remove(folder)

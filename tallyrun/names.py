@@ -39,13 +39,14 @@ def quoted(name: str) -> str:
 
 @dataclass(frozen=True)
 class Options:
-    """blob_threshold: bytes from which an artifact is a file of its own. version_warn: versions of a name that call for pruning."""
+    """blob_threshold: bytes from which an artifact is a file of its own. version_warn: versions of a name that call for pruning. lease: how long a picked-up run is its process's without a sign of life."""
 
     blob_threshold: int = 10_000_000
     version_warn: int = 20
     skip_if_fresh: bool = True
     relaunch_nonsuccess: str = "warn"
     widen_numbers: bool = False
+    lease: str = "10m"
     project_stop_at: str | None = None
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 import warnings
 
 from . import capture, sqlstep
 from .context import CURRENT, Binding
 from .functions.hashing import md5, normal_code
+from .functions.scalars import duration
 from .log import stamp
 from .names import StoreError, valid_label
 from .refs import Label, Run, moment
@@ -66,26 +69,59 @@ def queue(store: Store, code, rebind=None, label: str | None = None, external_in
     return ids[0] if single else ids
 
 
+def expired(store: Store, row: dict) -> bool:
+    """Whether a claimed run's process has given no sign of life for longer than its lease (rows of earlier versions have none)."""
+    return row["status"] == "claimed" and (row.get("lease_until") or "") < store.now()
+
+
 def pick_up(store: Store, row: dict, force: bool = False) -> str:
-    """Execute a queued run in its own row. One process claims it by a commit that only a queued row allows."""
+    """Execute a queued run in its own row, or one whose process has died.
+
+    A process claims it by a commit that only a queued row, or a claim with an expired lease,
+    allows. The lease is renewed while the step runs. Another process that takes it over
+    removes the chunks that the first has appended for this run; should the first be alive
+    after all, it can commit nothing more.
+    """
     from .steps import recorded_step, run_one
 
     step = recorded_step(row)
     if md5(normal_code(step.body)) != row["code_hash"]:
         warnings.warn(f"{row['step']} has changed since {row['run_id']} was queued", stacklevel=4)
+    run_id, lease, term = row["run_id"], uuid.uuid4().hex, duration(store.options.lease)
+
+    def until() -> str:
+        return stamp(moment(store.now()) + term)
 
     def claim() -> list[dict]:
-        if store.log.runs.get(row["run_id"], {}).get("status") != "queued":
-            raise StoreError(f"{row['run_id']} is not queued any more")
-        return [{"do": "run_update", "run_id": row["run_id"], "set": {"status": "claimed"}}]
+        now = store.log.runs.get(run_id, {"status": "gone"})
+        if now["status"] == "claimed" and not expired(store, now):
+            raise StoreError(f"{run_id} is being run by another process; its lease lasts until {now['lease_until']}")
+        if now["status"] not in ("queued", "claimed"):
+            raise StoreError(f"{run_id} is not queued any more")
+        left = [{"do": "chunk_delete", "path": c["path"]} for c in store.log.chunks if c["run_id"] == run_id] if now["status"] == "claimed" else []
+        return [*left, {"do": "run_update", "run_id": run_id, "set": {"status": "claimed", "lease": lease, "lease_until": until()}}]
+
+    def ours() -> bool:
+        now = store.log.runs.get(run_id, {})
+        return now.get("status") == "claimed" and now.get("lease") == lease
+
+    def renew() -> None:
+        while not ended.wait(term.total_seconds() / 3):
+            store.log.commit(lambda: [{"do": "run_update", "run_id": run_id, "set": {"lease_until": until()}}] if ours() else [])
 
     store.log.commit(claim)
+    ended = threading.Event()
+    alive = threading.Thread(target=renew, name=f"lease of {run_id}", daemon=True)
+    alive.start()
     try:
-        return run_one(store, step, _bound(row["rebinds"]), row["variant_label"], None, force, row["seed"], bool(row["materialize"]), row["batch_id"], queued=row)
+        return run_one(store, step, _bound(row["rebinds"]), row["variant_label"], None, force, row["seed"], bool(row["materialize"]), row["batch_id"], queued=row, lease=lease)
     except BaseException:
-        failed = [{"do": "run_update", "run_id": row["run_id"], "set": {"status": "error", "started_at": store.now()}}]
-        store.log.commit(lambda: failed if store.log.runs.get(row["run_id"], {}).get("status") == "claimed" else [])
+        failed = [{"do": "run_update", "run_id": run_id, "set": {"status": "error", "started_at": store.now()}}]
+        store.log.commit(lambda: failed if ours() else [])
         raise
+    finally:
+        ended.set()
+        alive.join()
 
 
 def template(row: dict, label, external_inputs, seed, materialize):
@@ -98,13 +134,13 @@ def template(row: dict, label, external_inputs, seed, materialize):
 
 
 def discard_queued(store: Store, variant_label: str | None = None, before=None, dry_run: bool = False) -> list[str]:
-    """Delete queued rows, of a label or queued before a time. Their ids."""
+    """Delete queued rows, of a label or queued before a time, and those whose process died while it ran them. Their ids."""
     store.log.replay()
     limit = stamp(moment(before)) if before is not None else None
     ids: list[str] = []
 
     def build() -> list[dict]:
-        ids[:] = [r["run_id"] for r in store.log.runs.values() if r["status"] == "queued" and variant_label in (None, r["variant_label"]) and (limit is None or r["queued_at"] < limit)]
+        ids[:] = [r["run_id"] for r in store.log.runs.values() if (r["status"] == "queued" or expired(store, r)) and variant_label in (None, r["variant_label"]) and (limit is None or r["queued_at"] < limit)]
         return [{"do": "run_delete", "run_id": i} for i in ids]
 
     build() if dry_run else store.log.commit(build)

@@ -7,9 +7,11 @@ import os
 import time
 import warnings
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from . import capture, identity, sqlstep, staleness
@@ -225,7 +227,7 @@ def _execute(store: Store, step: Step, context: RunContext, materialize: bool) -
                 exec(compile(step.body, step.path or step.name, "exec"), space)
 
 
-def launch(store: Store, code, rebind=None, label: str | None = None, external_inputs: dict | None = None, force: bool = False, seed: float | None = None, materialize: bool | None = None, on_error: str | None = None, text: str | None = None):
+def launch(store: Store, code, rebind=None, label: str | None = None, external_inputs: dict | None = None, force: bool = False, seed: float | None = None, materialize: bool | None = None, on_error: str | None = None, text: str | None = None, parallel: int = 1):
     """Run a step and record the run; return its id, or a DataFrame of a sweep's runs.
 
     code: a function (of nothing, or of a context with grab, stow, sample and include), a .py
@@ -233,6 +235,7 @@ def launch(store: Store, code, rebind=None, label: str | None = None, external_i
     A queued Run is picked up in place. rebind: a dict of names to values or references, or a
     Batch of such for a sweep. A step that is fresh is skipped unless force is set.
     external_inputs: {"files": [...], "env": [...]} outside the store that the step depends on.
+    parallel: runs of a sweep at a time.
     """
     from .queue import pick_up, template
 
@@ -243,6 +246,8 @@ def launch(store: Store, code, rebind=None, label: str | None = None, external_i
         raise StoreError("a seed is a number from -1 to 1")
     if on_error is not None and not isinstance(rebind, Batch):
         raise StoreError("on_error is for sweeps")
+    if parallel < 1 or parallel > 1 and not isinstance(rebind, Batch):
+        raise StoreError("parallel is a number of runs of a sweep")
     if on_error not in (None, "stop", "warn"):
         raise StoreError("on_error is stop or warn")
     store.log.replay()
@@ -250,8 +255,8 @@ def launch(store: Store, code, rebind=None, label: str | None = None, external_i
         prior = store.log.runs.get(code.value)
         if not prior:
             raise StoreError(f"there is no run {code.value}")
-        if prior["status"] == "queued":
-            if rebind is None:
+        if prior["status"] in ("queued", "claimed"):
+            if rebind is None or prior["status"] == "claimed":
                 return pick_up(store, prior, force)
             code, label, external_inputs, seed, materialize = template(prior, label, external_inputs, seed, materialize)
             rebind = rebind if isinstance(rebind, Batch) else dict(rebind)
@@ -278,22 +283,28 @@ def launch(store: Store, code, rebind=None, label: str | None = None, external_i
     if step.kind == "sql" and not step.path and not sqlstep.parse(step.body).output:
         raise StoreError("inline SQL names its result: -- @output: name")
     if isinstance(rebind, Batch):
-        return _sweep(store, step, rebind, label, external_inputs, force, seed, bool(materialize), on_error or "stop")
+        return _sweep(store, step, rebind, label, external_inputs, force, seed, bool(materialize), on_error or "stop", parallel)
     return run_one(store, step, rebind, label, external_inputs, force, seed, bool(materialize))
 
 
-def run_one(store: Store, step: Step, rebind, label, external_inputs, force, seed, materialize, batch_id=None, queued: dict | None = None) -> str:
+def run_one(store: Store, step: Step, rebind, label, external_inputs, force, seed, materialize, batch_id=None, queued: dict | None = None, lease: str | None = None, run_id: str | None = None) -> str:
     """One run: outside inputs, bindings, freshness, then the code, and its row in the history whatever happens."""
     outside = queued["external_inputs"] if queued and external_inputs is None else capture.external(**(external_inputs or {}))
     about = capture.session(store.spark) | capture.git()
     bindings = rebind if rebind and all(isinstance(b, Binding) for b in rebind.values()) else resolve(store, rebind)
     at = store.now()
-    run_id = queued["run_id"] if queued else new_id("run", at)
+    run_id = queued["run_id"] if queued else run_id or new_id("run", at)
     row = {"step": step.name, "run_id": run_id, "started_at": at, "variant_label": label, "code_body": step.body, "external_inputs": outside, "seed": seed, "rebinds": [b.record() for b in bindings.values()], "batch_id": batch_id, "materialize": materialize} | about
 
     def save(**more) -> None:
         final = row | more
-        store.log.commit(lambda: [{"do": "run_update", "run_id": run_id, "set": final} if queued else {"do": "run_add", "run": final}])
+
+        def build() -> list[dict]:
+            if lease and store.log.runs.get(run_id, {}).get("lease", lease) != lease:
+                raise StoreError(f"{run_id} has been taken over by another process")
+            return [{"do": "run_update", "run_id": run_id, "set": final} if queued else {"do": "run_add", "run": final}]
+
+        store.log.commit(build)
 
     why = staleness.reasons(store, step.name, label, step.own_hash, bindings)
     if outside != ((staleness.anchor(store, step.name, label) or {}).get("external_inputs") or outside):
@@ -304,7 +315,7 @@ def run_one(store: Store, step: Step, rebind, label, external_inputs, force, see
         said.info("%s is fresh", step.name)
         return run_id
     said.info("%s runs: %s", step.name, ", ".join(why) or "forced")
-    context = RunContext(run_id, step.name, label, seed, bindings)
+    context = RunContext(run_id, step.name, label, seed, bindings, lease=lease)
     token, began, status, error = CURRENT.set(context), time.monotonic(), "success", None
     try:
         _execute(store, step, context, materialize)
@@ -326,22 +337,47 @@ def run_one(store: Store, step: Step, rebind, label, external_inputs, force, see
 BATCH_COLUMNS = ("batch_id", "run_id", "variant_label", "status", "error")
 
 
-def _sweep(store, step, envelopes, label, external_inputs, force, seed, materialize, on_error) -> DataFrame:
-    """A run for each envelope, one after the other. An error ends its own run; all are reported at the end."""
+def _sweep(store, step, envelopes, label, external_inputs, force, seed, materialize, on_error, parallel=1) -> DataFrame:
+    """A run for each envelope, ``parallel`` at a time. An error ends its own run; all are reported at the end, in the order of the envelopes.
+
+    Runs side by side share Spark: each has a fair pool of its own and its jobs carry the
+    batch and the run as tags. Leaving the sweep early (an interrupt) cancels what is under way.
+    """
     from . import schema as metadata
 
-    batch_id, rows, failed = new_id("batch", store.now()), [], []
-    for e in envelopes:
-        own = valid_label(e.get(".label")) or label
-        before = set(store.log.runs)
-        error = None
+    batch_id, context = new_id("batch", store.now()), store.spark.sparkContext
+    planned = [(e, valid_label(e.get(".label")) or label, new_id("run", store.now())) for e in envelopes]
+
+    def one(envelope, own, run_id) -> Exception | None:
+        tags = [batch_id, run_id] if parallel > 1 else []
+        if parallel > 1:
+            context.setLocalProperty("spark.scheduler.pool", run_id)
+        for tag in tags:
+            context.addJobTag(tag)
         try:
-            run_step(store, step, e, own, external_inputs, force, seed, materialize, batch_id)
+            run_step(store, step, envelope, own, external_inputs, force, seed, materialize, batch_id, run_id)
         except Exception as x:
-            error = x
-            failed.append(x)
-        made = [r for k, r in store.log.runs.items() if k not in before and r["batch_id"] == batch_id]
-        run = made[-1] if made else {}
+            return x
+        finally:
+            for tag in tags:
+                context.removeJobTag(tag)
+        return None
+
+    if parallel > 1:
+        with ThreadPoolExecutor(parallel, thread_name_prefix=batch_id) as pool:
+            threads = [pool.submit(inheritable_thread_target(store.spark)(one), *p) for p in planned]
+            try:
+                errors = [t.result() for t in threads]
+            except BaseException:
+                for t in threads:
+                    t.cancel()
+                context.cancelJobsWithTag(batch_id)
+                raise
+    else:
+        errors = [one(*p) for p in planned]
+    rows, failed = [], [x for x in errors if x]
+    for (_, own, run_id), error in zip(planned, errors, strict=True):
+        run = store.log.runs.get(run_id) or {}
         rows.append({"batch_id": batch_id, "run_id": run.get("run_id"), "variant_label": run.get("variant_label", own), "status": run.get("status", "error"), "error": str(error) if error else None})
     if failed:
         if on_error == "stop":
@@ -350,8 +386,8 @@ def _sweep(store, step, envelopes, label, external_inputs, force, seed, material
     return metadata.frame(store.spark, rows, BATCH_COLUMNS)
 
 
-def run_step(store, step, envelope, label, external_inputs, force, seed, materialize, batch_id) -> str:
-    return run_one(store, step, {k: v for k, v in envelope.items() if k != ".label"}, label, external_inputs, force, seed, materialize, batch_id)
+def run_step(store, step, envelope, label, external_inputs, force, seed, materialize, batch_id, run_id=None) -> str:
+    return run_one(store, step, {k: v for k, v in envelope.items() if k != ".label"}, label, external_inputs, force, seed, materialize, batch_id, run_id=run_id)
 
 
 def launch_code(store: Store, run_id: str, from_db: bool = False) -> Code:

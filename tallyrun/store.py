@@ -131,6 +131,7 @@ class Store:
 
         def build() -> list[dict]:
             nonlocal known
+            self._still_ours()
             self._guard(name, "versioned", kind)
             known = self.log.versions.get((name, digest))
             if known:
@@ -152,6 +153,12 @@ class Store:
         if not known and n > self.options.version_warn:
             warnings.warn(f"{name} has {n} versions; prune() removes old ones", stacklevel=4)
 
+    def _still_ours(self) -> None:
+        """A picked-up run whose lease another process has taken over writes nothing more."""
+        run = CURRENT.get()
+        if run and run.lease and self.log.runs.get(run.run_id, {}).get("lease", run.lease) != run.lease:
+            raise StoreError(f"{run.run_id} has been taken over by another process")
+
     def _unstage(self, row: dict) -> None:
         """Delete data that no commit names."""
         if row.get("path"):
@@ -216,6 +223,7 @@ class Store:
 
         def build() -> list[dict]:
             """The chunk has a schema of its own and is fitted when read, so a table that another writer has changed takes it as it is."""
+            self._still_ours()
             self._guard(name, "append")
             now = self.log.tables.get(name)
             if not now:
