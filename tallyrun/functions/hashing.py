@@ -24,7 +24,7 @@ def code_hash(own: str, helpers: list[str]) -> str:
     return md5("\n".join([own, *sorted(helpers)]))
 
 
-def _plain(column: F.Column, kind: T.DataType) -> list[F.Column]:
+def plain(column: F.Column, kind: T.DataType) -> list[F.Column]:
     """Hashable columns that tell null from any value. Maps become entries in key order, nested values JSON that keeps nulls."""
     if isinstance(kind, T.MapType):
         column = F.array_sort(F.map_entries(column))
@@ -45,7 +45,7 @@ def table_digest(df: DataFrame) -> tuple[str, int]:
     both, the count and the sorted schema go into an md5. An empty table is its schema.
     """
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    parts = [c for f in fields for c in _plain(df[_quoted(f.name)], f.dataType)] or [F.lit(0)]
+    parts = [c for f in fields for c in plain(df[_quoted(f.name)], f.dataType)] or [F.lit(0)]
     rows = df.select(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
     n, total, mixed = rows.agg(F.count("*"), F.coalesce(F.sum(F.col("a").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")), F.coalesce(F.bit_xor("b"), F.lit(0))).first()
     schema = "|".join(f"{f.name}:{f.dataType.jsonValue()}" for f in fields)

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hashing import plain
+from ..names import quoted
+
 
 def seeded_sample(df: DataFrame, n: int, seed: float, key: list[str] | None = None) -> DataFrame:
     """n rows in the order of a seeded hash of their key columns (all columns without one, so ties are equal rows)."""
@@ -12,7 +15,58 @@ def seeded_sample(df: DataFrame, n: int, seed: float, key: list[str] | None = No
     return df.orderBy(F.xxhash64(F.lit(float(seed)), *columns), *columns).limit(n)
 
 
+#: Bits of the hash that one pass over the data narrows the cut by.
+_BITS = 16
+
+
 def percent_sample(df: DataFrame, percent: float, seed: float, key: list[str] | None = None) -> DataFrame:
-    """About so many percent of the rows: those whose seeded hash is low. The same rows on every run."""
-    columns = key or df.columns
-    return df.where(F.pmod(F.xxhash64(F.lit(float(seed)), *columns), F.lit(1_000_000)) < int(percent * 10_000))
+    """Exactly ``percent`` of the rows (the nearest number of them): those whose seeded hash is lowest. The same rows on every run and however they are dealt out.
+
+    The hash that cuts them off is found by counting hashes by their leading bits and then
+    within the one cell that holds it, some bits at a time, so nothing is sorted and a few
+    counts come to the driver. Rows whose hash is the cut itself, which are those of one
+    key, are told apart by all of their columns; rows that are the same as each other are
+    taken in the number that is left.
+    """
+    if not 0 <= percent <= 100:
+        raise ValueError("a percentage is from 0 to 100")
+    h = "_" + "_".join(["hash", *[c.lower() for c in df.columns if c.lower().startswith("_hash")]])
+    hashed = df.withColumn(h, _seeded(df, seed, key))
+    cut, left = _cut(hashed, h, percent=percent)
+    if cut is None:
+        return df if left else df.limit(0)
+    below, ties = hashed.where(F.col(h) < cut).drop(h), hashed.where(F.col(h) == cut).drop(h)
+    if not left:
+        return below
+    # Of the ties: those with the lowest second hash, over all columns, and some of those that are equal throughout.
+    again = ties.withColumn(h, _seeded(df, seed + 2, None))
+    cut, left = _cut(again, h, number=left)
+    if cut is None:
+        return below.unionByName(ties)
+    equal = again.where(F.col(h) == cut).groupBy(h).agg(*[F.first(F.col(quoted(c))).alias(c) for c in df.columns])  # one row, which stands for all of its kind
+    copies = df.sparkSession.range(left).select(F.lit(cut).alias(h)).join(F.broadcast(equal), h).drop(h)
+    return below.unionByName(again.where(F.col(h) < cut).drop(h)).unionByName(copies)
+
+
+def _seeded(df: DataFrame, seed: float, key: list[str] | None) -> F.Column:
+    columns = [part for c in key or df.columns for part in plain(df[quoted(c)], df.schema[c].dataType)]
+    return F.xxhash64(F.lit(float(seed)), *columns)
+
+
+def _cut(hashed: DataFrame, h: str, percent: float | None = None, number: int | None = None) -> tuple[int | None, int]:
+    """The hash of the row at a place among all in order of hash, and how many rows of just that hash belong to those before the place. None if all do, or none (then 0)."""
+    low, rest, rows = -(1 << 63), number, hashed
+    for bits in range(64 - _BITS, -1, -_BITS):
+        cells = dict(tuple(r) for r in rows.groupBy(F.shiftright(h, bits).alias("cell")).count().collect())
+        if rest is None:
+            rest = int(sum(cells.values()) * percent / 100 + 0.5)
+        if bits == 64 - _BITS and (not rest or rest >= sum(cells.values())):
+            return None, rest
+        for cell in sorted(cells):
+            if rest <= cells[cell]:
+                break
+            rest -= cells[cell]
+        low = cell << bits
+        if bits:
+            rows = rows.where(F.col(h).between(low, low + (1 << bits) - 1))
+    return low, rest

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.hashing import table_digest
 from ..operators.relational import as_of, keep_first, newest_per_group, older_per_group, stacked, with_any, without_any
 from ..operators.sampling import percent_sample
+from ..names import StoreError
 from ..refs import AsOf, File, Hash, Label, Run, Sql, Variant
 from ..store import Store
 from ..sweeps import binds, envelopes, variants_of
@@ -385,10 +386,11 @@ def store_sql(store, table):
     return store.sql("SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 
 
-@query("SELECT 'customer' AS logical_name, 'table' AS kind, 2::BIGINT AS n")
+@query("SELECT 'customer' AS logical_name, 'table' AS kind, count(DISTINCT c_mktsegment) AS n FROM customer")
 def metadata_sql(store, table):
-    for low in (0, 100):
-        store.stow(table("customer").where(F.col("c_acctbal") > low), "customer", shape="versioned")
+    """A version for each segment of the customers."""
+    for r in table("customer").select("c_mktsegment").distinct().collect():
+        store.stow(table("customer").where(F.col("c_mktsegment") == r[0]), "customer", shape="versioned")
     return store.sql("SELECT logical_name, kind, count(*) AS n FROM _tr_versions GROUP BY 1, 2")
 
 
@@ -454,10 +456,10 @@ def producers_list(store, table):
     return grouped.select("c_nationkey", F.size("all").cast("long").alias("n"), F.col("all")[0].alias("first"))
 
 
-@query("SELECT v.status AS upstream_label, v.status = 'O' AS used FROM (VALUES ('F'), ('O'), ('P')) v(status)")
+@query("SELECT DISTINCT o_orderstatus AS upstream_label, o_orderstatus = 'O' AS used FROM orders")
 def unexplored(store, table):
     """Which labelled versions a script has read."""
-    for status in "FOP":
+    for status in _statuses(table):
         store.launch(lambda ctx, s=status: ctx.stow(_orders(table, s), "orders", shape="versioned"), label=status, text=f"orders {status}")
     store.launch(lambda ctx: ctx.stow(ctx.grab("orders", variant="O").count(), "counted"), text="count orders")
     script = next(r["step"] for r in store.log.runs.values() if r["inputs"])
@@ -470,7 +472,7 @@ def variants_of_a_name(store, table):
     return store.variants(name="orders").select(F.substring("variant_label", 8, 1).alias("step_label"), "n_runs")
 
 
-@query("SELECT x.k AS k, x.k IN (1, 3) AS is_rebind FROM (VALUES (1), (2), (3)) x(k)")
+@query("SELECT r_regionkey::INTEGER AS k, r_regionkey <> 2 AS is_rebind FROM region WHERE r_regionkey IN (1, 2, 3)")
 def versions_with_rebinds(store, table):
     """Values bound for a run are versions that newest reads don't see."""
     store.stow(table("region").where("r_regionkey = 2"), "rows", shape="versioned")
@@ -484,20 +486,23 @@ def versions_with_rebinds(store, table):
 # --- hashing and sampling ----------------------------------------------------------------------
 
 
-@query("SELECT x.changed AS changed, x.same AS same FROM (VALUES ('columns and rows in another order', true), ('a row twice', false), ('a type', false), ('a null moved', false)) x(changed, same)")
+@query("""SELECT x.changed AS changed, CASE x.changed WHEN 'columns and rows in another order' THEN count(*) WHEN 'a row twice' THEN count(*) + 1 ELSE 2 * count(*) END::BIGINT AS n, x.changed = 'columns and rows in another order' AS same
+FROM part, (VALUES ('columns and rows in another order'), ('a row twice'), ('a type'), ('a null moved')) x(changed) GROUP BY 1""")
 def content_hash_groups(store, table):
     """What a table's hash tells apart."""
     part = table("part")
     nulls = part.select("p_partkey", F.lit(None).cast("string").alias("a"), F.lit("x").alias("b"))
     moved = part.select("p_partkey", F.lit("x").alias("a"), F.lit(None).cast("string").alias("b"))
-    h = lambda df: table_digest(df)[0]
-    rows = [
-        ("columns and rows in another order", h(part) == h(part.select(*reversed(part.columns)).repartition(7))),
-        ("a row twice", h(part) == h(part.union(part.limit(1)))),
-        ("a type", h(part) == h(part.withColumn("p_size", F.col("p_size").cast("long")))),
-        ("a null moved", h(nulls) == h(moved)),
-    ]
-    return store.spark.createDataFrame(rows, "changed string, same boolean")
+    typed = part.withColumn("p_size", F.col("p_size").cast("long"))
+    pairs = {"columns and rows in another order": (part, part.select(*reversed(part.columns)).repartition(7)), "a row twice": (part, part.union(part.limit(1))), "a type": (part, typed), "a null moved": (nulls, moved)}
+    rows = []
+    for changed, (one, other) in pairs.items():
+        (first, n), (second, m) = table_digest(one), table_digest(other)
+        rows.append((changed, m if changed in ("columns and rows in another order", "a row twice") else n + m, first == second))
+    return store.spark.createDataFrame(rows, "changed string, n long, same boolean")
+
+
+# --- sampling ------------------------------------------------------------------------------------
 
 
 @query("SELECT count(*) AS n, count(*) AS again FROM (SELECT * FROM customer LIMIT 60)")
@@ -513,12 +518,24 @@ def seeded_sample(store, table):
     return first.join(again, "c_custkey", "left_semi").agg(F.count("*").alias("again")).withColumn("n", F.lit(first.count()))
 
 
-@query("SELECT true AS close, true AS same")
+@query("SELECT p.percent::DOUBLE AS percent, floor(count(*) * p.percent / 100 + 0.5)::BIGINT AS n, floor(count(*) * p.percent / 100 + 0.5)::BIGINT AS again FROM events, (VALUES (0.5), (20), (75)) p(percent) GROUP BY p.percent")
 def percent_sample_is_stable(store, table):
-    events = table("events")
-    one, two = percent_sample(events, 20, 0.1, ["event_id"]), percent_sample(events.repartition(9), 20, 0.1, ["event_id"])
-    n = events.count()
-    return store.spark.createDataFrame([(abs(one.count() / n - 0.2) < 0.05, table_digest(one) == table_digest(two))], "close boolean, same boolean")
+    """Shares of the events are exact, and the same rows however they are dealt out."""
+    events, found = table("events"), []
+    for percent in (0.5, 20.0, 75.0):
+        one, two = percent_sample(events, percent, 0.1, ["event_id"]), percent_sample(events.repartition(9), percent, 0.1, ["event_id"])
+        found.append((percent, one.count(), one.select("event_id").intersect(two.select("event_id")).count()))
+    return store.spark.createDataFrame(found, "percent double, n long, again long")
+
+
+@query("""WITH p AS (SELECT event_id, user_id, ts FROM events WHERE event_type <> 'purchase'), b AS (SELECT event_id % 2 AS side, max(ts) AS ts, max_by(event_id, (ts, event_id)) AS bought FROM events WHERE event_type = 'purchase' GROUP BY event_id % 2, ts)
+SELECT p.event_id, b.bought FROM p ASOF LEFT JOIN b ON p.event_id % 2 = b.side AND p.ts >= b.ts""")
+def asof_heavy_keys(store, table):
+    """The last purchase among all events of the same parity: two keys that have all rows, split into ranges of time."""
+    e = table("events").withColumn("side", F.col("event_id") % 2)
+    bought = e.where("event_type = 'purchase'").select("side", "ts", F.col("event_id").alias("bought"))
+    asked = e.where("event_type <> 'purchase'").select("event_id", "side", "ts")
+    return as_of(asked, bought, ["side"], "ts", "ts", "bought", ["bought"], split_rows=500).select("event_id", "bought")
 
 
 # --- sweeps, queue, freshness, pruning ------------------------------------------------------------
@@ -585,26 +602,48 @@ def rebind_as_of(store, table):
     return store.grab("n")
 
 
-_STAGED = "def staged(ctx):\n    ctx.stow(ctx.spark.range(ctx.grab('upto')).selectExpr('count(*) AS n'), 'staged_counts')\n"
+_STAGED = "def staged(ctx):\n    rows = ctx.grab('orders').where(f\"o_totalprice < {ctx.grab('below')}\")\n    ctx.stow(rows.groupBy('o_orderstatus').count(), 'staged_counts')\n"
 
 
 def _staged(ctx):
-    ctx.stow(ctx.spark.range(ctx.grab("upto")).selectExpr("count(*) AS n"), "staged_counts")
+    rows = ctx.grab("orders").where(f"o_totalprice < {ctx.grab('below')}")
+    ctx.stow(rows.groupBy("o_orderstatus").count(), "staged_counts")
 
 
-@query("SELECT x.n::BIGINT AS n FROM (VALUES (3), (4), (9)) x(n)")
+@query("SELECT o_orderstatus, v.below::BIGINT AS below, count(*) AS n FROM orders, (VALUES (50000), (100000), (200000)) v(below) WHERE o_totalprice < v.below GROUP BY 1, 2")
 def queue_pickup(store, table):
-    """Runs staged as a sweep, picked up one by one; a staged one is also the template of another."""
-    ids = store.queue(_staged, rebind=binds(upto=[3, 4]), text=_STAGED)
-    again = store.queue(_staged, rebind=binds(upto=[3, 4]), text=_STAGED)
+    """Runs over the orders staged as a sweep, picked up one by one; a staged one is also the template of another."""
+    store.stow(table("orders"), "orders", shape="versioned")
+    ids = store.queue(_staged, rebind=binds(below=[50000, 100000], labels=["50000", "100000"]), text=_STAGED)
+    again = store.queue(_staged, rebind=binds(below=[50000, 100000], labels=["50000", "100000"]), text=_STAGED)
     assert ids == again
-    store.launch(Run(ids[0]), rebind={"upto": 9})
+    store.launch(Run(ids[0]), rebind={"below": 200000}, label="200000")
     for i in ids:
         store.launch(Run(i))
-    return store.grab("staged_counts", run="all").select("n")
+    return store.grab("staged_counts", run="all").select("o_orderstatus", F.col("variant_label").cast("long").alias("below"), F.col("count").alias("n"))
+
+
+@query("SELECT o_orderstatus, 150000::BIGINT AS below, count(*) AS n FROM orders WHERE o_totalprice < 150000 GROUP BY 1")
+def lease_takeover(store, table):
+    """A staged run whose process died after it had appended is done again from its start by another."""
+    store.stow(table("orders"), "orders", shape="versioned")
+    run = store.queue(_staged, rebind={"below": 150000}, label="150000", text=_STAGED)
+    store.stow(table("orders").groupBy("o_orderstatus").count(), "staged_counts")
+    left = store.log.chunks[-1]
+    store.log.commit(lambda: [{"do": "run_update", "run_id": run, "set": {"status": "claimed", "lease": "of one that died", "lease_until": store.now()}}, {"do": "chunk_delete", "path": left["path"]}, {"do": "chunk_add", "chunk": left | {"run_id": run}}])
+    other = Store(store.spark, store.files.root, clock=store._clock)
+    other.launch(Run(run))
+    return other.grab("staged_counts", run="all").where("variant_label is not null").select("o_orderstatus", F.col("variant_label").cast("long").alias("below"), F.col("count").alias("n"))
+
+
+@query("SELECT s.status AS status, l.least::BIGINT AS least, count(o_orderkey) AS n FROM (SELECT DISTINCT o_orderstatus AS status FROM orders) s CROSS JOIN (VALUES (0), (100000)) l(least) LEFT JOIN orders ON o_orderstatus = s.status AND o_totalprice >= l.least GROUP BY 1, 2")
+def sweep_side_by_side(store, table):
+    """The runs of a sweep three at a time have the rows that they have one by one."""
+    store.launch(_count_orders(table), rebind=binds(mode="cross", status=_statuses(table), least=[0, 100000]), text="count", parallel=3)
+    return store.grab("counts", run="all").select("status", "least", "n")
 
 
-@query("SELECT x.status AS status, x.n::BIGINT AS n FROM (VALUES ('success', 3), ('skipped_fresh', 2), ('interactive', 2)) x(status, n)")
+@query("SELECT x.status AS status, x.n::BIGINT AS n, (SELECT count(*) FROM region) AS rows FROM (VALUES ('success', 3), ('skipped_fresh', 2), ('interactive', 2)) x(status, n)")
 def skip_fresh_counts(store, table):
     """A step runs once, is skipped twice, and runs again when its input or code changes."""
     step = lambda ctx: ctx.stow(ctx.grab("region").count(), "n")
@@ -614,7 +653,8 @@ def skip_fresh_counts(store, table):
     store.stow(table("region").limit(2), "region", shape="versioned")
     store.launch(step, text="count region")
     store.launch(step, text="count region differently")
-    return store.runs().groupBy("status").agg(F.count("*").alias("n"))
+    whole = max(store.grab("n", version=v["content_hash"]) for v in store.log.of_name("n"))
+    return store.runs().groupBy("status").agg(F.count("*").alias("n")).withColumn("rows", F.lit(whole).cast("long"))
 
 
 @query("SELECT count(*) AS n, 3::BIGINT AS runs FROM orders WHERE o_orderstatus = 'O'")
@@ -637,7 +677,7 @@ def prune_keep(store, table):
     return store.grab("months", run="all").select("month", "n", "total")
 
 
-@query("SELECT 'year ' || y AS variant_label FROM (VALUES (1995), (1996)) v(y)")
+@query("SELECT DISTINCT 'year ' || year(o_orderdate) AS variant_label FROM orders WHERE year(o_orderdate) IN (1995, 1996)")
 def prune_keep_latest_label(store, table):
     for y in (1995, 1996, 1995):
         store.launch(lambda ctx, y=y: ctx.stow(_monthly(table, y), "months"), label=f"year {y}", text=f"months {y}", force=True)
@@ -646,9 +686,9 @@ def prune_keep_latest_label(store, table):
     return store.grab("months", run="all").select("variant_label").distinct()
 
 
-@query("SELECT 1::BIGINT AS left_over, 2::BIGINT AS removed")
+@query("SELECT 1::BIGINT AS left_over, count(*) - 1 AS removed FROM region")
 def prune_versions(store, table):
-    for low in (0, 1, 2):
+    for low in range(table("region").count()):
         store.stow(table("region").where(F.col("r_regionkey") >= low), "region", shape="versioned")
     gone = store.prune("region", keep_latest=True, force=True)["versioned"].count()
     return store.spark.createDataFrame([(len(store.log.of_name("region")), gone)], "left_over long, removed long")
@@ -810,14 +850,25 @@ def steps_by_their_module(store, table):
     return stacked([store.grab("counts", run=i).withColumn("k", F.lit(k)) for k, i in enumerate(done)])
 
 
-@query("SELECT count(*) AS n, 1::BIGINT AS versions FROM lineitem")
+@query("SELECT count(*) AS n, 1::BIGINT AS versions, count(*) AS again FROM lineitem")
 def seeded_sql(store, table):
-    """A seeded SQL step gives the same random numbers again."""
+    """A seeded SQL step gives each row the same random number again; a clock or a sample without a seed of its own is refused."""
     store.stow(table("lineitem"), "lineitem", shape="versioned")
     step = Sql("-- @inputs: lineitem\n-- @output: marked\nSELECT l_orderkey, l_linenumber, rand() AS x FROM lineitem")
     for _ in range(2):
         store.launch(step, materialize=True, seed=0.5, force=True)
-    return store.grab("marked").agg(F.count("*").alias("n")).withColumn("versions", F.lit(len(store.log.of_name("marked"))).cast("long"))
+    for body in ("SELECT *, now() AS x FROM lineitem", "SELECT * FROM lineitem TABLESAMPLE (10 PERCENT)"):
+        try:
+            store.launch(Sql(f"-- @inputs: lineitem\n-- @output: refused\n{body}"), materialize=True, seed=0.5)
+        except StoreError:
+            continue
+        raise AssertionError(f"not refused: {body}")
+    other = Store(store.spark, f"{store.files.root}-again")
+    other.stow(table("lineitem"), "lineitem", shape="versioned")
+    other.launch(step, materialize=True, seed=0.5)
+    keys = ["l_orderkey", "l_linenumber", "x"]
+    same = store.grab("marked").select(keys).intersectAll(other.grab("marked").select(keys)).count()
+    return store.grab("marked").agg(F.count("*").alias("n")).select("n", F.lit(len(store.log.of_name("marked"))).cast("long").alias("versions"), F.lit(same).cast("long").alias("again"))
 
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")

@@ -137,7 +137,56 @@ def frame_of(store, body: str, bound: dict[str, Binding]) -> DataFrame:
     for name, b in bound.items():
         _view_in(session, name, rows_of(store, b))
     run = CURRENT.get()
-    return session.sql(seeded(body, run.seed) if run and run.seed is not None else body)
+    if not run or run.seed is None:
+        return session.sql(body)
+    df = session.sql(seeded(body, run.seed))
+    _only_governed(store, body, df._jdf.queryExecution().analyzed())
+    return df
+
+
+#: Expressions that a seed does not govern although Spark holds them for deterministic within a query: clocks.
+_CLOCKS = {"CurrentTimestamp", "CurrentDate", "CurrentTime", "LocalTimestamp", "Now", "CurrentBatchTimestamp"}
+
+
+def _only_governed(store, body: str, plan) -> None:
+    """Refuse what the seed of a step can't make the same again: chance other than rand() and randn(), clocks, numbers of partitions and samples without a seed of their own."""
+    for name in _ungoverned(plan):
+        raise StoreError(f"a seeded SQL step can't use {name}: it is another on every run")
+    parser = store.spark._jsparkSession.sessionState().sqlParser()
+    # A sample without REPEATABLE is given a seed by chance whenever it is parsed.
+    if len({tuple(_sample_seeds(parser.parsePlan(body))) for _ in range(6)}) > 1:
+        raise StoreError("a seeded SQL step can't use TABLESAMPLE without REPEATABLE: it is another on every run")
+
+
+def _items(seq) -> list:
+    return [seq.apply(k) for k in range(seq.size())]
+
+
+def _plans(plan):
+    """A plan and all below it, subqueries and common tables included."""
+    yield plan
+    for child in [*_items(plan.children()), *_items(plan.innerChildren())]:
+        yield from _plans(child)
+
+
+def _ungoverned(plan):
+    for node in _plans(plan):
+        for expression in _items(node.expressions()):
+            yield from _chance_in(expression)
+
+
+def _chance_in(expression):
+    """Names of the calls in an expression that are chance by themselves, not by what is within them."""
+    kind, children = expression.getClass().getSimpleName(), _items(expression.children())
+    subquery = kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery")  # its plan is looked at by itself
+    if kind in _CLOCKS or not subquery and kind not in ("Rand", "Randn") and not expression.deterministic() and all(c.deterministic() for c in children):
+        yield expression.prettyName() + "()"
+    for c in children:
+        yield from _chance_in(c)
+
+
+def _sample_seeds(plan) -> list[int]:
+    return [p.seed() for p in _plans(plan) if p.getClass().getSimpleName() == "Sample"]
 
 
 _CHANCE = r"\b(rand|random|randn|uuid|shuffle|randstr|uniform)\s*\("
