@@ -96,7 +96,7 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int
 class Rows:
     """Segments as columns, packed for a shuffle: hashes as they are, the rest compressed."""
 
-    KINDS = (("doc", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("count", "u1"))
+    KINDS = (("doc", "<i8"), ("tag", "<u4"), ("start", "<i4"), ("count", "<i4"))
 
     @staticmethod
     def pack(columns: dict[str, np.ndarray], at: np.ndarray) -> bytes:

@@ -92,11 +92,24 @@ def test_long_text(spark):
     assert digest(sd.remove_repeats(docs(spark, rows))) == brute(rows)
 
 
-def test_texts_over_several_units(spark, monkeypatch):
-    monkeypatch.setattr(sd, "UNIT", 300)
-    rows = [(k, t) for k, t in corpus(4) if k is not None]
-    found = list(sd._find_segments(4, 100, 40, sd._whole_texts(100))(iter(docs(spark, rows).selectExpr("doc_id as id", "text").toArrow().to_batches())))
-    assert sum(b.num_rows for b in found)
+@pytest.mark.parametrize("length", [40, 200, 400, 600])
+def test_other_lengths(spark, length):
+    """Segments of long windows have more of these than a byte counts."""
+    passage, r = babble(9, 400, 5000), random.Random(length)
+    rows = [(k, babble(50 + k, r.randint(20, 90), 5000) + passage[r.randint(0, 300) : r.randint(900, 1700)] + babble(90 + k, 30, 5000)) for k in range(25)]
+    rows += [(30, "ab" * 900), (31, rows[3][1]), (32, "x" * length), (33, "x" * length), (34, "x" * (length - 1))]
+    got = digest(sd.remove_repeats(docs(spark, rows).repartition(4), length=length))
+    assert got == brute(rows, length) and sum(r[2] for r in got) > 5000
+
+
+def test_texts_over_several_units(spark):
+    """Texts of more than a unit, one with the repeat of a passage that lies over the seam of two."""
+    long = babble(1, 420_000, 60_000)
+    assert len(long.encode()) > sd.UNIT + 200_000
+    seam = len(long.encode()[: sd.UNIT].decode(errors="ignore"))
+    rows = [(2, long), (5, "before " + long[seam - 700 : seam + 700] + " after"), (1, babble(3, 80, 5000) + long[seam - 150 : seam + 20]), (9, long[-400:] + long[:400])]
+    got = digest(sd.remove_repeats(docs(spark, rows)))
+    assert got == brute(rows) and got[-1][2] >= 796
 
 
 @pytest.mark.parametrize("seed", range(3))
