@@ -180,6 +180,33 @@ def collect_garbage(store: Store, older_than: str = "1d", dry_run: bool = False)
     return going
 
 
+def drop(store: Store, name: str, force: bool = False) -> None:
+    """Remove a name: its versions or its chunks and its table's row, in one commit."""
+    going: list[dict] = []
+
+    def build() -> list[dict]:
+        shape = store.log.shape(name)
+        if shape is None:
+            raise StoreError(f"nothing is stored as {name}")
+        if shape == "append":
+            going[:] = store.log.chunks_of(name)
+            if not force and any(c["variant_label"] for c in going):
+                raise StoreError(f"labelled runs have appended to {name}; force=True drops it all the same")
+            return [*[{"do": "chunk_delete", "path": c["path"]} for c in going], {"do": "table_delete", "name": name}]
+        going[:] = store.log.of_name(name, rebinds=True)
+        written = written_by_runs(store).join(store.log.runs.frame().where("status <> 'interactive'").select("run_id"), "run_id", "left_semi")
+        if not force and not written.where(F.col("name") == name).isEmpty():
+            raise StoreError(f"runs have written {name}; force=True drops it all the same")
+        return [{"do": "version_delete", "name": name, "hash": v["content_hash"]} for v in going]
+
+    store.log.commit(build)
+    for v in going:
+        store._live_views.pop((name, v.get("content_hash")), None)
+    if store._published.pop(name, None):
+        warnings.warn(f"the published view of {name} shows what was dropped", stacklevel=4)
+    _delete(store, (r["path"] for r in going if r.get("path")))
+
+
 def prune_variants(store: Store, script: str, label: str | None = None, dry_run: bool = False) -> list[str]:
     """Delete the run rows of a step's labels, or of one label. Their ids."""
     store.log.replay()

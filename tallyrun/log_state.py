@@ -126,7 +126,7 @@ class Rows(Mapping):
 
     def load(self) -> None:
         if not self.whole:
-            self._pull(None)
+            self._pull({})
             self.held = dict(sorted(self.held.items(), key=lambda kv: kv[1]["seq"]))
             self.whole = True
 
@@ -144,9 +144,15 @@ class Rows(Mapping):
         kinds = metadata.schema((*self.columns, "seq", *(("row",) if row else ())))
         return self.files.spark.read.schema(kinds).parquet(f"{self.base}/{self.kind}")
 
-    def _pull(self, condition: F.Column | None) -> None:
+    def _texts(self, among: dict[str, list]) -> Iterator[str]:
+        """Of written rows whose columns have one of the given values each."""
         found = self._written(row=True)
-        for (text,) in (found if condition is None else found.where(condition)).select("row").toLocalIterator():
+        for column, values in among.items():
+            found = found.where(F.col(column).isin(*values))
+        return (text for (text,) in found.select("row").toLocalIterator())
+
+    def _pull(self, among: dict[str, list]) -> None:
+        for text in self._texts(among):
             row = json.loads(text)
             key = self.key_of(row)
             if key not in self.held and key not in self._changed:
@@ -159,15 +165,12 @@ class Rows(Mapping):
         for start in range(0, len(keys), FILTER_KEYS):
             some = keys[start : start + FILTER_KEYS]
             parts = [(k,) for k in some] if len(self.key) == 1 else some
-            condition = F.lit(True)
-            for place, column in enumerate(self.key):
-                condition = condition & F.col(column).isin(*{k[place] for k in parts})
-            self._pull(condition)
+            self._pull({column: sorted({k[place] for k in parts}) for place, column in enumerate(self.key)})
         self._asked.update(map(repr, keys))
 
     def of_name(self, name: str) -> list[dict]:
         if not self.whole and f"name {name}" not in self._asked:
-            self._pull(F.col("logical_name") == name)
+            self._pull({"logical_name": [name]})
             self._asked.add(f"name {name}")
         return [self.held[k] for k in self._named.get(name, ())]
 
@@ -176,7 +179,7 @@ class Rows(Mapping):
             if words is None:
                 self.load()
             elif new := [w for w in words if f"name {w}" not in self._asked]:
-                self._pull(F.col("logical_name").isin(*new))
+                self._pull({"logical_name": new})
                 self._asked.update(f"name {w}" for w in new)
         return {n for n, keys in self._named.items() if keys}
 
@@ -186,13 +189,18 @@ class Rows(Mapping):
             self.load()
         rows = [r for r in self.held.values() if wanted.takes(r)]
         if not self.whole:
-            best = self._unchanged(self._written(row=True).where(wanted.column())).orderBy(F.col("started_at").desc(), F.col("seq").desc()).select("row").first()
+            best = self._best(wanted)
             if best:
-                row = json.loads(best[0])
+                row = json.loads(best)
                 self._hold(row)
                 rows.append(row)
         return max(rows, key=lambda r: (r["started_at"], r["seq"]), default=None)
 
+    def _best(self, wanted: RunFilter) -> str | None:
+        """Of the written runs that have not changed and are wanted, the last to start."""
+        best = self._unchanged(self._written(row=True).where(wanted.column())).orderBy(F.col("started_at").desc(), F.col("seq").desc()).select("row").first()
+        return best and best[0]
+
     def _unchanged(self, df: DataFrame) -> DataFrame:
         if not self._changed:
             return df

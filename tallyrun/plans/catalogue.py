@@ -21,6 +21,7 @@ from ..operators.relational import as_of, keep_first, newest_per_group, older_pe
 from ..operators.sampling import percent_sample
 from ..names import StoreError
 from ..refs import AsOf, File, Hash, Label, Run, Sql, Variant
+from ..sources.datasource import StoreSource
 from ..store import Store
 from ..sweeps import binds, envelopes, variants_of
 
@@ -880,6 +881,40 @@ def append_by_two_writers(store, table):
     return Store(store.spark, store.files.root).grab("orders", run="all").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_orderstatus IN ('F', 'O') GROUP BY 1")
+def published_views(store, table):
+    """Latest views in the session's own catalog: what is committed after they were published shows in the session's SQL."""
+    mark = f"v{uuid.uuid4().hex[:8]}_"
+    store.stow(table("customer").limit(3), "customer", shape="versioned")
+    store.stow(_orders(table, "F"), "orders")
+    store.publish(prefix=mark)
+    store.stow(table("customer"), "customer", shape="versioned")
+    store.stow(_orders(table, "O"), "orders")
+    return store.spark.sql(f"SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {mark}customer JOIN {mark}orders ON o_custkey = c_custkey GROUP BY 1")
+
+
+@query("SELECT o_orderkey, o_totalprice, 'status ' || o_orderstatus AS variant_label FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def data_source(store, table):
+    """All runs of an append table through the data source."""
+    for s in "FO":
+        store.launch(lambda ctx, s=s: ctx.stow(_orders(table, s).select("o_orderkey", "o_totalprice"), "orders"), label=f"status {s}", text=f"orders {s}")
+    store.spark.dataSource.register(StoreSource)
+    return store.spark.read.format("tallyrun").options(store=store.files.root, table="orders", run="all").load().drop("run_id")
+
+
+@query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
+def dropped_names(store, table):
+    """A dropped name is gone for all and free for another shape."""
+    store.stow(_orders(table, "F"), "orders", shape="versioned")
+    store.drop("orders")
+    other = Store(store.spark, store.files.root)
+    assert not other.exists("orders")
+    for s in _statuses(table):
+        other.stow(_orders(table, s), "orders")
+    assert store.exists("orders")
+    return store.grab("orders", run="all").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+
+
 # --- what users say in SQL over the store's tables ---------------------------------------------
 
 

@@ -17,21 +17,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import schema as metadata
-from .context import CURRENT, output_matches
+from .context import CURRENT
 from .fs import Files
 from .functions.hashing import md5, table_digest
 from .log import RUN_FIELDS, Log, stamp
+from .lookups import Lookups
 from .names import LABEL_COLUMN, RUN_COLUMN, Options, StoreError, quoted, store_root, valid_label, valid_name
 from .operators.drift import announce, exact_case, fitted, healed, no_like_columns, no_reserved_columns, opened, reconcile
 from .operators.sampling import seeded_sample
-from .refs import File, Sql, moment
+from .refs import File, Sql
 from .sources import artifacts
 from .sources.files import file_digest, read_file
 
 SHAPES = ("versioned", "append", "view")
 
 
-class Store:
+class Store(Lookups):
     """A folder of tables, views and objects with their history.
 
     ``data/<name>/v=<hash16>`` is a version of a table, ``data/<name>/chunk=<id>`` what one
@@ -46,6 +47,7 @@ class Store:
         self.log = Log(self.files)
         self._clock = clock or (lambda: datetime.now(UTC).replace(tzinfo=None))
         self._live_views: dict[tuple[str, str], DataFrame] = {}
+        self._published: dict[str, str] = {}
         self.log.replay()
 
     def now(self) -> str:
@@ -149,6 +151,7 @@ class Store:
             raise
         if known:
             self._unstage(extra)
+        self._refresh(name)
         n = len(self.log.of_name(name))
         if not known and n > self.options.version_warn:
             warnings.warn(f"{name} has {n} versions; prune() removes old ones", stacklevel=4)
@@ -238,6 +241,7 @@ class Store:
         except BaseException:
             self._unstage(chunk)
             raise
+        self._refresh(name)
 
     def _stow_view(self, value, name: str, label: str | None = None, record: bool = True) -> str:
         """A stored query. Its identity is its text and what its inputs were bound to; it must read at least one name of the store."""
@@ -326,38 +330,6 @@ class Store:
         if run:
             run.read(name, digest)
 
-    def version_row(self, name: str, version: str | None = None, from_run: str | None = None, as_of=None, variant: str | None = None) -> dict:
-        bound = CURRENT.get() and CURRENT.get().bindings.get(name)
-        if bound and not (version or from_run or as_of or variant):
-            version = bound.hash
-        if version is not None:
-            if (name, version) not in self.log.versions:
-                raise StoreError(f"{name} has no version {version}")
-            return self.log.versions[name, version]
-        if from_run is not None:
-            if from_run not in self.log.runs:
-                raise StoreError(f"there is no run {from_run}")
-            return self._version_of_run(name, self.log.runs[from_run])
-        if variant is not None:
-            run = self.log.newest_run(label=variant, output=(name, None))
-            if not run:
-                raise StoreError(f"no run labelled {variant} wrote {name}")
-            return self._version_of_run(name, run)
-        rows = self.log.of_name(name)
-        if as_of is not None:
-            rows = [v for v in rows if v["first_seen"] <= stamp(moment(as_of))]
-        if not rows:
-            raise StoreError(f"{name} has no version" + (f" as of {as_of}" if as_of is not None else ""))
-        return rows[-1]
-
-    def _version_of_run(self, name: str, run: dict) -> dict:
-        made = [o for o in run["outputs"] or () if output_matches(o, name)]
-        if not made:
-            raise StoreError(f"run {run['run_id']} did not write {name}")
-        if (name, made[-1]["hash"]) not in self.log.versions:
-            raise StoreError(f"what run {run['run_id']} wrote to {name} has been pruned")
-        return self.log.versions[name, made[-1]["hash"]]
-
     def value_of(self, v: dict):
         """The table, view or object that a version row stands for."""
         if v["kind"] == "table":
@@ -410,19 +382,6 @@ class Store:
         newest = self.newest_append_run(name)
         return self.append_rows(name, newest or "")
 
-    def newest_append_run(self, name: str, label: str | None = None) -> str | None:
-        """The run that started last among those with rows in a table (of a label)."""
-        run = self.log.newest_run(ids={c["run_id"] for c in self.log.chunks_of(name)}, label=label)
-        if run or label:
-            return run["run_id"] if run else None
-        chunks = self.log.chunks_of(name)  # written by a step that is still running
-        return max(chunks, key=lambda c: c["seq"])["run_id"] if chunks else None
-
-    def chunk_hash(self, name: str, run_id: str) -> str | None:
-        """Of the last chunk that a run wrote to a table."""
-        mine = self.log.chunks_of(name, run_id)
-        return max(mine, key=lambda c: c["seq"])["chunk_hash"] if mine else None
-
     def append_rows(self, name: str, run_id: str | None = None, system: bool = False) -> DataFrame:
         """The rows of a run (of all without one) under the table's present schema.
 
@@ -468,6 +427,38 @@ class Store:
         rows = [v for v in self.log.of_name(name) if v["kind"] != "artifact"]
         return self.value_of(rows[-1]) if rows else None
 
+    def publish(self, *names: str, prefix: str = "") -> list[str]:
+        """Temp views of the session for the newest value of names (of all tables and views without any), for any SQL client of it; the views' names.
+
+        They are made anew when this store commits something under their names; what other
+        processes have committed shows when they are published again.
+        """
+        self.log.replay()
+        made = []
+        for name in names or sorted(self.log.known()):
+            df = self.latest(name)
+            if df is not None:  # else it is an object
+                _view_in(self.spark, prefix + name, df)
+                self._published[name] = prefix + name
+                made.append(prefix + name)
+        return made
+
+    def _refresh(self, name: str) -> None:
+        """A published view shows what has just been committed under its name."""
+        if name in self._published:
+            _view_in(self.spark, self._published[name], self.latest(name))
+
+    def exists(self, name: str) -> bool:
+        """Whether anything is stored under a name, versions that were only bound for a run included."""
+        self.log.replay()
+        return self.log.shape(valid_name(name)) is not None
+
+    def drop(self, name: str, force: bool = False) -> None:
+        """Remove a name with all its versions or chunks, so that it is free for any shape. What runs have written, or labelled runs have appended, stays in place and is refused unless force is set. The runs' rows stay."""
+        from .gc import drop
+
+        drop(self, valid_name(name), force)
+
     def run_view(self, name: str, run_id: str) -> str:
         """A temp view of one run's rows of an append table; its name."""
         view = f"{name}__run__{run_id}"
