@@ -328,7 +328,10 @@ def run_one(store: Store, step: Step, rebind, label, external_inputs, force, see
     if label is None and status == "success":
         row["variant_label"] = inherited_label(store, inputs)
     helpers = [{"path": p, "hash": h} for p, h in context.helpers.items()]
-    save(status=status, inputs=inputs, outputs=context.outputs, helpers=helpers, duration_ms=int(1000 * (time.monotonic() - began)), code_hash=code_hash(step.own_hash, list(context.helpers.values())))
+    took = int(1000 * (time.monotonic() - began))
+    of = row["variant_label"] and f"; variant {row['variant_label']}" + ("" if label else ", as its inputs")
+    said.info("%s ended as %s after %s ms: %d reads, %d writes%s", os.path.basename(step.name), status, f"{took:,}", context.grabs, context.stows, of or "")
+    save(status=status, inputs=inputs, outputs=context.outputs, helpers=helpers, duration_ms=took, code_hash=code_hash(step.own_hash, list(context.helpers.values())))
     if error:
         raise error
     return run_id
