@@ -170,7 +170,7 @@ def collect_garbage(store: Store, older_than: str = "1d", dry_run: bool = False)
     files, limit = store.files, duration(older_than).total_seconds()
     found = [f"data/{name}/{x}" for name in files.names(files.path("data")) for x in files.names(files.path("data", name))]
     found += [f"artifacts/{x}" for x in files.names(files.path("artifacts"))]
-    path = F.get_json_object("row", "$.path").alias("path")
+    path = F.coalesce(F.get_json_object("row", "$.pack"), F.get_json_object("row", "$.path")).alias("path")
     named = store.log.versions.frame(row=True).select(path).union(store.log._chunks.frame(row=True).select(path)).where("path is not null")
     going = [r.path for r in store.spark.createDataFrame([(p,) for p in found], "path string").join(named, "path", "left_anti").toLocalIterator()]
     going += [f"_log/{x}" for x in store.log.old_states()]

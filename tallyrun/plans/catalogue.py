@@ -902,6 +902,19 @@ def data_source(store, table):
     return store.spark.read.format("tallyrun").options(store=store.files.root, table="orders", run="all").load().drop("run_id")
 
 
+@query("SELECT c_nationkey, c_custkey, c_acctbal FROM customer WHERE c_acctbal BETWEEN 1000 AND 2000 AND c_nationkey <> 7")
+def packed_chunks(store, table):
+    """A run for each nation, packed into few files; a pruned run stays out, ranges skip files, other sessions read the same."""
+    nations = sorted(r[0] for r in table("customer").select("c_nationkey").distinct().collect())
+    rows = table("customer").select("c_nationkey", "c_custkey", "c_acctbal")
+    ids = {n: store.launch(lambda ctx, n=n: ctx.stow(rows.where(F.col("c_nationkey") == n).coalesce(1), "customers"), text=f"nation {n}") for n in nations}
+    store.compact("customers", file_bytes=20_000)
+    store.prune("customers", run_id=ids[7], force=True)
+    other = Store(store.spark, store.files.root)
+    assert len(other.grab("customers", run=ids[3]).inputFiles()) == 1 and other.grab("customers", run=ids[7]).isEmpty()
+    return other.grab("customers", run="all", between={"c_acctbal": (1000.0, 2000.0)}).select("c_nationkey", "c_custkey", "c_acctbal")
+
+
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def dropped_names(store, table):
     """A dropped name is gone for all and free for another shape."""

@@ -88,6 +88,7 @@ class Found(Lookups):
         self.files, name = ArrowFiles(root_of(options)), options["table"]
         self.log = Log(self.files, ArrowRows)
         self.log.replay()
+        self.runs: set[str] = set()
         shape = self.log.shape(name)
         if shape is None:
             raise StoreError(f"nothing is stored as {name}")
@@ -114,16 +115,20 @@ class Found(Lookups):
         self.schema = healed(T.StructType.fromJson(json.loads(self.log.tables[name]["schema"])))
         if run == "all":
             self.schema = T.StructType([*self.schema.fields, T.StructField("run_id", T.StringType()), T.StructField("variant_label", T.StringType())])
-        self.parts = [(c["path"], c["schema"]) for c in self.log.chunks_of(name, None if run == "all" else run)]
+        chunks = self.log.chunks_of(name, None if run == "all" else run)
+        self.parts = list(dict.fromkeys((c.get("pack") or c["path"], c["schema"]) for c in chunks))
+        self.runs = {c["run_id"] for c in chunks if c.get("pack")}
 
     def files_of(self) -> list[OneFile]:
-        return [OneFile(f"{path}/{x}", held) for path, held in self.parts for x in self.files.names(self.files.path(path)) if x.endswith(".parquet")]
+        runs = tuple(sorted(self.runs))
+        return [OneFile(f"{path}/{x}", held, runs if "/pack=" in path else ()) for path, held in self.parts for x in self.files.names(self.files.path(path)) if x.endswith(".parquet")]
 
 
 @dataclass
 class OneFile(InputPartition):
     path: str
     held: str
+    runs: tuple[str, ...] = ()  # of a pack: those whose rows are wanted
 
 
 class StoreSource(DataSource):
@@ -164,6 +169,7 @@ class StoreReader(DataSourceReader):
         for f in self.wanted:
             if f.name.lower() in own and own[f.name.lower()] != f.dataType:
                 raise StoreError(f"column {f.name} has another type in earlier chunks; read the table with grab()")
-        for batch in data.to_batches(columns=[c for c in source.values() if c], batch_size=BATCH):
+        wanted = pads.field(RUN_COLUMN).isin(list(partition.runs)) if partition.runs else None
+        for batch in data.to_batches(columns=[c for c in source.values() if c], filter=wanted, batch_size=BATCH):
             columns = [pa.nulls(batch.num_rows, f.type) if source[f.name] is None else batch.column(source[f.name]).cast(f.type) for f in target]
             yield pa.RecordBatch.from_arrays(columns, schema=target)

@@ -48,6 +48,7 @@ class Store(Lookups):
         self._clock = clock or (lambda: datetime.now(UTC).replace(tzinfo=None))
         self._live_views: dict[tuple[str, str], DataFrame] = {}
         self._published: dict[str, str] = {}
+        self._manifests: dict[str, dict] = {}
         self.log.replay()
 
     def now(self) -> str:
@@ -289,18 +290,19 @@ class Store(Lookups):
         out = {}
         for name in {f.partition("/")[0] for f in folders}:
             out |= {name: v["content_hash"] for v in self.log.of_name(name, rebinds=True) if v["kind"] == "table" and v["path"].removeprefix("data/") in folders}
-            out |= {name: c["chunk_hash"] for c in self.log.chunks_of(name) if c["path"].removeprefix("data/") in folders}
+            out |= {name: c["chunk_hash"] for c in self.log.chunks_of(name) if (c.get("pack") or c["path"]).removeprefix("data/") in folders}
         return out
 
     # --- reading -------------------------------------------------------------------------
 
-    def grab(self, name: str, version: str | None = None, from_run: str | None = None, as_of=None, source: str | None = None, variant: str | None = None, run: str | None = None):
+    def grab(self, name: str, version: str | None = None, from_run: str | None = None, as_of=None, source: str | None = None, variant: str | None = None, run: str | None = None, between: dict | None = None):
         """Read a name: its newest value, or the one that at most one selector asks for.
 
         Versioned: version (a hash), from_run, as_of, variant, run="all" (a dict of all, oldest
         first). Append: run or from_run, variant, run="all" (with run_id and variant_label);
-        by default the running step's own rows, outside one those of the newest run. source
-        names a file to read first if the name is new or the file has changed.
+        by default the running step's own rows, outside one those of the newest run. between
+        takes only rows with values in ranges, {column: (low, high)}, and skips files of packs by them.
+        source names a file to read first if the name is new or the file has changed.
         """
         valid_name(name)
         self.log.replay()
@@ -315,7 +317,9 @@ class Store(Lookups):
         if shape is None:
             raise StoreError(f"nothing is stored as {name}")
         if shape == "append":
-            return self._grab_append(name, version, from_run or run, as_of, variant)
+            return self._grab_append(name, version, from_run or run, as_of, variant, between)
+        if between:
+            raise StoreError("between is for append tables")
         if run is not None:
             if run != "all":
                 raise StoreError("of a versioned name, run is 'all'; from_run asks for one run's")
@@ -357,12 +361,12 @@ class Store(Lookups):
 
     # append tables
 
-    def _grab_append(self, name: str, version, run: str | None, as_of, variant: str | None) -> DataFrame:
+    def _grab_append(self, name: str, version, run: str | None, as_of, variant: str | None, between: dict | None = None) -> DataFrame:
         if version is not None or as_of is not None:
             raise StoreError("an append table has runs: version and as_of are for versioned names")
         if run == "all":
             self._read(name, None)
-            return self.append_rows(name, system=True)
+            return self.append_rows(name, system=True, between=between)
         context = CURRENT.get()
         bound = context and context.bindings.get(name)
         if variant is not None:
@@ -374,36 +378,62 @@ class Store(Lookups):
             run = bound.run_id
         if run is not None:
             self._read(name, self.chunk_hash(name, run))
-            return self.append_rows(name, run)
+            return self.append_rows(name, run, between=between)
         if context:
             newest = self.newest_append_run(name)
             self._read(name, self.chunk_hash(name, newest) if newest else None)
-            return self.append_rows(name, context.run_id)
+            return self.append_rows(name, context.run_id, between=between)
         newest = self.newest_append_run(name)
-        return self.append_rows(name, newest or "")
+        return self.append_rows(name, newest or "", between=between)
 
-    def append_rows(self, name: str, run_id: str | None = None, system: bool = False) -> DataFrame:
-        """The rows of a run (of all without one) under the table's present schema.
+    def append_rows(self, name: str, run_id: str | None = None, system: bool = False, between: dict | None = None) -> DataFrame:
+        """The rows of a run (of all without one) under the table's present schema, with values in ranges.
 
-        Only the folders of the chunks asked for are listed and read; chunks of one schema
-        are one scan however many they are.
+        Only the folders of the chunks asked for are listed and read, and of packs the files
+        that the manifest names for the run and the ranges; chunks of one schema are one scan
+        however many they are.
         """
-        target = healed(T.StructType.fromJson(_json(self.log.tables[name]["schema"])), self.spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true")
-        by_schema: dict[str, list[str]] = {}
-        for c in self.log.chunks_of(name, run_id):
-            by_schema.setdefault(c["schema"], []).append(self.files.path(c["path"]))
-        marks = [T.StructField(RUN_COLUMN, T.StringType()), T.StructField(LABEL_COLUMN, T.StringType())]
-        whole = T.StructType([*target.fields, *marks])
-        out = None
-        for held, paths in by_schema.items():
-            part = fitted(self.spark.read.schema(T.StructType([*T.StructType.fromJson(_json(held)).fields, *marks])).parquet(*paths), whole)
-            out = part if out is None else out.unionByName(part)
-        if out is None:
-            out = self.spark.createDataFrame([], whole)
+        out = self.chunk_rows(name, self.log.chunks_of(name, run_id), run_id, between)
         if system:
             return out.withColumnRenamed(RUN_COLUMN, "run_id").withColumnRenamed(LABEL_COLUMN, "variant_label")
         return out.drop(RUN_COLUMN, LABEL_COLUMN)
 
+    def chunk_rows(self, name: str, chunks: list[dict], run_id: str | None = None, between: dict | None = None) -> DataFrame:
+        """The rows of some chunks under the table's present schema, and the columns of their run and label."""
+        from . import packs
+
+        target = healed(T.StructType.fromJson(_json(self.log.tables[name]["schema"])), self.spark.conf.get("spark.sql.caseSensitive", "false").lower() == "true")
+        between = packs.checked(between, target.names)
+        loose: dict[str, list[str]] = {}
+        packed: dict[tuple[str, str], list[dict]] = {}
+        for c in chunks:
+            if c.get("pack"):
+                packed.setdefault((c["pack"], c["schema"]), []).append(c)
+            else:
+                loose.setdefault(c["schema"], []).append(self.files.path(c["path"]))
+        marks = [T.StructField(RUN_COLUMN, T.StringType()), T.StructField(LABEL_COLUMN, T.StringType())]
+        held = lambda schema: T.StructType([*T.StructType.fromJson(_json(schema)).fields, *marks])
+        parts = [self.spark.read.schema(held(schema)).parquet(*paths) for schema, paths in loose.items()]
+        parts += [packs.packed_rows(self, pack, mine, held(schema), run_id, between) for (pack, schema), mine in packed.items()]
+        whole, out = T.StructType([*target.fields, *marks]), None
+        for part in parts:
+            if part is not None:
+                out = fitted(part, whole) if out is None else out.unionByName(fitted(part, whole))
+        return self.spark.createDataFrame([], whole) if out is None else packs.in_ranges(out, between)
+
+    def manifest(self, pack: str) -> dict:
+        """What the files of a pack hold."""
+        from .packs import MANIFEST
+
+        if pack not in self._manifests:
+            self._manifests[pack] = _json(self.files.read(self.files.path(pack, MANIFEST)).decode())
+        return self._manifests[pack]
+
+    def compact(self, name: str, **options) -> int:
+        from .packs import compact
+
+        return compact(self, name, **options)
+
     # --- SQL and metadata ----------------------------------------------------------------
 
     def sql(self, text: str) -> DataFrame:
