@@ -152,7 +152,10 @@ class Rows(Mapping):
         return (text for (text,) in found.select("row").toLocalIterator())
 
     def _pull(self, among: dict[str, list]) -> None:
-        for text in self._texts(among):
+        self._take_in(self._texts(among))
+
+    def _take_in(self, texts: Iterator[str]) -> None:
+        for text in texts:
             row = json.loads(text)
             key = self.key_of(row)
             if key not in self.held and key not in self._changed:
@@ -162,11 +165,18 @@ class Rows(Mapping):
         if self.whole:
             return
         keys = [k for k in dict.fromkeys(keys) if k not in self.held and k not in self._changed and repr(k) not in self._asked]
-        for start in range(0, len(keys), FILTER_KEYS):
-            some = keys[start : start + FILTER_KEYS]
-            parts = [(k,) for k in some] if len(self.key) == 1 else some
-            self._pull({column: sorted({k[place] for k in parts}) for place, column in enumerate(self.key)})
-        self._asked.update(map(repr, keys))
+        if keys:
+            self._take_in(self._texts_of([(k,) for k in keys] if len(self.key) == 1 else keys))
+            self._asked.update(map(repr, keys))
+
+    def _texts_of(self, keys: list[tuple]) -> Iterator[str]:
+        """Of written rows with given keys: by a filter, or for many by a join."""
+        if len(keys) <= FILTER_KEYS:
+            return self._texts({column: sorted({k[place] for k in keys}) for place, column in enumerate(self.key)})
+        return (text for (text,) in self._written(row=True).join(self._frame_of(keys), list(self.key), "left_semi").select("row").toLocalIterator())
+
+    def _frame_of(self, keys: list[tuple]) -> DataFrame:
+        return self.files.spark.createDataFrame(keys, T.StructType([T.StructField(k, T.StringType()) for k in self.key]))
 
     def of_name(self, name: str) -> list[dict]:
         if not self.whole and f"name {name}" not in self._asked:
@@ -204,8 +214,7 @@ class Rows(Mapping):
     def _unchanged(self, df: DataFrame) -> DataFrame:
         if not self._changed:
             return df
-        keys = [(k,) if len(self.key) == 1 else k for k in self._changed]
-        gone = self.files.spark.createDataFrame(keys, T.StructType([T.StructField(k, T.StringType()) for k in self.key]))
+        gone = self._frame_of([(k,) if len(self.key) == 1 else k for k in self._changed])
         return df.join(gone, list(self.key), "left_anti").select(*df.columns)
 
     def frame(self, row: bool = False) -> DataFrame:

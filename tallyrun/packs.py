@@ -67,7 +67,7 @@ def compact(store, name: str, small: int = SMALL_BYTES, file_bytes: int = FILE_B
         def build() -> list[dict]:
             there = {c["path"] for c in store.log.chunks_of(name) if not c.get("pack")}
             paths = [c["path"] for c in going if c["path"] in there]
-            return [{"do": "chunk_pack", "pack": pack, "schema": held, "paths": paths}] if paths else []
+            return [{"do": "chunk_pack", "name": name, "pack": pack, "schema": held, "paths": paths}] if paths else []
 
         store.log.commit(build)
     except BaseException:

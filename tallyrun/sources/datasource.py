@@ -62,6 +62,9 @@ class ArrowRows(Rows):
         for batch in pads.dataset(files, filesystem=self.files.fs, format="parquet").to_batches(columns=["row"], filter=condition):
             yield from batch.column("row").to_pylist()
 
+    def _texts_of(self, keys: list[tuple]) -> Iterator[str]:
+        return self._texts({column: sorted({k[place] for k in keys}) for place, column in enumerate(self.key)})
+
     def _best(self, wanted: RunFilter) -> str | None:
         among = {c: [v] for c, v in (("step", wanted.step), ("variant_label", wanted.label), ("status", wanted.status)) if v is not None}
         if wanted.ids is not None:
