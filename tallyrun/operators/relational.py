@@ -99,21 +99,27 @@ def _cuts(line: DataFrame, keys: list[str], split_rows: int) -> DataFrame | None
     few = spark.createDataFrame([tuple(r)[:-1] for r in heavy], kinds)
     parts = min(SPLIT_PARTS, -(-heavy[0]["count"] // split_rows))
     grid = [i / parts for i in range(1, parts)]
-    at = F.array_distinct(F.percentile_approx("t", grid, 10 * parts))
+    at = F.array_sort(F.array_distinct(F.percentile_approx("t", grid, 10 * parts)))
     return line.join(F.broadcast(few), keys, "left_semi").groupBy(*keys).agg(at.alias("at"))
 
 
 def _in_parts(line: DataFrame, keys: list[str], cut: DataFrame) -> DataFrame:
     """The lines with the number of the range that each row is in, and before each range but the first the last right row up to it."""
     cut = cut.sparkSession.createDataFrame(cut.collect(), cut.schema)  # looked at once: its bound is SPLIT_KEYS * SPLIT_PARTS numbers
-    part = F.coalesce(F.size(F.filter("at", lambda x: x < F.col("t"))), F.lit(0))
-    line = line.join(F.broadcast(cut), keys, "left").withColumn("part", part)
-    last = line.where("side = 0 and at is not null").groupBy(*keys, "part").agg(F.max_by("seen", F.struct("t", "tie")).alias("seen"), F.first("at").alias("at"))
+    # Of the cuts a row keeps its range and how many there are: what is sorted or grouped below must not hold them all in every row.
+    line = line.join(F.broadcast(cut), keys, "left").select(*line.columns, _before(F.col("t"), F.col("at")).alias("part"), F.when(F.col("at").isNotNull(), F.size("at")).alias("cuts"))
+    last = line.where("side = 0 and cuts is not null").groupBy(*keys, "part").agg(F.max_by("seen", F.struct("t", "tie")).alias("seen"), F.first("cuts").alias("cuts"))
     after = last.withColumn("next", F.lead("part").over(W.partitionBy(*keys).orderBy("part")))
-    starts = after.where(F.col("part") < F.size("at")).withColumn("part", F.explode(F.sequence(F.col("part") + 1, F.coalesce("next", F.size("at")))))
+    starts = after.where("part < cuts").withColumn("part", F.explode(F.sequence(F.col("part") + 1, F.coalesce("next", "cuts"))))
     blank = [F.lit(None).cast(line.schema[c].dataType).alias(c) for c in ("t", "tie", "row")]
     starts = starts.select(*keys, F.lit(-1).alias("side"), "seen", "part", *blank)
-    return line.drop("at").unionByName(starts)
+    return line.drop("cuts").unionByName(starts)
+
+
+def _before(value: F.Column, rising: F.Column) -> F.Column:
+    """How many of an array's rising values, fewer than SPLIT_PARTS, are less than a value (0 without an array): found by halving."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(SPLIT_PARTS.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get(rising, n + step - 1) < value, n + step).otherwise(n))
 
 
 def stacked(parts: Sequence[DataFrame]) -> DataFrame:

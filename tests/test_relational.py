@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyrun.operators.relational import as_of, keep_first, newest_per_group, older_per_group
+from tallyrun.operators.relational import SPLIT_PARTS, _before, as_of, keep_first, newest_per_group, older_per_group
 
 
 def brute(left, right):
@@ -44,6 +44,36 @@ def test_a_heavy_key_is_the_work_of_many_tasks(spark):
     assert out.where("t > 10 and k = 1 and tie is null").isEmpty()
 
 
+def test_no_row_that_is_sorted_or_grouped_holds_the_cuts(spark):
+    """With a thousand cuts in every row, memory grew as rows times ranges."""
+    left = spark.range(3000).selectExpr("id % 2 AS k", "id AS t")
+    right = spark.range(3000).selectExpr("id % 2 AS k", "id AS t", "id AS tie")
+    out = as_of(left, right, ["k"], "t", "t", "tie", ["tie"], split_rows=20)
+    assert out.where("tie = t").count() == 3000
+    seen = []
+
+    def walk(node):
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() in ("Aggregate", "Window", "Sort"):
+            seen.append(node.nodeName())
+            for c in children:
+                kinds = [c.output().apply(i).dataType().simpleString() for i in range(c.output().size())]
+                assert not [k for k in kinds if k.startswith("array")]
+        for c in children:
+            walk(c)
+
+    walk(out._jdf.queryExecution().optimizedPlan())
+    assert {"Aggregate", "Window"} <= set(seen)
+
+
+def test_ranges_are_found_by_halving(spark):
+    r = random.Random(4)
+    rows = [(r.choice([None, r.randrange(-5, 60)]), r.choice([None, sorted(r.sample(range(50), n))])) for n in (0, 1, 2, 3, 31, 32, 50) for _ in range(40)]
+    rows += [(v, list(range(0, 2 * (SPLIT_PARTS - 1), 2))) for v in (-1, 0, 1, 1023, 1024, 1995, 1996, 1997, 5000)]
+    got = spark.createDataFrame(rows, "v int, a array<int>").select("v", "a", _before(F.col("v"), F.col("a")).alias("n")).collect()
+    assert len(got) == len(rows) and all(n == (0 if v is None or a is None else sum(x < v for x in a)) for v, a, n in got)
+
+
 def test_ranges_without_right_rows_are_seeded(spark):
     left = [("a", t, t) for t in range(0, 1000)]
     right = [("a", 3, 1, "early"), ("a", 990, 1, "late"), ("a", 990, None, "lost")]
