@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import plain
 from ..names import quoted
+from .relational import _free
 
 
 def seeded_sample(df: DataFrame, n: int, seed: float, key: list[str] | None = None) -> DataFrame:
@@ -48,6 +49,37 @@ def percent_sample(df: DataFrame, percent: float, seed: float, key: list[str] |
     return below.unionByName(again.where(F.col(h) < cut).drop(h)).unionByName(copies)
 
 
+#: Rows that a partition of dealt rows has about, how many partitions there are at most, and from how many equal rows they are dealt apart.
+DEAL_ROWS, DEAL_PARTS, DEAL_COPIES = 100_000, 10_000, 100_000
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The same rows, in partitions and an order that go by the rows alone and not by the files they lie in, for rand(seed) and samples over them.
+
+    Rows go to partitions by a hash of all columns and lie there in the order of it and of a
+    second one; rows that are alike in both are equal, so their order is no matter. How many
+    partitions there are goes by the number of rows. One pass counts rows by the hash's
+    leading bits: in cells that are crowded, equal rows become one that is counted, dealt out
+    in blocks and copied in its place again, so no partition gets all copies of a row.
+    """
+    a, b, block, copies = (_free(df, name) for name in ("_hash_a", "_hash_b", "_block", "_copies"))
+    columns = [part for c in df.columns for part in plain(df[quoted(c)], df.schema[c].dataType)] or [F.lit(0)]
+    hashed = df.select("*", F.xxhash64(F.lit(1), *columns).alias(a), F.xxhash64(F.lit(2), *columns).alias(b))
+    cell = F.shiftright(a, 64 - _BITS)
+    cells = {r[0]: r[1] for r in hashed.groupBy(cell).count().collect()}
+    rows = sum(cells.values())
+    crowded = [c for c, n in cells.items() if n > DEAL_COPIES + 4 * rows / (1 << _BITS)]
+    number = min(DEAL_PARTS, rows // DEAL_ROWS + 1)
+    if not crowded:
+        return hashed.repartition(number, a).sortWithinPartitions(a, b).drop(a, b)
+    one = hashed.where(cell.isin(crowded)).groupBy(a, b).agg(F.count("*").alias(copies), *[F.first(quoted(c)).alias(c) for c in df.columns])
+    blocks = one.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / DEAL_COPIES))))
+    blocks = blocks.withColumn(copies, F.least(F.lit(DEAL_COPIES).cast("long"), F.col(copies) - F.col(block) * DEAL_COPIES))
+    line = hashed.where(~cell.isin(crowded)).withColumns({block: F.lit(0).cast("long"), copies: F.lit(1).cast("long")}).unionByName(blocks)
+    line = line.repartition(number, a, block).sortWithinPartitions(a, b, block)
+    return line.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*[quoted(c) for c in df.columns])
+
+
 def _seeded(df: DataFrame, seed: float, key: list[str] | None) -> F.Column:
     columns = [part for c in key or df.columns for part in plain(df[quoted(c)], df.schema[c].dataType)]
     return F.xxhash64(F.lit(float(seed)), *columns)

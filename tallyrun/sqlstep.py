@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from .context import CURRENT, Binding
 from .names import StoreError, valid_name
+from .operators.sampling import dealt
 
 
 @dataclass(frozen=True)
@@ -139,9 +140,14 @@ def frame_of(store, body: str, bound: dict[str, Binding]) -> DataFrame:
     run = CURRENT.get()
     if not run or run.seed is None:
         return session.sql(body)
-    df = session.sql(seeded(body, run.seed))
-    _only_governed(store, body, df._jdf.queryExecution().analyzed())
-    return df
+    text = seeded(body, run.seed)
+    df = session.sql(text)
+    plan = df._jdf.queryExecution().analyzed()
+    _only_governed(store, body, plan)
+    drawn = _drawn_from(plan, frozenset(bound))
+    for name in drawn:
+        _view_in(session, name, dealt(rows_of(store, bound[name])))
+    return session.sql(text) if drawn else df
 
 
 #: Expressions that a seed does not govern although Spark holds them for deterministic within a query: clocks.
@@ -162,11 +168,18 @@ def _items(seq) -> list:
     return [seq.apply(k) for k in range(seq.size())]
 
 
-def _plans(plan):
-    """A plan and all below it, subqueries and common tables included."""
+def _plans(plan, inputs: frozenset[str] = frozenset()):
+    """A plan and all below it, subqueries and common tables included, but not what lies below the views of inputs."""
     yield plan
-    for child in [*_items(plan.children()), *_items(plan.innerChildren())]:
-        yield from _plans(child)
+    if _input_of(plan, inputs) is None:
+        for child in [*_items(plan.children()), *_items(plan.innerChildren())]:
+            yield from _plans(child, inputs)
+
+
+def _input_of(plan, inputs) -> str | None:
+    """The input whose view a plan is."""
+    name = plan.desc().identifier().unquotedString() if _kind(plan) == "View" else None
+    return name if name in inputs else None
 
 
 def _ungoverned(plan):
@@ -185,6 +198,73 @@ def _chance_in(expression):
         yield from _chance_in(c)
 
 
+#: Plans that leave rows in the partitions and the order that they have below, and those that make rows themselves.
+_IN_PLACE, _MADE = {"Project", "Filter", "SubqueryAlias", "View", "Generate", "Sample", "Union", "ResolvedHint"}, {"OneRowRelation", "Range", "LocalRelation"}
+
+
+def _drawn_from(plan, inputs: frozenset[str]) -> set[str]:
+    """Inputs over whose rows a plan draws numbers or samples; these must be dealt out by their content.
+
+    A random number goes by its row's partition and place there. Shuffles settle neither, so chance above
+    a join, a group, a sort or another plan that needs one is refused, and so is chance over what is no input.
+    Inputs that are views have been looked at when their own plans were made.
+    """
+    every = list(_plans(plan, inputs))
+    defined = {d.id(): d.child() for d in every if _kind(d) == "CTERelationDef"}
+    uses = [r.cteId() for r in every if _kind(r) == "CTERelationRef"]
+    names: set[str] = set()
+
+    def refuse(what: str):
+        raise StoreError(f"a seeded SQL step can't draw numbers or samples above {what}: do it in a subquery over an input, or store the rows first")
+
+    def below(node) -> None:
+        kind = _kind(node)
+        if name := _input_of(node, inputs):
+            names.add(name)
+        elif kind == "CTERelationRef":
+            common = defined[node.cteId()]
+            if uses.count(node.cteId()) > 1 and not common.deterministic():
+                refuse("a common table with chance that is used twice")  # Spark deals its rows out anew
+            below(common)
+        elif kind == "WithCTE":
+            below(node.plan())
+        elif kind in _IN_PLACE:
+            in_place(node)
+        elif kind not in _MADE and not one_row(node):
+            refuse(kind)
+
+    def one_row(node) -> bool:
+        return _kind(node) == "Aggregate" and node.groupingExpressions().isEmpty()
+
+    def in_place(node) -> None:
+        if any(_joins(e) for e in _items(node.expressions())):
+            refuse("a subquery that is joined")
+        for child in _items(node.children()):
+            below(child)
+
+    for node in every:
+        if _kind(node) == "Sample" or any(_draws(e) for e in _items(node.expressions())):
+            if _kind(node) in _IN_PLACE:
+                in_place(node)
+            elif not one_row(node):
+                refuse(_kind(node))
+    return names
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName().rstrip("$")
+
+
+def _joins(expression) -> bool:
+    """Whether an expression holds a subquery that Spark turns into a join."""
+    kind = _kind(expression)
+    return kind in ("Exists", "ListQuery", "LateralSubquery") or kind == "ScalarSubquery" and expression.isCorrelated() or any(_joins(c) for c in _items(expression.children()))
+
+
+def _draws(expression) -> bool:
+    return _kind(expression) in ("Rand", "Randn") or any(_draws(c) for c in _items(expression.children()))
+
+
 def _sample_seeds(plan) -> list[int]:
     return [p.seed() for p in _plans(plan) if p.getClass().getSimpleName() == "Sample"]
 
